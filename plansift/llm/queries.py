@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import packing, quality_rules, secret_scan
+from plansift.llm import mixture, packing, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,58 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op7_secret_scan, op10_packing)}
+    return {f.__name__: f for f in (op3_quality_rules, op6_mixture, op7_secret_scan, op8_simhash, op10_packing)}
+
+
+#: DuckDB SQL for the rows of the queries that SQL can express.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 9) AS place
+  FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size,
+         [5e0, 2e0, 1e0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, source_size * 2e0 AS cap,
+         sum(source_size) OVER () * 15e-1 - coalesce(sum(source_size * 2e0) OVER before, 0) AS rem,
+         sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest
+  FROM s WINDOW before AS (ORDER BY source_size * 2e0 / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, least(cap, max(rem / rest) OVER () * w) AS target FROM c),
+b AS (
+  SELECT *, target >= source_size AS whole, CASE WHEN target >= source_size THEN target - source_size ELSE target END AS budget FROM t),
+h AS (
+  SELECT d.source, d.place, sum(d.size) AS tokens FROM d GROUP BY ALL),
+r AS (
+  SELECT h.*, b.budget, sum(tokens) OVER (PARTITION BY h.source ORDER BY place) AS stop
+  FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source),
+x AS (
+  SELECT source, min(place) AS place, arg_min(stop - tokens, place) AS start, arg_min(stop, place) AS stop
+  FROM r WHERE stop - tokens < budget AND stop >= budget GROUP BY source),
+cut AS (
+  SELECT b.*, CASE WHEN budget <= 0 THEN '' WHEN x.place IS NULL THEN '~'
+                   WHEN x.stop - budget < budget - x.start THEN x.place || '~' ELSE x.place END AS upto
+  FROM b LEFT JOIN x ON b.source IS NOT DISTINCT FROM x.source)
+SELECT d.doc_id, d.size::BIGINT AS size, cut.source_size::BIGINT AS source_size, cut.target,
+       (d.size * (whole::INT + (d.place < upto)::INT))::BIGINT AS taken
+FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixture": OP6_SQL}
