@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import mixture, packing, quality_rules, secret_scan, simhash
+from plansift.llm import html_extract, license_scan, mixture, packing, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_mixture, op7_secret_scan, op8_simhash, op10_packing)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_license_scan, op6_mixture, op7_secret_scan, op8_simhash, op9_html_extraction, op10_packing)}
 
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
@@ -74,5 +82,27 @@ FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
 """
 
 
+def _op4_sql() -> str:
+    """Every line against every template, without the bounds."""
+    rows = ", ".join(f"({n}, '{name}', {license_scan.bigrams_of(text)!r})" for n, (name, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH t(nth, license, grams) AS (VALUES {rows}),
+l AS (
+  SELECT doc_id, unnest(range(len(x) + 1)) AS line_no, unnest(list_concat([CASE WHEN len(x) > 1 THEN text END], x)) AS line
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents)),
+w AS (
+  SELECT doc_id, line_no, string_split(trim(regexp_replace(translate(line, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
+  FROM l WHERE line IS NOT NULL),
+g AS (
+  SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams
+  FROM w WHERE len(words) > 1),
+d AS (
+  SELECT doc_id, line_no, len(g.grams) AS n, t.nth, t.license, 2e0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+  FROM g CROSS JOIN t)
+SELECT doc_id, line_no::INT AS line_no, license, dice, n::INT AS n_bigrams FROM d WHERE dice >= 8e-1
+QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, nth) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixture": OP6_SQL}
+    return {"op4_license_scan": _op4_sql(), "op6_mixture": OP6_SQL}
