@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import html_extract, license_scan, mixture, packing, quality_rules, secret_scan, simhash
+from plansift.llm import ann_tree, html_extract, license_scan, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_license_scan, op6_mixture, op7_secret_scan, op8_simhash, op9_html_extraction, op10_packing)}
+    return {f.__name__: f for f in (op2_ann_tree, op3_quality_rules, op4_license_scan, op5_phrase_dedup, op6_mixture, op7_secret_scan, op8_simhash, op9_html_extraction, op10_packing)}
 
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
