@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import ann_tree, html_extract, license_scan, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
+from plansift.llm import ann_tree, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +53,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann_tree, op3_quality_rules, op4_license_scan, op5_phrase_dedup, op6_mixture, op7_secret_scan, op8_simhash, op9_html_extraction, op10_packing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_templates,
+            op2_ann_tree,
+            op3_quality_rules,
+            op4_license_scan,
+            op5_phrase_dedup,
+            op6_mixture,
+            op7_secret_scan,
+            op8_simhash,
+            op9_html_extraction,
+            op10_packing,
+            pipeline,
+        )
+    }
 
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
