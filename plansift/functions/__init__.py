@@ -1,0 +1 @@
+"""Column functions: geometry, text and codes."""

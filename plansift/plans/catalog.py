@@ -2,4 +2,5 @@
 
 
 def load() -> None:
-    pass
+    """Modules register their queries when imported."""
+    from plansift.operators import spatial, taxonomy  # noqa: F401
