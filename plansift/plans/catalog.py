@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Modules register their queries when imported."""
-    from plansift.operators import relational, spatial, taxonomy  # noqa: F401
+    from plansift.operators import relational, sequences, spatial, taxonomy  # noqa: F401
