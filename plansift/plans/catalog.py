@@ -3,4 +3,5 @@
 
 def load() -> None:
     """Modules register their queries when imported."""
-    from plansift.operators import relational, sequences, spatial, taxonomy  # noqa: F401
+    from plansift.operators import graphs, relational, sequences, spatial, taxonomy  # noqa: F401
+    from plansift.streaming import visits  # noqa: F401
