@@ -165,7 +165,12 @@ def z05(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-def rate_limited(visits: DataFrame, span: float = 60, limit: int = 120) -> DataFrame:
+def _expire(state: GroupState, at: float) -> None:
+    """Let the state go when the watermark passes ``at`` (seconds)."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limited(visits: DataFrame, span: float = 60, limit: int = 120, late: str = "10 minutes") -> DataFrame:
     """Stream: (``ip``, ``ts``, ``allowed``) of each hit; the state of a key is its window's start and count."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -176,10 +181,10 @@ def rate_limited(visits: DataFrame, span: float = 60, limit: int = 120) -> DataF
         start, used = state.get if state.exists else (None, 0)
         ok, start, used = fixed_windows([t.timestamp() for t in rows["ts"]], span, limit, start, used)
         state.update((start, used))
-        state.setTimeoutDuration(int(span * 1000))
+        _expire(state, start + span)
         yield pd.DataFrame({"ip": key[0], "ts": rows["ts"].to_numpy(), "allowed": ok})
 
-    return visits.select("ip", "ts").groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, allowed boolean", "start double, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return visits.select("ip", "ts").withWatermark("ts", late).groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, allowed boolean", "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ban_steps(times: list[float], burst: int, span: float, cooldown: float, memory: float, ban: float, state: tuple) -> tuple[list[str], tuple]:
@@ -206,7 +211,7 @@ def ban_steps(times: list[float], burst: int, span: float, cooldown: float, memo
     return out, (start, used, until, last, banned)
 
 
-def bans(visits: DataFrame, burst: int = 5, span: float = 10, cooldown: float = 30, memory: float = 300, ban: float = 3600) -> DataFrame:
+def bans(visits: DataFrame, burst: int = 5, span: float = 10, cooldown: float = 30, memory: float = 300, ban: float = 3600, late: str = "10 minutes") -> DataFrame:
     """Stream: (``ip``, ``ts``, ``verdict``) of each hit through the burst - cooldown - ban machine."""
     none = float("-1e18")
 
@@ -217,11 +222,11 @@ def bans(visits: DataFrame, burst: int = 5, span: float = 10, cooldown: float =
         rows = pd.concat(list(batches)).sort_values("ts")
         out, new = ban_steps([t.timestamp() for t in rows["ts"]], burst, span, cooldown, memory, ban, state.get if state.exists else (none, 0, none, none, none))
         state.update(new)
-        state.setTimeoutDuration(int(max(ban, memory) * 1000))
+        _expire(state, rows["ts"].iloc[-1].timestamp() + max(ban, memory))
         yield pd.DataFrame({"ip": key[0], "ts": rows["ts"].to_numpy(), "verdict": out})
 
     schema = "start double, used int, until double, last double, banned double"
-    return visits.select("ip", "ts").groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, verdict string", schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return visits.select("ip", "ts").withWatermark("ts", late).groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, verdict string", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scan_alerts(visits: DataFrame, span: str = "60 seconds", late: str = "5 minutes", least: int = 5) -> DataFrame:

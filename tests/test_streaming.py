@@ -11,10 +11,8 @@ def stream(spark, sf_dir, tmp_path):
 
 
 def drain(df, name, mode="append"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    q.processAllAvailable()
-    q.stop()
-    return q
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
 
 
 def test_scan_alerts(spark, sf_dir, tmp_path):
@@ -27,9 +25,9 @@ def test_scan_alerts(spark, sf_dir, tmp_path):
 
 def test_rate_limit_and_bans(spark, sf_dir, tmp_path):
     s = stream(spark, sf_dir, tmp_path)
-    drain(visits.rate_limited(s, 6 * 3600, 3), "limits")
+    drain(visits.rate_limited(s, 6 * 3600, 3, "40 days"), "limits")
     assert spark.table("limits").count() == views.visit(spark, sf_dir).count()
-    drain(visits.bans(s), "verdicts")
+    drain(visits.bans(s, late="40 days"), "verdicts")
     assert set(r.verdict for r in spark.table("verdicts").distinct().select("verdict").collect()) <= {"ok", "cooldown", "banned"}
 
 
