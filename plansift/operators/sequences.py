@@ -10,7 +10,9 @@ from plansift.plans import views
 from plansift.plans.registry import register
 from plansift.plans.views import oracle, read
 
-_BY_DOC = W.partitionBy("doc_id").orderBy("idx")
+
+def _by_doc():
+    return W.partitionBy("doc_id").orderBy("idx")
 
 
 @register("w01_ngrams", oracle("v_word", """
@@ -32,7 +34,7 @@ WITH x AS (SELECT doc_id, l, t, w, h, lead(l) OVER o AS l2, lead(t) OVER o AS t2
 SELECT doc_id, count(*) AS adjacent FROM x WHERE abs(t2 - t) < 15e-1 * h AND round(l2 - (l + w), 9) > -5e-1 * w AND round(l2 - (l + w), 9) < 2 * w AND t2 = t GROUP BY doc_id"""))
 def w02(spark, sf_dir):
     """Words whose successor stands beside them on the same line."""
-    x = views.word(spark, sf_dir).withColumns({"l2": F.lead("l").over(_BY_DOC), "t2": F.lead("t").over(_BY_DOC)})
+    x = views.word(spark, sf_dir).withColumns({"l2": F.lead("l").over(_by_doc()), "t2": F.lead("t").over(_by_doc())})
     gap = F.round(F.col("l2") - (F.col("l") + F.col("w")), 9)
     near = (F.abs(F.col("t2") - F.col("t")) < 1.5 * F.col("h")) & (gap > -0.5 * F.col("w")) & (gap < 2 * F.col("w")) & (F.col("t2") == F.col("t"))
     return x.where(near).groupBy("doc_id").agg(F.count("*").alias("adjacent"))
@@ -44,7 +46,7 @@ x AS (SELECT doc_id, idx, s, lead(s) OVER (PARTITION BY doc_id ORDER BY idx) AS
 SELECT doc_id, idx FROM x WHERE length(s) > 2 AND (starts_with(s, 'the') OR starts_with('the', s)) AND length(s2) > 2 AND (starts_with(s2, 'anes') OR starts_with('anes', s2))"""))
 def w03(spark, sf_dir):
     """Where two words in a row match the two terms of a phrase by their stems."""
-    x = views.word(spark, sf_dir).withColumn("next", F.lead("tok").over(_BY_DOC))
+    x = views.word(spark, sf_dir).withColumn("next", F.lead("tok").over(_by_doc()))
     return x.where(stem_match(F.col("tok"), F.lit("the")) & stem_match(F.col("next"), F.lit("anes"))).select("doc_id", "idx")
 
 
@@ -54,7 +56,7 @@ t AS (SELECT pair FROM x WHERE pair IS NOT NULL GROUP BY pair HAVING count(DISTI
 SELECT pair, count(*) AS n, min(doc_id) AS first_doc FROM x JOIN t USING (pair) GROUP BY pair"""))
 def w04(spark, sf_dir):
     """Two-word windows that equal a tag; the tags are the pairs that twenty documents have."""
-    x = views.word(spark, sf_dir).select("doc_id", "tok", F.lead("tok").over(_BY_DOC).alias("t2")).where("t2 IS NOT NULL").select("doc_id", F.concat_ws(" ", "tok", "t2").alias("pair"))
+    x = views.word(spark, sf_dir).select("doc_id", "tok", F.lead("tok").over(_by_doc()).alias("t2")).where("t2 IS NOT NULL").select("doc_id", F.concat_ws(" ", "tok", "t2").alias("pair"))
     return x.groupBy("pair").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("d")).where("d >= 20").drop("d")
 
 
