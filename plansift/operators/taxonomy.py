@@ -27,13 +27,17 @@ def descriptions(taxonomy: DataFrame) -> DataFrame:
 def phrase_hits(word: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(``doc_id``, ``code``): the description's words stand in a row on the page.
 
-    Places where the k-th description word meets the page word at place p vote for a phrase that starts at p - k; a
-    start with a vote for each k is a match.
+    The places of a description's rarest word give the starts at which it could stand; only there are the other words
+    looked up, so common words never meet every description that has them.
     """
     asked = descriptions(taxonomy).select("code", F.size("words").alias("n"), F.posexplode("words").alias("k", "tok"))
-    met = word.select("doc_id", "idx", F.lower("tok").alias("tok")).join(asked, "tok")
-    starts = met.groupBy("code", "doc_id", (F.col("idx") - F.col("k")).alias("start"), "n").agg(F.count("*").alias("votes"))
-    return starts.where("votes = n").select("doc_id", "code").distinct()
+    words = word.select("doc_id", "idx", F.lower("tok").alias("tok")).join(asked.select("tok").distinct(), "tok", "left_semi")
+    known = asked.join(words.groupBy("tok").agg(F.count("*").alias("tf")), "tok")
+    rare = known.groupBy("code").agg(F.min_by(F.struct("n", "k", "tok"), F.struct("tf", "k")).alias("r")).select("code", "r.*")
+    starts = words.join(rare, "tok").select("code", "doc_id", (F.col("idx") - F.col("k")).alias("start"), "n")
+    wanted = starts.join(asked.select("code", "k", "tok"), "code").select("code", "doc_id", "start", "n", (F.col("start") + F.col("k")).alias("idx"), "tok")
+    met = wanted.join(words, ["doc_id", "idx", "tok"]).groupBy("code", "doc_id", "start", "n").agg(F.count("*").alias("votes"))
+    return met.where("votes = n").select("doc_id", "code").distinct()
 
 
 def bag_hits(word: DataFrame, taxonomy: DataFrame) -> DataFrame:
