@@ -98,10 +98,10 @@ def p05(spark, sf_dir):
     return n.where(stem_match(F.col("tok"), F.lit("tion")))
 
 
-@register("p07_page_scope", oracle("v_page", "SELECT project_id, count(*) AS pages FROM v_page WHERE regexp_matches(drawing_number, '^(A|FP)-') AND page_number >= 10 GROUP BY project_id"))
+@register("p07_page_scope", oracle("v_page", "SELECT project_id, count(*) AS pages FROM v_page WHERE regexp_matches(drawing_number, '^(A|FP)-') AND lang IN ('en', 'de') GROUP BY project_id"))
 def p07(spark, sf_dir):
     """Pages in scope: listed ones whose drawing number has a listed prefix."""
-    return views.page(spark, sf_dir).where(F.col("drawing_number").rlike("^(A|FP)-") & (F.col("page_number") >= 10)).groupBy("project_id").agg(F.count("*").alias("pages"))
+    return views.page(spark, sf_dir).where(F.col("drawing_number").rlike("^(A|FP)-") & F.col("lang").isin("en", "de")).groupBy("project_id").agg(F.count("*").alias("pages"))
 
 
 @register("p09_strictness", oracle("v_detection", """
