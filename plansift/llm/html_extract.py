@@ -2,19 +2,24 @@
 
 Pages of one host share a template.  Tokens (places in the markup, and blocks of text at a place) that occur equally
 often on every page of a host form an equivalence class; here a class is the tokens with one occurrence signature, a
-hash of their counts over the host's pages that needs no vector in memory.  Classes of more than one token on most of
-the host's pages are valid; nested by their places they are the template.  Its fixed texts are dropped (inside articles
-only those that nearly all pages have), and the slots between them are extracted where they lie in the article: not in
-menus, headers, footers, sidebars, notices, adverts, forms or comments, which markup and names mark.
-
-Scale: signatures combine before the shuffle, so a host with a third of all pages is no hot group.  A host's template
-has at most twice as many tokens as its pages have on average; templates are broadcast only where they are few.
+hash of their counts over the host's distinct pages that needs no vector in memory.  The class of what stands on all
+pages is the template's frame; tokens that nearly all pages have, equally often, belong to it.  A class is valid if it
+has more than one token, places among them, if its tokens keep one order on the pages (those that don't leave it), and
+if it nests: its occurrences lie in one slot of the frame, the same on nearly all pages.  Valid classes are the
+template.  Their fixed texts are dropped (inside articles only those of classes on nearly all pages), and the slots
+between them are extracted where they lie in the article: not in menus, headers, footers, sidebars, notices, adverts,
+forms or comments, which markup and names mark.
+
+Scale: signatures, orders and slots combine before the shuffle, so a host with a third of all pages is no hot group.  A
+host's template has at most twice as many tokens as its pages have on average; templates are broadcast only where they
+are few.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -49,8 +54,8 @@ MARKS = frozenset(
     "replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay pagination pager "
     "widget toolbar login search skip contentinfo complementary form hidden".split()
 )
-#: A text inside articles is the template's if it is on nearly all of many pages.
-MANY, ALL = 20, 0.95
+#: The share of a host's pages that counts as nearly all.
+ALL = 0.95
 HEADERS = frozenset(["header", "head", "topbar", "site-header"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)")
@@ -61,6 +66,7 @@ class Block(NamedTuple):
     text: str
     inside: bool  # in an article or main element
     dropped: bool
+    at: int  # the places before it
 
 
 def _marked(tag: str, attributes: str) -> bool:
@@ -92,7 +98,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
                 _, path, inside, dropped = stack[-1] if stack else ("", "", False, False)
-                out.append(Block(path, body, inside, dropped))
+                out.append(Block(path, body, inside, dropped, len(places)))
             text.clear()
 
     at, size = 0, len(page)
@@ -162,11 +168,18 @@ def page_tokens(page: str) -> Counter:
     return Counter([_token(p) for p in places] + [_token(b.path, b.text) for b in found])
 
 
+def _sequence(page: str) -> list[int]:
+    """The page's tokens in page order."""
+    found, places = blocks(page)
+    keyed = [(2 * n + 1, _token(p)) for n, p in enumerate(places)] + [(2 * b.at, _token(b.path, b.text)) for b in found]
+    return [t for _, t in sorted(keyed, key=lambda x: x[0])]
+
+
 def main_text(page: str, often: frozenset[int], always: frozenset[int]) -> str:
     """The article's blocks, joined by an empty line.
 
-    Inside an article element only texts that all pages have are the template's; where a page marks no article, all
-    of the template's fixed texts go.
+    Inside an article element only the template's texts that nearly all pages have go (``always``); where a page marks
+    no article, all of the template's fixed texts go (``often``).
     """
     found = [b for b in blocks(page)[0] if not b.dropped]
     article = [b for b in found if b.inside]
@@ -180,46 +193,158 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _map_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"host": pa.string(), "token": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "first": pa.int64(), "place": pa.bool_()}
     for b in batches:
-        hosts, tokens, marks = [], [], []
-        for page, (host, body) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)):
-            row = b.column("row")[page].as_py()
-            counts = page_tokens(body)
-            counts[0] = 1  # stands for the page itself
-            for token, n in counts.items():
-                hosts.append(host)
-                tokens.append(token)
-                marks.append(xxhash.xxh3_64_intdigest(f"{row}:{n}") - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(marks, pa.int64())], ["host", "token", "mark"])
-
-
-def classes(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:
-    """(``host``, ``pages``, ``signature``, ``support``, ``tokens``): the valid equivalence classes of each host.
-
-    Valid: on at least ``share`` of the host's pages, of which there are ``least`` or more.  A signature is the XOR over
-    the pages of a hash of the page and the token's count there, so equal signatures are equal occurrence vectors.
+        rows: list[tuple] = []
+        for row, host, body in zip(*(b.column(c).to_pylist() for c in ("row", "host", "html")), strict=True):
+            places = {_token(p) for p in blocks(body)[1]}
+            tokens = _sequence(body)
+            first: dict[int, int] = {0: 0}  # zero stands for the page itself
+            for k, token in enumerate(tokens):
+                first.setdefault(token, k)
+            counts = Counter(tokens) + Counter([0])
+            rows += [(host, t, xxhash.xxh3_64_intdigest(f"{row}:{counts[t]}") - (1 << 63), counts[t], k, t in places) for t, k in first.items()]
+        cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+
+def _distinct(pages: DataFrame) -> DataFrame:
+    """Each content of a host's pages once: copies of a page share its article, which is no template.  Only copies move."""
+    rows = pages.select("host", "html", F.xxhash64("host", "html").alias("row"))
+    copied = saved(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row"), F.lit(True).alias("copied")), "copied")
+    right = F.broadcast(copied) if copied.limit(100_001).count() <= 100_000 else copied
+    flagged = rows.join(right, F.col("row") == F.col("_row"), "left")
+    once = flagged.where("copied").groupBy("row").agg(F.first("host").alias("host"), F.first("html").alias("html"))
+    return flagged.where("copied is null").select("host", "html", "row").unionAll(once.select("host", "html", "row"))
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """The classes of ``_classes`` for pages that may have copies."""
+    return _classes(_distinct(pages))
+
+
+def _classes(pages: DataFrame, share: float = 0.5, least: int = 4) -> DataFrame:
+    """(``host``, ``pages``, ``signature``, ``support``, ``tokens``, ``members``): the equivalence classes of each host.
+
+    Those on at least ``share`` of the host's distinct pages, of which there are ``least`` or more.  A signature is the
+    XOR over the pages of a hash of the page and the token's count there, so equal signatures are equal occurrence
+    vectors.  ``members`` are the tokens with their order (the sum of their positions), whether they are places, and
+    whether they occur equally often on all pages that have them.
     """
-    tokens = pages.select("host", "html", F.xxhash64("id", "url", "html").alias("row")).mapInArrow(_map_tokens, "host string, token long, mark long")
-    seen = saved(tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor("mark").alias("signature")).where(F.col("support") >= least / 2), "tokens")
+    tokens = pages.mapInArrow(_map_tokens, "host string, token long, mark long, n long, first long, place boolean")
+    level = (F.min("n") == F.max("n")).alias("level")
+    counted = tokens.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor("mark").alias("signature"), F.sum("first").alias("order"), F.bool_or("place").alias("place"), level)
+    seen = saved(counted.where(F.col("support") >= least / 2), "tokens")
     hosts = seen.where("token = 0").select(F.col("host").alias("_h"), F.col("support").alias("pages"))
-    often = seen.join(hosts, F.col("host") == F.col("_h")).where((F.col("pages") >= least) & (F.col("support") >= F.col("pages") * share) & (F.col("token") != 0))
-    return often.groupBy("host", "pages", "signature", "support").agg(F.collect_list("token").alias("tokens"))
+    often = seen.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).where((F.col("pages") >= least) & (F.col("support") >= F.col("pages") * share) & (F.col("token") != 0))
+    members = F.array_sort(F.collect_list(F.struct("order", "token", "place", "level")))
+    return often.groupBy("host", "pages", "signature", "support").agg(members.alias("members")).withColumn("tokens", F.col("members.token"))
+
+
+def increasing(found: list[int]) -> set[int]:
+    """A longest increasing part of distinct numbers."""
+    tails: list[int] = []
+    at: list[int] = []
+    back: dict[int, int | None] = {}
+    for x in found:
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+        at[k : k + 1] = [x]
+        back[x] = at[k - 1] if k else None
+    out, x = set(), at[-1] if at else None
+    while x is not None:
+        out.add(x)
+        x = back[x]
+    return out
+
+
+def _layout(tokens: list[int], groups: list[tuple[bool, list[int]]]) -> Iterator[tuple[int, int | None, int]]:
+    """What one page says of its host's classes: (class, token, 0) of tokens out of order, (class, None, slot) of classes.
+
+    The frame comes first in ``groups``.  Its slots are numbered by the frame's token before them; -1: several slots.
+    """
+    known = {t: (g, k) for g, (_, members) in enumerate(groups) for k, t in enumerate(members)}
+    first: dict[int, int] = {}
+    spots = [(p, *known[t], t) for p, t in enumerate(tokens) if t in known]
+    for p, _, _, t in spots:
+        first.setdefault(t, p)
+    by_class: dict[int, list[int]] = {}
+    for p, g, k, t in spots:
+        if first[t] == p:
+            by_class.setdefault(g, []).append(k)
+    straight = {g: increasing(ks) for g, ks in by_class.items()}
+    for g, ks in by_class.items():
+        yield from ((g, groups[g][1][k], 0) for k in ks if k not in straight[g])
+    slots: dict[int, set[int]] = {}
+    now = 0
+    for p, g, k, t in spots:
+        if groups[g][0]:
+            now = k + 1 if first[t] == p and k in straight[g] else now
+        else:
+            slots.setdefault(g, set()).add(now)
+    yield from ((g, None, min(s) if len(s) == 1 else -1) for g, s in slots.items())
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(``host``, ``often``, ``always``): the tokens of each host's valid classes, and of those on nearly all pages."""
+    single = _distinct(pages)
+    found = _classes(single)
+    near = F.col("support") >= ALL * F.col("pages")
+    whole = F.col("support") == F.col("pages")
+    each = found.select("host", "pages", "signature", near.alias("near"), whole.alias("whole"), F.explode("members").alias("m"))
+    frame = F.col("near") & F.col("m.level")
+    core = frame & F.col("whole")
+    # tokens of the frame that some pages lack, or that stand there more often than once, have own slots: only what is nested in one stays
+    group = F.when(core, F.lit(0)).otherwise(F.xxhash64("signature", "near"))
+    parts = each.select("host", "pages", "near", "m", group.alias("group"), core.alias("core"), frame.alias("frame"))
+    listed = parts.groupBy("host", "pages", "group", "core").agg(F.array_sort(F.collect_list("m")).alias("m"), F.bool_or("near").alias("near"), F.bool_and("frame").alias("frame"))
+    groups = saved(listed.select("host", "pages", "group", "core", "near", "frame", F.col("m.token").alias("tokens"), F.col("m.place").alias("places")), "classes")
+    by_host = groups.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((~F.col("core")).alias("later"), "group", "tokens"))).alias("groups"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for host, body, known in zip(*(b.column(c).to_pylist() for c in ("host", "html", "groups")), strict=True):
+                for g, token, slot in _layout(_sequence(body), [(not x["later"], x["tokens"]) for x in known]):
+                    rows.append((host, known[g]["group"], token, slot))
+            cols = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["host", "group", "token", "slot"])
+
+    told = _by_host(single, by_host, "groups").where(F.col("groups").isNotNull()).mapInArrow(run, "host string, group long, token long, slot long")
+    told = saved(told.groupBy("host", "group", "token", "slot").agg(F.count("*").alias("n")), "layout")
+    loose = told.where("token is not null").select("host", "group", "token", "n")
+    most = told.where("token is null").groupBy("host", "group").agg(F.max_by("slot", "n").alias("slot"), F.max("n").alias("same"), F.sum("n").alias("all"))
+    nested = most.where((F.col("slot") >= 0) & (F.col("same") >= ALL * F.col("all"))).select("host", "group", F.lit(True).alias("nested"))
+    tokens = groups.select("host", "pages", "group", "core", "near", "frame", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    tokens = tokens.select("host", "pages", "group", "core", "near", "frame", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    kept = tokens.join(loose, ["host", "group", "token"], "left").where(F.coalesce("n", F.lit(0)) <= (1 - ALL) * F.col("pages"))
+    kept = kept.join(nested, ["host", "group"], "left").where(F.col("core") | F.col("nested"))
+    # tokens that nearly all pages have join the frame, others need a place in their own class
+    kept = kept.withColumn("group", F.when(F.col("frame"), F.lit(0)).otherwise(F.col("group")))
+    sets = kept.groupBy("host", "group").agg(F.collect_list("token").alias("tokens"), F.bool_or("place").alias("marked"), F.bool_and("near").alias("near"))
+    valid = sets.where(F.col("marked") & (F.size("tokens") > 1))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("often"), F.flatten(F.collect_list(F.when(F.col("near"), F.col("tokens")))).alias("always"))
+
+
+def _by_host(rows: DataFrame, found: DataFrame, name: str, tokens: str = "groups.tokens") -> DataFrame:
+    """Rows with their host's template; broadcast only where the templates are few."""
+    found = saved(found, "templates")
+    size = F.sum(F.size(F.flatten(tokens)) if tokens == "groups.tokens" else F.size(tokens))
+    few = (found.agg(size).first()[0] or 0) <= 1_000_000
+    right = found.select(F.col("host").alias("_h"), name if name in found.columns else F.struct(*(c for c in found.columns if c != "host")).alias(name))
+    return rows.join(F.broadcast(right) if few else right, F.col("host") == F.col("_h"), "left").drop("_h")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` (main text, empty if none) and ``n_chars`` (its code points) of every page.
 
-    A null html is an empty page; pages with null or unreadable urls share one host without a name, and repeated rows
-    are pages like any other; a host with few pages has no template, its pages are read by their markup alone; an
-    empty table gives an empty one; other columns are not read.
+    A null html is an empty page; pages with null or unreadable urls share one host without a name; repeated rows are
+    extracted each, but count once for the template; a host with fewer than four distinct pages has no template, its
+    pages are read by their markup alone; an empty table gives an empty one; other columns are not read.
     """
     rows = _pages(pages, id_col, url_col, html_col)
-    sure = F.when((F.col("pages") >= MANY) & (F.col("support") >= ALL * F.col("pages")), F.col("tokens"))
-    found = classes(rows).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("often"), F.flatten(F.collect_list(sure)).alias("always"))
-    found = saved(found, "templates")
-    few = (found.agg(F.sum(F.size("often"))).first()[0] or 0) <= 1_000_000
-    right = found.select(F.col("host").alias("_h"), F.struct("often", "always").alias("template"))
-    joined = rows.join(F.broadcast(right) if few else right, F.col("host") == F.col("_h"), "left").select("id", "url", "host", "html", "template")
+    joined = _by_host(rows, templates(rows), "template", "often").select("id", "url", "host", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[frozenset[int], frozenset[int]]] = {}

@@ -145,6 +145,38 @@ def test_classes_are_equal_occurrence_vectors(spark):
     assert {frozenset(r["tokens"]) for r in got} == {frozenset(v) for v in vectors.values()}
 
 
+def extracted(spark, bodies):
+    rows = [(n, f"http://h.example/{n}", f"<html><body>{b}</body></html>") for n, b in enumerate(bodies)]
+    return {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_article_template_of_a_small_host(spark):
+    bodies = [f"<article><h1>Title {n}</h1>{'<p>Part of %d</p>' % n * (n % 3 + 1)}<div>Share this story</div></article>" for n in range(6)]
+    got = extracted(spark, bodies)
+    assert all(got[n] == [f"Title {n}", *[f"Part of {n}"] * (n % 3 + 1)] for n in got)
+    got = extracted(spark, bodies[:3] * 2)  # copies of three pages are no six pages
+    assert all("Share this story" in t for t in got.values())
+
+
+def test_template_needs_a_class_with_places_in_one_slot(spark):
+    # "Maybe" recurs on most pages, but nothing in the markup comes and goes with it
+    got = extracted(spark, [f"<div><p>own {n}</p>{'<p>Maybe</p>' if n % 4 else '<p>other</p>'}</div>" for n in range(12)])
+    assert got[1] == ["own 1", "Maybe"]
+    # here a list does, always in the same slot
+    got = extracted(spark, [f"<div><p>own {n}</p></div>{'<ul><li>Maybe</ul>' if n % 4 else ''}<h2>end</h2>" for n in range(12)])
+    assert got[1] == ["own 1"]
+    # and here it stands now before, now after the frame's heading
+    lists = ["<ul><li>Maybe</ul><h2>end</h2>", "<h2>end</h2><ul><li>Maybe</ul>", "<h2>end</h2>"]
+    got = extracted(spark, [f"<div><p>own {n}</p></div>{lists[n % 3]}" for n in range(12)])
+    assert got[1] == ["own 1", "Maybe"]
+
+
+def test_tokens_out_of_order_leave_the_template(spark):
+    parts = ["<h2>one</h2>", "<h3>two</h3>", "<h4>three</h4>"]
+    got = extracted(spark, [f"<p>own {n}</p><h5>first</h5>{''.join(parts[n % 3 :] + parts[: n % 3])}<h6>last</h6>" for n in range(12)])
+    assert got[0][0] == "own 0" and "first" not in got[0] and "last" not in got[0] and len(got[0]) > 1
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from plansift.llm import mixture, quality_rules, simhash
