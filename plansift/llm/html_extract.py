@@ -34,8 +34,13 @@ from plansift.llm.common import col, saved
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?<![-\w])(class|id|role|hidden|style|aria-hidden)(?![-\w])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select noembed noframes xmp".split())
-INLINE = frozenset(
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas select noembed noframes xmp annotation annotation-xml".split())
+#: Elements of formulas: inline, their parts are words.
+MATH = frozenset(
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd maction".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: Elements that never hold article text.
@@ -56,6 +61,13 @@ MARKS = frozenset(
 )
 #: The share of a host's pages that counts as nearly all.
 ALL = 0.95
+#: Words that beside a mark leave the name of an article's part a mark: "related-posts", but not "related-work".
+BESIDE = frozenset(
+    "area article articles bar block blocks bottom box btn button buttons card container content form icon icons inline item items left link links list "
+    "post posts right section site slot story stories top unit widgets wrap wrapper".split()
+)
+#: Elements whose ids in an article are anchors of its text.
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 HEADERS = frozenset(["header", "head", "topbar", "site-header"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)")
@@ -69,19 +81,27 @@ class Block(NamedTuple):
     at: int  # the places before it
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class, id or role value marks what is not the article; inside an article a whole name must."""
+    if not inside:
+        return any(w.lower() in MARKS for w in WORDS.findall(value))
+    names = ([w.lower() for w in WORDS.findall(name)] for name in value.split())
+    return any(MARKS.intersection(words) and all(w in MARKS or w in BESIDE for w in words) for words in names)
+
+
+def _marked(tag: str, attributes: str, inside: bool) -> bool:
     for m in NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden":
             return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
+        if name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if name == "aria-hidden" and value == "true":
+        if name == "aria-hidden" and value.lower() == "true" and tag not in MATH:
             return True
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-            if any(w.lower() in MARKS for w in WORDS.findall(m[2] or m[3] or m[4] or "")):
+            if not (inside and name == "id" and tag in ANCHORS) and _named(value, inside):
                 return True
-        if name == "class" and tag == "article" and any(w in ("comment", "reply") for w in WORDS.findall(value)):
+        if name == "class" and tag == "article" and any(w in ("comment", "reply") for w in WORDS.findall(value.lower())):
             return True
     return False
 
@@ -92,6 +112,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
     places: list[str] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside, dropped
     text: list[str] = []
+    held: list[tuple[int, list[str]]] = []  # text around dropped inline elements, with their depth
 
     def flush() -> None:
         if text:
@@ -101,6 +122,17 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 out.append(Block(path, body, inside, dropped, len(places)))
             text.clear()
 
+    def close(k: int, whole: bool) -> None:
+        """The elements from the kth on end; text around a dropped inline element goes on after it."""
+        while held and held[-1][0] >= k:
+            flush()
+            depth, around = held.pop()
+            del stack[depth:]
+            text[:] = around
+        if whole:
+            flush()
+        del stack[k:]
+
     at, size = 0, len(page)
     while at < size:
         m = MARKUP.search(page, at)
@@ -122,8 +154,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 if stack[k][0] == tag:
                     if tag in INLINE and any(t[0] not in INLINE for t in stack[k:]):
                         break  # a stray inline end doesn't close blocks
-                    flush() if tag not in INLINE else None
-                    del stack[k:]
+                    close(k, tag not in INLINE)
                     break
             continue
         if tag in RAW:
@@ -140,7 +171,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             while stack and (stack[-1][0] in INLINE or tag in CLOSED_BY.get(stack[-1][0], ())):
                 if stack[-1][0] in INLINE and not any(tag in CLOSED_BY.get(t[0], ()) for t in stack):
                     break
-                stack.pop()
+                close(len(stack) - 1, True)
         if tag in VOID:
             continue
         _, path, inside, dropped = stack[-1] if stack else ("", "", False, False)
@@ -148,13 +179,16 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             path = f"{path}/{tag}"
             places.append(path)
         inside = inside or tag in ("article", "main") or 'role="main"' in m[3]
-        dropped = dropped or tag in DROPPED or tag in HEADERS and not inside or _marked(tag, m[3])
+        dropped = dropped or tag in DROPPED or tag in HEADERS and not inside or _marked(tag, m[3], stack[-1][2] if stack else False)
+        if tag in MATH:
+            text.append(" ")
         if tag in INLINE and dropped != (stack[-1][3] if stack else False):
-            flush()
+            held.append((len(stack), [*text, " "]))
+            text.clear()
             path = f"{path}/{tag}"
         if not m[0].endswith("/>") or tag not in VOID:
             stack.append((tag, path, inside, dropped))
-    flush()
+    close(0, True)
     return out, places
 
 
@@ -168,9 +202,8 @@ def page_tokens(page: str) -> Counter:
     return Counter([_token(p) for p in places] + [_token(b.path, b.text) for b in found])
 
 
-def _sequence(page: str) -> list[int]:
-    """The page's tokens in page order."""
-    found, places = blocks(page)
+def _sequence(found: list[Block], places: list[str]) -> list[int]:
+    """A page's tokens in page order."""
     keyed = [(2 * n + 1, _token(p)) for n, p in enumerate(places)] + [(2 * b.at, _token(b.path, b.text)) for b in found]
     return [t for _, t in sorted(keyed, key=lambda x: x[0])]
 
@@ -197,8 +230,9 @@ def _map_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         for row, host, body in zip(*(b.column(c).to_pylist() for c in ("row", "host", "html")), strict=True):
-            places = {_token(p) for p in blocks(body)[1]}
-            tokens = _sequence(body)
+            parsed = blocks(body)
+            places = {_token(p) for p in parsed[1]}
+            tokens = _sequence(*parsed)
             first: dict[int, int] = {0: 0}  # zero stands for the page itself
             for k, token in enumerate(tokens):
                 first.setdefault(token, k)
@@ -305,7 +339,7 @@ def templates(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for host, body, known in zip(*(b.column(c).to_pylist() for c in ("host", "html", "groups")), strict=True):
-                for g, token, slot in _layout(_sequence(body), [(not x["later"], x["tokens"]) for x in known]):
+                for g, token, slot in _layout(_sequence(*blocks(body)), [(not x["later"], x["tokens"]) for x in known]):
                     rows.append((host, known[g]["group"], token, slot))
             cols = zip(*rows, strict=True) if rows else [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())

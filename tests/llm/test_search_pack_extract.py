@@ -177,6 +177,23 @@ def test_tokens_out_of_order_leave_the_template(spark):
     assert got[0][0] == "own 0" and "first" not in got[0] and "last" not in got[0] and len(got[0]) > 1
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<p>Hello <span class="ad">BUY</span> world</p><p>next</p>', ["Hello world", "next"]),
+        ('<p>Hello <span hidden>x <b>BUY</b></span>, world <i class="ad">y</i></p>', ["Hello , world"]),
+        ('<p>Hello <span class="ad">BUY</p><p>next</p>', ["Hello", "next"]),
+        ('<div>Hello <span class="ad">BUY<div>more</div></span>world</div>', ["Hello world"]),
+        ('<h2 id="related-work">Related work</h2><section id="search"><p>a</p></section>', ["Related work", "a"]),
+        ('<div class="social-history"><p>b</p></div><p class="alert-level">c</p>', ["b", "c"]),
+        ('<p>d</p><div class="ad-banner">x</div><div class="relatedPosts">y</div><div class="box comments">z</div><div id="search">s</div>', ["d"]),
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds</p>", ["so x = 2 holds"]),
+    ],
+)
+def test_marks_and_inline_elements_of_an_article(body, want):
+    assert html_extract.main_text(f"<main><article>{body}</article></main>", frozenset(), frozenset()).split("\n\n") == want
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from plansift.llm import mixture, quality_rules, simhash
