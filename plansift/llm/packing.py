@@ -13,8 +13,10 @@ per level).  Sequence ids carry the task's partition number, and a task that run
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,14 @@ WINDOW, END = 2048, 1
 Piece = tuple[int, int, int]  # document, start, length
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Byte-level BPE ids of a whole text; strings of special tokens in it are ordinary text.
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """The tokens that the ``tokenizers`` file beside the ranks adds to them; none where there is no such file."""
+    path = Path(ranks_path).with_suffix(".json")
+    return {t["content"]: t["id"] for t in json.loads(path.read_text("utf-8"))["added_tokens"]} if path.exists() else {}
+
+
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    """Byte-level BPE ids of a whole text; ``added`` tokens in it have their own ids, as ``tokenizers`` gives them.
 
     The ranks are the same vocabulary as the ``tokenizers`` file beside them, with the same ids (see the tests), and
     encode several times faster.
@@ -37,7 +45,13 @@ def encoder(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = added or {}
+    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        return encoding.encode(text, allowed_special="all") if any(t in text for t in added) else encoding.encode_ordinary(text)
+
+    return encode
 
 
 class Packer:
@@ -143,9 +157,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     columns are not read.
     """
     path, pattern = tokenizer or default_tokenizer()
+    added = added_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path, pattern), Packer(TaskContext.get().partitionId() << 40, window)
+        encode, packer = encoder(path, pattern, added), Packer(TaskContext.get().partitionId() << 40, window)
         waiting: dict[int, tuple] = {}  # documents with a tail in an open window: id, ids of the tail, its start, size
         count, kind = 0, None
         for b in batches:

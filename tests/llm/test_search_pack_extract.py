@@ -82,6 +82,21 @@ def test_pieces_restore_every_document(docs, texts, odd, tokenizer):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y  <|endoftext", "  \n<|endoftext|>  c", "no such token"]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    encode = packing.encoder(*packing.default_tokenizer(), packing.added_tokens(packing.default_tokenizer()[0]))
+    for n, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert encode(text) == ids
+        assert got[n]["doc_tokens"] == len(ids) + 1
+    assert encode(texts[0]) == [64, 220, 50256, 275]
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(0, 10)
     list(p.add(0, 4))
