@@ -5,9 +5,12 @@ field.  In a leaf, a token that many lines have at the same position is constant
 so lines that differ in fields share a template.  Templates that recur across documents are dropped, if enough of
 their tokens are constant.
 
-Across documents means between different neighbours: a template counts once for each pair of leaves before and after
-it.  Boilerplate stands among different lines every time; the lines of a copied document stand among the same, count
-once, and are left to near-duplicate detection.
+Across documents: a template counts once for each document, however often it stands there, and documents are told
+apart by sketches, the least hashes of their five-word shingles (eight, by different orders, whose counts are
+averaged).  Equal texts have equal sketches, and so have most near copies of a text, which are left to near-duplicate
+detection: a template recurs if it stands under ten sketches or more and these are an eighth of its different texts or
+more (of the copies of one text about one in twenty have a sketch of their own).  Documents that share a notice
+but have a text of their own mostly have sketches of their own.
 
 Scale: lines are hashes until a leaf is known to recur; all counts combine before the shuffle.  The dropped lines
 are broadcast only where they are few, else they are joined.
@@ -28,8 +31,12 @@ from pyspark.sql import types as T
 from plansift.llm.common import bit_filter, col, drop_saved, in_filter, saved
 
 DEPTH = 3
-LEAST_TOKENS = 3
-LEAST_PLACES = 10
+SHINGLE = 5
+LEAST_TOKENS = 1
+LEAST_DOCS = 10
+OWN = 0.125
+#: Odd multipliers: each puts the hashes in another order.
+ORDERS = np.array([2 * k * 0x4F1BBCDCBFA53E0B + 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(8)], np.uint64)
 CONSTANT = 0.6
 FEW = 1_000_000
 FIELD = b"<*>"
@@ -51,23 +58,27 @@ def parsed(text: str | None, depth: int = DEPTH) -> list[tuple[int, list[bytes]]
     return out
 
 
-def _places(lines: list[tuple[int, list[bytes]] | None]) -> list[int]:
-    """Hash of the leaves before and after each line that has tokens."""
-    leaves = [0, *(x[0] for x in lines if x), 0]
-    return [_hash(b"%d %d" % (a, b)) for a, b in zip(leaves, leaves[2:], strict=False)]
+def sketches(text: str | None) -> list[int]:
+    """For each order the least hash of the text's word shingles (of all its words, if it has too few)."""
+    words = (text or "").encode().split()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    runs = max(1, own.size - SHINGLE + 1)
+    h = np.zeros(runs, np.uint64)
+    for k in range(min(SHINGLE, own.size)):
+        h = (h ^ own[k : k + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return [int((h * order).min().view(np.int64)) for order in ORDERS]
 
 
 def _leaves(depth: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves, places = [], []
+            leaves, docs = [], []
             for text in b.column("text").to_pylist():
-                lines = parsed(text, depth)
-                for (leaf, tokens), place in zip(filter(None, lines), _places(lines), strict=True):
-                    if len(tokens) >= least:
-                        leaves.append(leaf)
-                        places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(places, pa.int64())], ["leaf", "place"])
+                own = {leaf for leaf, tokens in filter(None, parsed(text, depth)) if len(tokens) >= least}
+                leaves += own
+                docs += [_hash((text or "").encode())] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(docs, pa.int64())], ["leaf", "doc"])
 
     return run
 
@@ -77,33 +88,31 @@ def _lines(depth: int, least: int, bits: np.ndarray):
         for b in batches:
             rows: list[tuple] = []
             for text in b.column("text").to_pylist():
-                lines = parsed(text, depth)
-                for (leaf, tokens), place in zip(filter(None, lines), _places(lines), strict=True):
-                    if len(tokens) >= least:
-                        rows.append((leaf, place, tokens))
-            if rows:
-                rows = [r for r, ok in zip(rows, in_filter(bits, np.array([r[0] for r in rows])), strict=True) if ok]
-            lead = [sum(t != FIELD for t in r[2][:depth]) for r in rows]
-            rest = [[_hash(t) if t != FIELD else None for t in r[2][depth:]] for r in rows]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [_hash(b" ".join(r[2])) for r in rows], [len(r[2]) for r in rows], lead]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in cols), pa.array(rest, pa.list_(pa.int64()))], ["leaf", "place", "line", "size", "lead", "rest"]
-            )
+                own = {_hash(b" ".join(tokens)): (leaf, tokens) for leaf, tokens in filter(None, parsed(text, depth)) if len(tokens) >= least}
+                passed = in_filter(bits, np.array([leaf for leaf, _ in own.values()], np.int64))
+                if passed.any():
+                    doc, places = _hash((text or "").encode()), sketches(text)
+                    rows += [(leaf, doc, line, places, tokens) for (line, (leaf, tokens)), ok in zip(own.items(), passed, strict=True) if ok]
+            lead = [sum(t != FIELD for t in r[4][:depth]) for r in rows]
+            rest = [[_hash(t) if t != FIELD else None for t in r[4][depth:]] for r in rows]
+            cols = [*([r[k] for r in rows] for k in range(3)), [len(r[4]) for r in rows], lead]
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (rest, [r[3] for r in rows])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *lists], ["leaf", "doc", "line", "size", "lead", "rest", "places"])
 
     return run
 
 
 def recurring_lines(
-    docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_places: int = LEAST_PLACES, constant: float = CONSTANT
+    docs: DataFrame, text_col: str = "text", depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, constant: float = CONSTANT
 ) -> DataFrame:
-    """(``line``, ``template``): masked lines whose template stands in ``least_places`` places or more."""
+    """(``line``, ``template``): masked lines whose template stands in ``least_docs`` documents or more, copies as one."""
     texts = docs.select(col(text_col).cast("string").alias("text"))
-    many = F.col("n") >= least_places
-    leaves = texts.mapInArrow(_leaves(depth, least_tokens), "leaf long, place long").distinct()
+    many = F.col("n") >= least_docs
+    leaves = texts.mapInArrow(_leaves(depth, least_tokens), "leaf long, doc long").distinct()
     bits = bit_filter(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(many), "leaf")
-    schema = "leaf long, place long, line long, size long, lead long, rest array<long>"
+    schema = "leaf long, doc long, line long, size long, lead long, rest array<long>, places array<long>"
     rows = saved(texts.mapInArrow(_lines(depth, least_tokens, bits), schema), "lines")
-    places = saved(rows.select("leaf", "line", "place").distinct(), "places")
+    places = saved(rows.select("line", "doc", "places").dropDuplicates(["line", "doc"]), "places")
     weight = places.groupBy("line").agg(F.count("*").alias("n"))
     shapes = saved(rows.select("leaf", "line", "size", "lead", "rest").dropDuplicates(["line"]).join(weight, "line"), "shapes")
     tokens = shapes.select("leaf", "line", "n", F.posexplode("rest").alias("pos", "token")).where(F.col("token").isNotNull())
@@ -111,7 +120,9 @@ def recurring_lines(
     fixed = tokens.join(often, ["leaf", "pos", "token"], "left_semi").groupBy("line").agg(F.bit_xor(F.xxhash64("pos", "token")).alias("mark"), F.count("*").alias("fixed"))
     solid = F.col("lead") + F.coalesce("fixed", F.lit(0)) >= F.col("size") * constant
     named = saved(shapes.join(fixed, "line", "left").where(solid).select("line", F.xxhash64("leaf", F.coalesce("mark", F.lit(0))).alias("template")), "templates")
-    spread = named.join(places, "line").select("template", "place").distinct().groupBy("template").agg(F.count("*").alias("n")).where(many)
+    stands = named.join(places, "line").dropDuplicates(["template", "doc"]).select("template", F.posexplode("places").alias("order", "place"))
+    counts = stands.groupBy("template", "order", "place").agg(F.count("*").alias("docs")).groupBy("template").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"))
+    spread = counts.where((F.col("n") >= least_docs * len(ORDERS)) & (F.col("n") >= F.col("docs") * OWN))
     out = saved(named.join(spread, "template", "left_semi").select("line", "template"), "recurring")
     for df in (rows, places, shapes, named):
         drop_saved(df)
@@ -145,9 +156,9 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", few: int = FEW, **op
     """``docs`` with its recurring template lines taken out of the text, and ``n_lines`` and ``n_dropped`` (long) added.
 
     All other columns stay, and every row: a text may become empty.  Lines are told apart by their tokens, so white
-    space at a line's ends does not matter.  Null texts stay null with counts of 0; blank lines stay; lines of fewer
-    than ``least_tokens`` tokens stay; rows that repeat a text stand in the same places and count once; an empty table
-    gives an empty one.  The added columns replace any of the same name.
+    space at a line's ends does not matter.  Null texts stay null with counts of 0; blank lines stay, and lines of
+    fewer than ``least_tokens`` tokens; a line that only one document repeats stays; rows that repeat a text count
+    once; an empty table gives an empty one.  The added columns replace any of the same name.
     """
     gone = recurring_lines(docs, text_col, **options)
     whole = F.struct(*(col(c) for c in docs.columns)).alias("whole")  # names that clash with ours stay apart

@@ -1,6 +1,7 @@
 """Line, substring and near-duplicate dedup, and components, against brute force."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,48 +107,69 @@ def test_repeated_passages(spark, docs, texts, odd):
     assert phrase_dedup.digest(docs.limit(0)).count() == 0
 
 
-def templates_by_hand(texts, depth=3, least=3, places=10, constant=0.6):
+def masked(line):
+    """Tokens of a line, those with a digit as fields; None without tokens."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
+    return tuple("<*>" if re.search("[0-9]", t) else t for t in tokens) or None
+
+
+def templates_by_hand(texts, docs=10, constant=0.6, depth=3):
     """Recurring masked lines, with sets and loops."""
-    found = []
-    for text in texts:
-        lines = [x for x in line_templates.parsed(text, depth) if x]
-        leaves = [0, *(x[0] for x in lines), 0]
-        found += [(leaf, tuple(t), (a, b)) for (leaf, t), a, b in zip(lines, leaves, leaves[2:], strict=False) if len(t) >= least]
+    where = defaultdict(set)
+    for text in set(texts):
+        for t in {masked(x) for x in (text or "").split("\n")} - {None}:
+            where[t].add(text)
+    leaf = lambda t: (len(t), t[:depth])
     at = defaultdict(set)
-    for leaf, _, place in found:
-        at[leaf].add(place)
-    found = [x for x in found if len(at[x[0]]) >= places]
-    spots = defaultdict(set)
-    for leaf, t, place in found:
-        spots[leaf, t].add(place)
+    for t, own in where.items():
+        at[leaf(t)] |= own
+    where = {t: own for t, own in where.items() if len(at[leaf(t)]) >= docs}
     often = Counter()
-    for (leaf, t), ps in spots.items():
+    for t, own in where.items():
         for k, tok in enumerate(t[depth:]):
-            if tok != line_templates.FIELD:
-                often[leaf, k, tok] += len(ps)
-    groups = defaultdict(set)
-    named = {}
-    for (leaf, t), ps in spots.items():
-        fixed = frozenset((k, tok) for k, tok in enumerate(t[depth:]) if often[leaf, k, tok] >= places)
-        if sum(x != line_templates.FIELD for x in t[:depth]) + len(fixed) >= len(t) * constant:
-            named[t] = (leaf, fixed)
-            groups[leaf, fixed] |= ps
-    return {t for t, g in named.items() if len(groups[g]) >= places}
+            often[leaf(t), k, tok] += len(own) * (tok != "<*>")
+    groups, named = defaultdict(set), {}
+    for t, own in where.items():
+        fixed = frozenset((k, tok) for k, tok in enumerate(t[depth:]) if often[leaf(t), k, tok] >= docs)
+        if sum(x != "<*>" for x in t[:depth]) + len(fixed) >= len(t) * constant:
+            named[t] = (leaf(t), fixed)
+            groups[leaf(t), fixed] |= own
+    spread = {g: sum(map(len, map(set, zip(*map(line_templates.sketches, own), strict=True)))) / 8 for g, own in groups.items()}
+    return {t for t, g in named.items() if spread[g] >= docs and 8 * spread[g] >= len(groups[g])}
+
+
+def letters(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n))
 
 
 def test_line_templates(spark, docs, texts, odd):
-    extra = [(7000 + n, f"unique start {n * n}{'abcdefghij'[n % 10] * n}\nPage {n} of {n + 7} printed by user{n} today\nunique end {'xyz' * n}", None, None, None) for n in range(30)]
-    copies = [(8000 + n, "the very same first line\nthe very same second line here\nthe very same third line", None, None, None) for n in range(30)]
-    rows = docs.unionByName(spark.createDataFrame(extra + copies, docs.schema))
-    everything = texts | {r[0]: r[1] for r in extra + copies}
+    rng = np.random.default_rng(5)
+    notice = "This page is part of the public archive\nAll times are given in local time\nWrite to the desk for corrections"
+    body = letters(rng, 400).split()
+    extra = [f"{letters(rng, 5)}\nPage {n} of {n + 7} printed by user{n} today\n{letters(rng, 5)}" for n in range(30)]
+    extra += [f"{notice}\n{letters(rng, 8)}" for _ in range(60)]
+    extra += ["the very same first line\nthe very same second line here\nthe very same third line"] * 30
+    extra += ["\n".join(f"{letters(rng, 4)}\nonly this document says so" for _ in range(12))]
+    # near copies of one text: forty lines of ten words, of which each copy has five words of its own
+    for _ in range(60):
+        own = list(body)
+        for k in rng.choice(400, 5, replace=False):
+            own[k] = letters(rng, 1)
+        extra.append("\n".join(" ".join(own[k : k + 10]) for k in range(0, 400, 10)))
+    rows = [(7000 + n, t, None, None, None) for n, t in enumerate(extra)]
+    everything = texts | {r[0]: r[1] for r in rows}
     gone = templates_by_hand(everything.values())
-    got = {r["doc_id"]: r for r in line_templates.digest(rows).collect()}
+    table = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r["doc_id"]: r for r in line_templates.digest(table).collect()}
     for i, text in everything.items():
-        kept = [raw for raw, x in zip((text or "").split("\n"), line_templates.parsed(text), strict=True) if not (x and tuple(x[1]) in gone)]
+        kept = [raw for raw in (text or "").split("\n") if masked(raw) not in gone]
         assert (got[i]["text"] or "") == "\n".join(kept)
-    assert all("printed by" not in got[i]["text"] for i in range(7000, 7030)) and got[8000]["n_dropped"] == 0
-    joined = {r["doc_id"]: r for r in line_templates.drop_recurring(rows.select("doc_id", "text"), few=-1).collect()}
+    assert all(got[i]["n_dropped"] == 1 and "printed by" not in got[i]["text"] for i in range(7000, 7030))
+    assert all(got[i]["n_dropped"] == 3 and got[i]["n_lines"] == 4 for i in range(7030, 7090))  # the notice goes whole
+    assert all(got[i]["n_dropped"] == 0 for i in range(7090, 7181))  # copies, a document's own repeats, near copies
+    joined = {r["doc_id"]: r for r in line_templates.drop_recurring(table.select("doc_id", "text"), few=-1).collect()}
     assert joined == got
     out = line_templates.drop_recurring(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and out.count() == odd.count()
     assert out.where(F.col("doc_id") == 0).first()["text"] is None
+    assert line_templates.drop_recurring(odd.limit(0)).count() == 0
