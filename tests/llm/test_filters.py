@@ -1,6 +1,8 @@
 """Quality rules, secrets, licences and mixing against brute force, and on odd rows."""
 
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -82,11 +84,43 @@ def test_secrets(docs, texts, odd):
     ],
 )
 def test_secret_forms(text, want):
-    auto = secret_scan.compile_rules()
-    found = secret_scan.spans(text, secret_scan.scan(text.encode(), auto))
+    found = secret_scan.spans(text, secret_scan.scanner())
     assert ",".join(f"{secret_scan.RULES[n].kind}:{a}:{b}" for a, n, b in found if n != 2 or "hex" in want) == want
 
 
+def spans_by_re(text, rules):
+    """What Python's own regex engine finds: leftmost, greedy, not overlapping."""
+    out = []
+    for n, rule in enumerate(rules):
+        for m in re.finditer(f"(?P<head>{rule.head})(?P<body>{rule.body})", text):
+            if len(m["body"]) >= rule.least:
+                out.append((m.start(), n, m.end()))
+    return sorted(out)
+
+
+PARTS = ["password", "PASSWD", "secret", "token", "api_key", "ApiKey", '"', "'", " ", ":", "=", "==", "AKIA", "ABCDEF1234", "0123456789abcdef", "deadbeef", "ghp_", "a1" * 18, "xoxb-", "eyJ", ".eyJ",
+         ".", "abcdefghijkl", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "é", "\n", "zz", "AIza", "_", "-", "A", "f"]
+
+
+def test_all_spans_come_from_the_automaton(texts):
+    rng, auto = random.Random(1), secret_scan.scanner()
+    mixed = ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    for text in [*mixed, *filter(None, texts.values())]:
+        assert secret_scan.spans(text, auto) == spans_by_re(text, auto.rules)
+    blind = auto._replace(all=secret_scan.compile_rules(["never such text"]))
+    assert secret_scan.spans("secret=abcdefghijklmnop", auto) and not secret_scan.spans("secret=abcdefghijklmnop", blind)
+
+
+def test_long_texts_take_their_length(spark):
+    auto = secret_scan.scanner()
+    text = "eyJ" * 200_000 + ".eyJ" + "é" * 100_000 + "-----BEGIN PRIVATE KEY-----" * 10_000 + "secret=" * 100_000 + "0" * 300_000
+    started = time.monotonic()
+    found = secret_scan.spans(text, auto)
+    assert time.monotonic() - started < 20
+    assert found[-1][1] in (0, 2) and found[-1][2] == len(text)
+    assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_license_lines(odd, docs, texts):
     got = {(r["doc_id"], r["line_no"]): r["license"] for r in license_scan.scan(odd).collect()}
     assert got == {(7, 2): "CC-BY-NC-4.0"}
