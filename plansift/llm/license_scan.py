@@ -1,17 +1,25 @@
 """License scans by Dice coefficient over word bigrams, with DataFrame functions only.
 
-Every line of a text, and the text as a whole, is normalised (letters A-Z lower, other characters than a-z and 0-9 to
-one space) and compared with licence templates as sets of word bigrams.  Dice of sets of sizes a and b is at most
-2 min(a, b) / (a + b), so a template is only compared with candidates whose size lies within
-[t / (2 - t), (2 - t) / t] times its own; most lines meet no template or few.
-
-Scale: one map over the texts, no shuffle; the templates are a fixed list and travel in the plan.
+Texts are normalised (letters A-Z lower, other characters than a-z and 0-9 to one space) and their units compared with
+licence templates as sets of word bigrams.  Units are lines, sentences of a line, paragraphs, the whole text, and, since
+licences are wrapped, runs of lines that have about as many words as a template.  Dice of sets of sizes a and b is at
+most 2 min(a, b) / (a + b), so a template is only compared with units whose size lies within [t / (2 - t), (2 - t) / t]
+times its own.
+
+Before that, units without enough of a template's telling words are left out.  A unit of Dice t or more has at least
+t / (2 - t) of a template's bigrams; the telling words stand in more bigrams than the rest, so that every such unit
+has one of them at least, and long templates ask for many.  Most texts have none and are not even split into lines.
+
+Scale: one map over the texts; only units that were found are grouped by their text.  The templates are a fixed list
+and travel in the plan.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +27,22 @@ from pyspark.sql import functions as F
 from plansift.llm.common import col
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Notices and short forms of well-known public licences.
+#: Parts of the licence texts below.
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CONDITIONS = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+#: Notices, short forms and texts of well-known public licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("All-Rights-Reserved", "All rights reserved."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", BSD_GRANT),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -37,17 +54,52 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", ISC_GRANT),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", MIT_GRANT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", f"{MIT_GRANT} {MIT_NOTICE} {MIT_WARRANTY}"),
+    ("MIT", MIT_WARRANTY),
+    ("BSD-2-Clause", f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_GRANT} {BSD_CONDITIONS} {BSD_NAME} {BSD_WARRANTY}"),
+    ("ISC", f"{ISC_GRANT} {ISC_WARRANTY}"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("All-Rights-Reserved", "All rights reserved."),
+)
+
+
+#: Parts of words that licences have more often than other texts.
+MARKS = (
+    "licens", "copyright", "software", "warrant", "distribut", "merchantab", "infring", "liab", "damage", "permission", "permitted", "reserved", "document", "disclaim", "contribut", "foundation",
+    "encumber", "domain", "mozilla", "eclipse", "creative", "commons", "attribution", "apache", "author", "gnu", "copies", "modif", "commercial", "sharealike", "noncommercial", "restrict", "negligen",
+    "dealing", "implied", "express", "tort", "fitness", "waived", "neighboring", "source", "binary", "program", "publish", "general public", "4 0", "cc by", "by nc", "by sa", "3 clause", "the mit",
 )
+#: The most lines of a wrapped licence.
+LINES = 40
+SENTENCE = "[.!?] +"
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a normalised template."""
+    return re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
 
 
 def bigrams_of(text: str) -> list[str]:
     """Distinct word bigrams of a normalised template, in order."""
-    words = re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
+    words = words_of(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
@@ -56,6 +108,38 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
+class Telling(NamedTuple):
+    """``marks``: parts of words, or pairs of words, that tell licences; ``needed``: how many each template asks for."""
+
+    marks: list[str]
+    needed: list[int]
+
+
+def telling(grams: list[list[str]], threshold: float) -> Telling:
+    """Marks of which a unit of Dice ``threshold`` or more has some, whatever bigrams it lacks.
+
+    Greedily those of ``MARKS`` that help most templates, then the templates' own words, longer ones first, and pairs of
+    words.  A marked word stands in two bigrams at most, which gives the number that a template asks for.
+    """
+    spare = [len(g) - bounds(len(g), threshold)[0] for g in grams]
+    covered: list[set[str]] = [set() for _ in grams]
+    marks: list[str] = []
+    for least in (99, 9, 7, 0):
+        pool = list(MARKS) if least == 99 else sorted({w for g in grams for x in g for w in (x.split() if least else [x]) if len(w) >= least})
+        holds = {m: [{x for x in g if (m == x if " " in m else any(m in w for w in x.split()))} for g in grams] for m in pool}
+        while True:
+            short = [n + 1 - len(c) for n, c in zip(spare, covered, strict=True)]
+            if max(short) <= 0:
+                break
+            gain = {m: sum(min(len(h - c), n) for h, c, n in zip(holds[m], covered, short, strict=True) if n > 0) for m in pool}
+            best = max(pool, key=lambda m: gain[m])
+            if not gain[best]:
+                break
+            marks.append(best)
+            covered = [c | h for c, h in zip(covered, holds[best], strict=True)]
+    return Telling(marks, [math.ceil((len(c) - n) / 2) for c, n in zip(covered, spare, strict=True)])
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
 
@@ -65,32 +149,97 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _pattern(marks: list[str], between: str) -> str:
+    return "|".join(m.replace(" ", between) for m in marks)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(``id_col``, ``line_no``, ``license``, ``dice``, ``n_bigrams``) of each line, or whole text, that is a licence.
+    """(``id_col``, ``line_no``, ``line_to``, ``license``, ``dice``, ``n_bigrams``) of each unit that is a licence.
 
-    ``line_no`` counts from 1; 0 is the whole text, compared where it has more than one line.  The best template is
-    given, ties to the first in the list.  Null and empty texts and one-word lines have no bigrams and give no row;
-    null ids are carried; repeated rows give repeated results; an empty table gives an empty one; other columns are
-    not read.
+    Lines count from 1, from ``line_no`` to ``line_to``; 0 is the whole text, compared where it has more than one line.
+    A unit's template is the best, ties to the first in the list.  Of units that share a line only those are given that
+    no better one overlaps: the larger Dice, then the earlier template, start and end.  Null and empty texts and units
+    of one word have no bigrams and give no row; null ids are carried; repeated rows give repeated results; an empty
+    table gives an empty one; very long texts are read whole; other columns are not read.
     """
+    sizes = [len(words_of(t)) for _, t in templates]
     grams = [bigrams_of(t) for _, t in templates]
     limits = [bounds(len(g), threshold) for g in grams]
-    least, most = min(a for a, _ in limits), max(b for _, b in limits)
+    marks, needed = telling(grams, threshold)
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    units = F.concat(F.array(F.when(F.size(lines) > 1, text)), lines)
-    rows = docs.select(col(id_col).alias("id"), F.posexplode(units).alias("line_no", "line")).where(F.col("line").isNotNull())
-    words = rows.select("id", "line_no", F.split(_normal(F.col("line")), " ").alias("words")).where(F.size("words") > least)
-    sized = _once(words, "id", "line_no", grams=_bigrams(F.col("words"))).where(F.size("grams").between(least, most))
+    lower = F.lower(text)
+    plain, pairs = [m for m in marks if " " not in m], [m for m in marks if " " in m]
+    told = reduce(Column.__or__, [lower.contains(m) for m in plain])
+    told = told | lower.rlike(_pattern(pairs, "[^a-z0-9]+")) if pairs else told
+    marked = F.regexp_count("x", F.lit(_pattern(marks, " ")))
+    picked = docs.where(told).select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), text.alias("text"))
+    lines = _once(picked, "row", "id", raw=F.split("text", "\n"))
+    lines = _once(lines, "row", "id", "raw", norm=F.transform("raw", _normal))
+
+    # the whole text
+    whole = lines.where(F.size("raw") > 1).select("row", "id", F.lit(0).alias("line_no"), F.lit(0).alias("line_to"), _joined(F.col("norm")).alias("x"), F.lit(-1).alias("only"))
+    # from every line on: the lines that follow
+    at = F.col("at")
+    ahead = lines.select("row", "id", F.posexplode("raw").alias("at", "line"), F.slice("norm", at + 1, LINES).alias("next"), (F.get("norm", at - 1) == "").alias("open"))
+    ahead = ahead.where(F.get("next", F.lit(0)) != "")
+    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", told=F.transform("next", lambda x: F.regexp_count(x, F.lit(_pattern(marks, " ")))))
+    ahead = ahead.where(F.exists("told", lambda n: n > 0))
+    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", "told", n=F.transform("next", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)))
+    total = lambda xs, k: F.aggregate(F.slice(xs, 1, k), F.lit(0), lambda a, x: a + x)
+    upto = F.transform(F.sequence(F.lit(1), F.size("n")), lambda k: F.struct(total(F.col("n"), k).alias("words"), total(F.col("told"), k).alias("told")))
+    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", "told", "n", upto=upto)
+    # one line, and its sentences
+    single = ahead.where(F.get("told", F.lit(0)) > 0)
+    sentences = F.when(F.col("line").rlike(SENTENCE), F.transform(F.split("line", SENTENCE), _normal))
+    single = single.select("row", "id", (at + 1).alias("line_no"), (at + 1).alias("line_to"), F.explode(F.concat(F.slice("next", 1, 1), F.coalesce(sentences, F.array().cast("array<string>")))).alias("x"), F.lit(-1).alias("only"))
+    # runs of lines: a paragraph, and those that come nearest to a template's number of words
+    blank = F.array_position("n", 0).cast("int")
+    ends = F.when(blank > 0, blank - 1).when(F.size("n") < LINES, F.size("n"))
+    opens = F.coalesce("open", F.lit(True)) & (ends > 1)
+    spec = F.array(*(F.struct(F.lit(n).alias("only"), F.lit(sizes[n]).alias("size"), F.lit(limits[n][0]).alias("least"), F.lit(needed[n]).alias("needed")) for n in range(len(templates))))
+
+    def runs(t: Column) -> Column:
+        below = F.size(F.filter("upto", lambda u: u["words"] < t["size"]))
+        return F.transform(F.array(below, below + 1), lambda k: F.struct(k.alias("k"), t["only"].alias("only"), t["least"].alias("least"), t["needed"].alias("needed")))
+
+    def enough(u: Column) -> Column:
+        sums = F.get("upto", u["k"] - 1)
+        return u["k"].between(2, F.size("n")) & (sums["words"] > u["least"]) & (sums["told"] >= u["needed"])
+
+    paragraph = F.when(opens, F.array(F.struct(ends.alias("k"), F.lit(-1).alias("only"), F.lit(min(a for a, _ in limits)).alias("least"), F.lit(1).alias("needed"))))
+    units = F.filter(F.concat(F.flatten(F.transform(spec, runs)), F.coalesce(paragraph, F.array().cast("array<struct<k:int,only:int,least:int,needed:int>>"))), enough)
+    wrapped = ahead.select("row", "id", "at", "next", F.explode(units).alias("u"))
+    wrapped = wrapped.select("row", "id", (at + 1).alias("line_no"), (at + F.col("u.k")).alias("line_to"), _joined(F.slice("next", 1, F.col("u.k"))).alias("x"), F.col("u.only").alias("only"))
+
+    least, most = min(a for a, _ in limits), max(b for _, b in limits)
+    every = whole.unionAll(single).unionAll(wrapped).where(marked > 0)
+    words = every.select("row", "id", "line_no", "line_to", "only", F.split("x", " ").alias("words")).where(F.size("words") > least)
+    sized = _once(words, "row", "id", "line_no", "line_to", "only", grams=_bigrams(F.col("words"))).where(F.size("grams").between(least, most))
 
     def compared(n: int) -> Column:
         shared = F.size(F.array_intersect("grams", F.array(*map(F.lit, grams[n]))))
-        dice = F.when(F.size("grams").between(*limits[n]), 2.0 * shared / (F.size("grams") + len(grams[n])))
+        fits = F.size("grams").between(*limits[n]) & F.col("only").isin(-1, n)
+        dice = F.when(fits, 2.0 * shared / (F.size("grams") + len(grams[n])))
         return F.struct(dice.alias("dice"), F.lit(-n).alias("order"), F.lit(templates[n][0]).alias("license"))
 
     best = F.array_max(F.array(*map(compared, range(len(templates)))))
-    found = _once(sized, "id", "line_no", "grams", best=best).where(F.col("best.dice") >= threshold)
-    return found.select(F.col("id").alias(id_col), "line_no", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), F.size("grams").alias("n_bigrams"))
+    found = _once(sized, "row", "id", "line_no", "line_to", "grams", best=best).where(F.col("best.dice") >= threshold)
+    rank = F.struct((-F.col("best.dice")).alias("loss"), (-F.col("best.order")).alias("order"), F.col("line_no"), F.col("line_to"), F.size("grams").alias("n_bigrams"), F.col("best.license").alias("license"))
+    # the best of each start, in order: what overlaps stands within LINES places of one another; a text's units at most
+    starts = found.groupBy("row", "id", "line_no").agg(F.min(rank).alias("u")).groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "u"))).alias("us"))
+
+    def stays(s: Column, k: Column) -> Column:
+        u = s["u"]
+        near = F.slice("us", F.greatest(k + 1 - LINES, F.lit(1)), 2 * LINES)
+        beaten = F.exists(near, lambda v: (v["line_no"] > 0) & (v["line_no"] <= u["line_to"]) & (v["u"]["line_to"] >= u["line_no"]) & (v["u"] < u))
+        return (u["line_no"] == 0) | ~beaten
+
+    kept = starts.select("id", F.explode(F.filter("us", stays)["u"]).alias("u"))
+    return kept.select(F.col("id").alias(id_col), "u.line_no", "u.line_to", "u.license", (-F.col("u.loss")).alias("dice"), "u.n_bigrams")
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def _once(df: DataFrame, *names: str, **value: Column) -> DataFrame:

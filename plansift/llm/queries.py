@@ -116,24 +116,48 @@ FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
 
 
 def _op4_sql() -> str:
-    """Every line against every template, without the bounds."""
-    rows = ", ".join(f"({n}, '{name}', {license_scan.bigrams_of(text)!r})" for n, (name, text) in enumerate(license_scan.TEMPLATES))
+    """Every unit against every template it may have, without bounds or marks."""
+    rows = ", ".join(f"({n}, '{name}', {license_scan.bigrams_of(text)!r}, {len(license_scan.words_of(text))})" for n, (name, text) in enumerate(license_scan.TEMPLATES))
+    normal = f"trim(regexp_replace(translate({{}}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    last, sentence = license_scan.LINES - 1, license_scan.SENTENCE
     return rf"""
-WITH t(nth, license, grams) AS (VALUES {rows}),
+WITH t(nth, license, grams, size) AS (VALUES {rows}),
 l AS (
-  SELECT doc_id, unnest(range(len(x) + 1)) AS line_no, unnest(list_concat([CASE WHEN len(x) > 1 THEN text END], x)) AS line
-  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents)),
-w AS (
-  SELECT doc_id, line_no, string_split(trim(regexp_replace(translate(line, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
-  FROM l WHERE line IS NOT NULL),
+  SELECT rid, doc_id, len(x) AS n_lines, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+m AS (
+  SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS w
+  FROM (SELECT *, {normal.format("line")} AS norm FROM l)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY rid ORDER BY i) AS cum, lag(w) OVER (PARTITION BY rid ORDER BY i) AS before FROM m),
+near AS (SELECT a.rid, a.i, a.w, a.before, a.cum - a.w AS base, z.i AS j, z.w AS zw, z.cum FROM c a JOIN c z ON a.rid = z.rid AND z.i BETWEEN a.i AND a.i + {last} WHERE a.w > 0),
+runs AS (
+  SELECT rid, i, nth AS pick, unnest([below, below + 1]) AS k, n
+  FROM (SELECT rid, i, nth, count(*) FILTER (WHERE cum - base < size) AS below, count(*) AS n FROM near CROSS JOIN t GROUP BY ALL)),
+paras AS (
+  SELECT rid, i, -1 AS pick, CASE WHEN z IS NOT NULL THEN z - i WHEN n <= {last} THEN n END AS k, n
+  FROM (SELECT rid, i, min(j) FILTER (WHERE zw = 0) AS z, count(*) AS n FROM near WHERE coalesce(before, 0) = 0 GROUP BY ALL)),
+u AS (
+  SELECT rid, i, i + k - 1 AS j, pick FROM runs WHERE k BETWEEN 2 AND n
+  UNION ALL SELECT rid, i, i + k - 1, pick FROM paras WHERE k > 1),
+x AS (
+  SELECT rid, i, j, pick, x FROM (
+    SELECT u.rid, u.i, u.j, u.pick, string_agg(m.norm, ' ' ORDER BY m.i) AS x FROM u JOIN m ON u.rid = m.rid AND m.i BETWEEN u.i AND u.j AND m.norm <> '' GROUP BY ALL)
+  UNION ALL SELECT rid, i, i, -1, norm FROM m
+  UNION ALL SELECT rid, i, i, -1, {normal.format("x")} FROM (SELECT rid, i, unnest(string_split_regex(line, '{sentence}')) AS x FROM m WHERE regexp_matches(line, '{sentence}'))
+  UNION ALL SELECT rid, 0, 0, -1, string_agg(norm, ' ' ORDER BY i) FROM m WHERE n_lines > 1 AND norm <> '' GROUP BY rid),
 g AS (
-  SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams
-  FROM w WHERE len(words) > 1),
+  SELECT rid, i, j, pick, list_distinct(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) AS grams
+  FROM (SELECT rid, i, j, pick, string_split(x, ' ') AS words FROM x) WHERE len(words) > 1),
 d AS (
-  SELECT doc_id, line_no, len(g.grams) AS n, t.nth, t.license, 2e0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g CROSS JOIN t)
-SELECT doc_id, line_no::INT AS line_no, license, dice, n::INT AS n_bigrams FROM d WHERE dice >= 8e-1
-QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, nth) = 1
+  SELECT rid, i, j, len(g.grams) AS n, t.nth, t.license, 2e0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+  FROM g JOIN t ON g.pick IN (-1, t.nth)),
+s AS (
+  SELECT * FROM d WHERE dice >= 8e-1
+  QUALIFY row_number() OVER (PARTITION BY rid, i ORDER BY dice DESC, nth, j, n) = 1)
+SELECT doc_id, s.i::INT AS line_no, s.j::INT AS line_to, license, dice, s.n::INT AS n_bigrams
+FROM s JOIN (SELECT DISTINCT rid, doc_id FROM l) USING (rid)
+WHERE s.i = 0 OR NOT EXISTS (
+  SELECT 1 FROM s v WHERE v.rid = s.rid AND v.i > 0 AND v.i <= s.j AND v.j >= s.i AND (-v.dice, v.nth, v.i, v.j) < (-s.dice, s.nth, s.i, s.j))
 """
 
 

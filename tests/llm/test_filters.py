@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import time
 from collections import Counter, defaultdict
 
@@ -121,17 +122,44 @@ def test_long_texts_take_their_length(spark):
     assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_license_lines(odd, docs, texts):
-    got = {(r["doc_id"], r["line_no"]): r["license"] for r in license_scan.scan(odd).collect()}
-    assert got == {(7, 2): "CC-BY-NC-4.0"}
-    grams = [set(license_scan.bigrams_of(t)) for _, t in license_scan.TEMPLATES]
-    want = set()
-    for i, text in texts.items():
-        for n, line in enumerate((text or "").split("\n"), 1):
-            own = set(license_scan.bigrams_of(line))
-            if own and max(2 * len(own & g) / (len(own) + len(g)) for g in grams) >= 0.8:
-                want.add((i, n))
-    assert {(r["doc_id"], r["line_no"]) for r in license_scan.scan(docs).collect() if r["line_no"]} == want
+def test_license_units_agree_with_sql(spark, sf_dir, odd, docs):
+    import duckdb
+    from plansift.llm.queries import oracle_sql
+
+    mit = f"{license_scan.MIT_GRANT} {license_scan.MIT_NOTICE} {license_scan.MIT_WARRANTY}"
+    code = "\n".join(f"def helper_{n}(a, b):\n    return a * {n} + b\n" for n in range(40))
+    apache = dict(license_scan.TEMPLATES[1:2])["Apache-2.0"]
+    extra = [
+        f"{code}\n{textwrap.fill(mit, 72)}\n{code}",
+        "\n".join(f" * {x}" for x in ["/*", *textwrap.wrap(apache, 76), ""]) + code,
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + "\n\n".join(textwrap.fill(x, 78) for x in (license_scan.MIT_GRANT, license_scan.MIT_NOTICE, license_scan.MIT_WARRANTY)),
+        "Copyright (c) 2020 X. Licensed under the MIT License. All rights reserved.",
+        textwrap.fill(license_scan.BSD_GRANT.replace("source and binary", "source or binary"), 50),
+        textwrap.fill(mit, 20) + "\n" + textwrap.fill(apache, 30), "All rights reserved.\n" * 50, f"{'word ' * 20_000}\nAll rights reserved.",
+    ]
+    rows = [(9000 + n, t, None, None, None) for n, t in enumerate(extra)]
+    everything = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = license_scan.scan(everything).collect()
+    documents = everything.toPandas()  # noqa: F841
+    want = duckdb.sql(oracle_sql()["op4_license_scan"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["license"], r["line_no"], r["line_to"], round(r["dice"], 3)))
+    wrapped = len(textwrap.wrap(mit, 72))
+    assert by[9000] == [("MIT", 121, 120 + wrapped, 1.0)]
+    assert [x[0] for x in by[9001]] == ["Apache-2.0"] and {x[0] for x in by[9002]} == {"MIT"} and by[9003] == [("MIT", 1, 1, 1.0)]
+    assert [x[0] for x in by[9004]] == ["BSD-3-Clause"] and len(by[9006]) == 50 and by[9007] == [("All-Rights-Reserved", 2, 2, 1.0)]
+    assert {(r["doc_id"], r["line_no"]): r["license"] for r in license_scan.scan(odd).collect()} == {(7, 2): "CC-BY-NC-4.0"}
+    assert license_scan.scan(odd.limit(0)).count() == 0
+
+
+def test_every_template_has_enough_marks():
+    grams = [license_scan.bigrams_of(t) for _, t in license_scan.TEMPLATES]
+    marks, needed = license_scan.telling(grams, 0.8)
+    for g, n in zip(grams, needed, strict=True):
+        told = sum(any(m in x for m in marks) for x in g)
+        assert n > 0 and told > len(g) - license_scan.bounds(len(g), 0.8)[0]
 
 
 def test_mix_meets_targets(docs, odd):
