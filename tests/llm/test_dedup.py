@@ -59,7 +59,67 @@ def test_near_duplicates(spark, docs, texts):
     got = simhash.near_duplicates(rows).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(r["fingerprint"] == format(fp[r["doc_id"]], "016x") for r in got)
-    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == set(want.values())
+
+
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+
+
+def similarities(texts, least):
+    """Jaccard similarity of 5-word shingles of all pairs at ``least`` or more."""
+    own = {i: shingles(t) for i, t in texts.items()}
+    where = defaultdict(list)
+    for i, s in own.items():
+        for x in s:
+            where[x].append(i)
+    shared = Counter((a, b) for ids in where.values() if len(ids) < 500 for k, a in enumerate(ids) for b in ids[k + 1 :])
+    return {(a, b): n / (len(own[a]) + len(own[b]) - n) for (a, b), n in shared.items() if n >= least * (len(own[a]) + len(own[b]) - n)}
+
+
+def test_one_of_each_near_duplicate_group_stays(spark, docs, texts):
+    rng = np.random.default_rng(9)
+    extra, base = [], [letters(rng, 300).split() for _ in range(60)]
+    for n, words_ in enumerate(base):
+        for k in range(1, 4):
+            own = list(words_)
+            for at in rng.choice(300, 2 * k, replace=False):
+                own[at] = letters(rng, 1)
+            extra.append((10_000 + 10 * n + k, " ".join(own), None, None, None))
+        extra.append((10_000 + 10 * n, " ".join(words_).upper(), None, None, None))
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    everything = texts | {r[0]: r[1] for r in extra}
+    kept = {r["doc_id"] for r in simhash.keep_one(rows).collect()}
+    near, loose = similarities(everything, 0.8), similarities(everything, 0.65)
+    sure = roots(everything, near)
+    possible = {i: g for g in roots(everything, loose) for i in g}
+    assert all(min(g) in kept for g in possible.values())  # the first of what is near at all stays
+    # whoever goes has a partner, and of the groups at 0.8 nearly all come down to one
+    assert all(len(possible[i]) > 1 for i in everything if i not in kept)
+    groups = [g for g in sure if len(g) > 1]
+    assert len(groups) > 60 and sum(len(g & kept) <= 1 for g in groups) >= 0.97 * len(groups)
+    pairs = [(a, b) for (a, b), j in near.items() if j < 1]
+    code = simhash.code_for(rows.count(), 0.8)
+    nodes = sorted({x for p in pairs for x in p})
+    fps = simhash.long_fingerprints([everything[i] for i in nodes], code.longs)
+    table = spark.createDataFrame([(i, bytes(f.tobytes())) for i, f in zip(nodes, fps, strict=True)], "node long, fp binary")
+    root = {i: min(g) for g in roots(nodes, [(r["a"], r["b"]) for r in simhash.similar_links(table, code).collect()]) for i in g}
+    assert sum(root[a] == root[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_similar_texts_of_a_large_group_connect(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = letters(rng, 200).split()
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for at in rng.choice(200, 2, replace=False):
+            own[at] = letters(rng, 1)
+        texts.append((len(texts), " ".join(own)))
+    texts += [(1000 + n, letters(rng, 200)) for n in range(50)]
+    monkeypatch.setattr(simhash, "CELL", 32)
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(1000, 1050)]
 
 
 def test_links_of_large_cells_connect_all(spark, monkeypatch):
@@ -79,6 +139,8 @@ def test_odd_rows(odd):
     assert {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id IS NULL").count() == 0
+    assert kept.where("doc_id IN (0, 1, 2)").count() == 1  # no words
+    assert simhash.keep_one(odd.limit(0)).count() == 0
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
