@@ -6,9 +6,9 @@ licences are wrapped, runs of lines that have about as many words as a template.
 most 2 min(a, b) / (a + b), so a template is only compared with units whose size lies within [t / (2 - t), (2 - t) / t]
 times its own.
 
-Before that, units without enough of a template's telling words are left out.  A unit of Dice t or more has at least
-t / (2 - t) of a template's bigrams; the telling words stand in more bigrams than the rest, so that every such unit
-has one of them at least, and long templates ask for many.  Most texts have none and are not even split into lines.
+Before that, units without enough of a template's words are left out.  A unit of Dice t or more has at least
+t / (2 - t) of a template's bigrams.  The marks stand in more bigrams than the rest, so that every such unit has one of
+them: most texts have none and are not even split into lines.  Of a template's longer words a unit must have many.
 
 Scale: one map over the texts; only units that were found are grouped by their text.  The templates are a fixed list
 and travel in the plan.
@@ -18,9 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,12 +80,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 #: Parts of words that licences have more often than other texts.
 MARKS = (
-    "licens", "copyright", "software", "warrant", "distribut", "merchantab", "infring", "liab", "damage", "permission", "permitted", "reserved", "document", "disclaim", "contribut", "foundation",
-    "encumber", "domain", "mozilla", "eclipse", "creative", "commons", "attribution", "apache", "author", "gnu", "copies", "modif", "commercial", "sharealike", "noncommercial", "restrict", "negligen",
-    "dealing", "implied", "express", "tort", "fitness", "waived", "neighboring", "source", "binary", "program", "publish", "general public", "4 0", "cc by", "by nc", "by sa", "3 clause", "the mit",
+    "licens", "copyright", "software", "warrant", "distribut", "merchantab", "infring", "liab", "damage", "permission", "permitted", "reserved", "disclaim", "contribut", "foundation", "encumber",
+    "mozilla", "eclipse", "apache", "gnu", "attribution", "noncommercial", "sharealike", "negligen", "neighboring", "waived",
 )
 #: The most lines of a wrapped licence.
 LINES = 40
+LONG = 5
 SENTENCE = "[.!?] +"
 
 
@@ -108,36 +105,42 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-class Telling(NamedTuple):
-    """``marks``: parts of words, or pairs of words, that tell licences; ``needed``: how many each template asks for."""
+def telling(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which a unit of Dice ``threshold`` or more has some, whatever it lacks.
 
-    marks: list[str]
-    needed: list[int]
+    The templates' words with one of ``MARKS``, and where they are too few for a template, greedily further words, longer
+    ones first.
+    """
+    words = sorted({w for g in grams for x in g for w in x.split()})
+    marks = {w for w in words if any(m in w for m in MARKS)}
+    for least in (9, 7, 5, 1):
+        while True:
+            short = {}
+            for n, g in enumerate(grams):
+                left = [x for x in g if marks.isdisjoint(x.split())]
+                if len(left) >= bounds(len(g), threshold)[0]:
+                    short[n] = left
+            gain = {w: sum(w in x.split() for left in short.values() for x in left) for w in words if len(w) >= least}
+            best = max(gain, key=lambda w: gain[w])
+            if not gain[best]:
+                break
+            marks.add(best)
+    return sorted(marks)
 
 
-def telling(grams: list[list[str]], threshold: float) -> Telling:
-    """Marks of which a unit of Dice ``threshold`` or more has some, whatever bigrams it lacks.
+def own_words(grams: list[list[str]], threshold: float) -> tuple[list[str], list[int]]:
+    """Words of the templates, and how many of them a unit has that is like each template.
 
-    Greedily those of ``MARKS`` that help most templates, then the templates' own words, longer ones first, and pairs of
-    words.  A marked word stands in two bigrams at most, which gives the number that a template asks for.
+    The unit lacks few of the template's bigrams, and one word stands in two at most.  Words have ``LONG`` letters or
+    more, except where a template has too few of those.
     """
     spare = [len(g) - bounds(len(g), threshold)[0] for g in grams]
-    covered: list[set[str]] = [set() for _ in grams]
-    marks: list[str] = []
-    for least in (99, 9, 7, 0):
-        pool = list(MARKS) if least == 99 else sorted({w for g in grams for x in g for w in (x.split() if least else [x]) if len(w) >= least})
-        holds = {m: [{x for x in g if (m == x if " " in m else any(m in w for w in x.split()))} for g in grams] for m in pool}
-        while True:
-            short = [n + 1 - len(c) for n, c in zip(spare, covered, strict=True)]
-            if max(short) <= 0:
-                break
-            gain = {m: sum(min(len(h - c), n) for h, c, n in zip(holds[m], covered, short, strict=True) if n > 0) for m in pool}
-            best = max(pool, key=lambda m: gain[m])
-            if not gain[best]:
-                break
-            marks.append(best)
-            covered = [c | h for c, h in zip(covered, holds[best], strict=True)]
-    return Telling(marks, [math.ceil((len(c) - n) / 2) for c, n in zip(covered, spare, strict=True)])
+    words = {w for g in grams for x in g for w in x.split() if len(w) >= LONG}
+    covered = lambda g: sum(not words.isdisjoint(x.split()) for x in g)
+    for g, n in zip(grams, spare, strict=True):
+        if covered(g) <= n:
+            words.update(w for x in g for w in x.split())
+    return sorted(words), [math.ceil((covered(g) - n) / 2) for g, n in zip(grams, spare, strict=True)]
 
 
 def _normal(text: Column) -> Column:
@@ -149,10 +152,6 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def _pattern(marks: list[str], between: str) -> str:
-    return "|".join(m.replace(" ", between) for m in marks)
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(``id_col``, ``line_no``, ``line_to``, ``license``, ``dice``, ``n_bigrams``) of each unit that is a licence.
 
@@ -165,60 +164,66 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sizes = [len(words_of(t)) for _, t in templates]
     grams = [bigrams_of(t) for _, t in templates]
     limits = [bounds(len(g), threshold) for g in grams]
-    marks, needed = telling(grams, threshold)
+    marks = telling(grams, threshold)
+    vocabulary, needed = own_words(grams, threshold)
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    lower = F.lower(text)
-    plain, pairs = [m for m in marks if " " not in m], [m for m in marks if " " in m]
-    told = reduce(Column.__or__, [lower.contains(m) for m in plain])
-    told = told | lower.rlike(_pattern(pairs, "[^a-z0-9]+")) if pairs else told
-    marked = F.regexp_count("x", F.lit(_pattern(marks, " ")))
+    # the Kelvin sign is the one character beside A-Z that lower() makes a letter of
+    words = F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit(" "))), "[^a-z0-9]+")
+    told = F.arrays_overlap(words, F.array(*map(F.lit, marks)))
     picked = docs.where(told).select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), text.alias("text"))
     lines = _once(picked, "row", "id", raw=F.split("text", "\n"))
     lines = _once(lines, "row", "id", "raw", norm=F.transform("raw", _normal))
+    known = F.array(*map(F.lit, vocabulary))
+    lines = _once(lines, "row", "id", "raw", "norm", told=F.transform("norm", lambda x: F.size(F.filter(F.split(x, " "), lambda w: F.array_contains(known, w)))))
+    lines = _once(lines, "row", "id", "raw", "norm", "told", n=F.transform("norm", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)))
+
+    # from every line on the lines that follow, and the whole text as one line before them
+    def start(at: Column, line: Column, after: Column, told: Column, n: Column, opens: Column) -> Column:
+        return F.struct(at.alias("at"), line.alias("line"), after.alias("next"), told.alias("told"), n.alias("n"), opens.alias("opens"))
 
-    # the whole text
-    whole = lines.where(F.size("raw") > 1).select("row", "id", F.lit(0).alias("line_no"), F.lit(0).alias("line_to"), _joined(F.col("norm")).alias("x"), F.lit(-1).alias("only"))
-    # from every line on: the lines that follow
-    at = F.col("at")
-    ahead = lines.select("row", "id", F.posexplode("raw").alias("at", "line"), F.slice("norm", at + 1, LINES).alias("next"), (F.get("norm", at - 1) == "").alias("open"))
-    ahead = ahead.where(F.get("next", F.lit(0)) != "")
-    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", told=F.transform("next", lambda x: F.regexp_count(x, F.lit(_pattern(marks, " ")))))
-    ahead = ahead.where(F.exists("told", lambda n: n > 0))
-    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", "told", n=F.transform("next", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)))
     total = lambda xs, k: F.aggregate(F.slice(xs, 1, k), F.lit(0), lambda a, x: a + x)
-    upto = F.transform(F.sequence(F.lit(1), F.size("n")), lambda k: F.struct(total(F.col("n"), k).alias("words"), total(F.col("told"), k).alias("told")))
-    ahead = _once(ahead, "row", "id", "at", "line", "open", "next", "told", "n", upto=upto)
-    # one line, and its sentences
-    single = ahead.where(F.get("told", F.lit(0)) > 0)
-    sentences = F.when(F.col("line").rlike(SENTENCE), F.transform(F.split("line", SENTENCE), _normal))
-    single = single.select("row", "id", (at + 1).alias("line_no"), (at + 1).alias("line_to"), F.explode(F.concat(F.slice("next", 1, 1), F.coalesce(sentences, F.array().cast("array<string>")))).alias("x"), F.lit(-1).alias("only"))
-    # runs of lines: a paragraph, and those that come nearest to a template's number of words
+    every_word, every_told = total("n", F.size("n")), total("told", F.size("told"))
+    whole = F.when(F.size("raw") > 1, F.array(start(F.lit(-1), F.lit(""), F.array(_joined(F.col("norm"))), F.array(every_told), F.array(every_word), F.lit(False))))
+    ahead = lambda name, i: F.slice(name, i + 1, LINES)
+    each = F.transform("raw", lambda x, i: start(i, x, ahead("norm", i), ahead("told", i), ahead("n", i), F.coalesce(F.get("norm", i - 1) == "", F.lit(True))))
+    each = F.filter(each, lambda s: (F.get(s["n"], F.lit(0)) > 0) & F.exists(s["told"], lambda n: n > 0))
+    ahead = lines.select("row", "id", F.inline(F.concat(F.coalesce(whole, F.slice(each, 1, 0)), each)))
+    upto = F.transform(F.sequence(F.lit(1), F.size("n")), lambda k: F.struct(total("n", k).alias("words"), total("told", k).alias("told")))
+    ahead = _once(ahead, "row", "id", "at", "line", "next", "told", "n", "opens", upto=upto)
+
+    # units: one line, its sentences, the paragraph that it opens, and the runs that come nearest to a template's number of words
+    def unit(x: Column, k: Column | int, pick: Column | int) -> Column:
+        return F.struct(x.alias("x"), F.lit(k).cast("int").alias("k"), F.lit(pick).cast("int").alias("pick"))
+
+    no_units = F.array().cast("array<struct<x:string,k:int,pick:int>>")
+    first = F.get("next", F.lit(0))
+    sentences = F.when(F.col("line").rlike(SENTENCE), F.transform(F.split("line", SENTENCE), lambda x: unit(_normal(x), 1, -1)))
+    single = F.when(F.get("told", F.lit(0)) > 0, F.concat(F.array(unit(first, 1, -1)), F.coalesce(sentences, no_units)))
     blank = F.array_position("n", 0).cast("int")
     ends = F.when(blank > 0, blank - 1).when(F.size("n") < LINES, F.size("n"))
-    opens = F.coalesce("open", F.lit(True)) & (ends > 1)
-    spec = F.array(*(F.struct(F.lit(n).alias("only"), F.lit(sizes[n]).alias("size"), F.lit(limits[n][0]).alias("least"), F.lit(needed[n]).alias("needed")) for n in range(len(templates))))
+    run = lambda k: _joined(F.slice("next", 1, k))
+    paragraph = F.when(F.col("opens") & (ends > 1), F.array(unit(run(ends), ends, -1)))
+    spec = F.array(*(F.struct(F.lit(n).alias("pick"), F.lit(sizes[n]).alias("size"), F.lit(limits[n][0]).alias("least"), F.lit(needed[n]).alias("needed")) for n in range(len(templates))))
 
     def runs(t: Column) -> Column:
         below = F.size(F.filter("upto", lambda u: u["words"] < t["size"]))
-        return F.transform(F.array(below, below + 1), lambda k: F.struct(k.alias("k"), t["only"].alias("only"), t["least"].alias("least"), t["needed"].alias("needed")))
+        return F.transform(F.array(below, below + 1), lambda k: F.struct(k.alias("k"), t["pick"].alias("pick"), t["least"].alias("least"), t["needed"].alias("needed")))
 
     def enough(u: Column) -> Column:
         sums = F.get("upto", u["k"] - 1)
         return u["k"].between(2, F.size("n")) & (sums["words"] > u["least"]) & (sums["told"] >= u["needed"])
 
-    paragraph = F.when(opens, F.array(F.struct(ends.alias("k"), F.lit(-1).alias("only"), F.lit(min(a for a, _ in limits)).alias("least"), F.lit(1).alias("needed"))))
-    units = F.filter(F.concat(F.flatten(F.transform(spec, runs)), F.coalesce(paragraph, F.array().cast("array<struct<k:int,only:int,least:int,needed:int>>"))), enough)
-    wrapped = ahead.select("row", "id", "at", "next", F.explode(units).alias("u"))
-    wrapped = wrapped.select("row", "id", (at + 1).alias("line_no"), (at + F.col("u.k")).alias("line_to"), _joined(F.slice("next", 1, F.col("u.k"))).alias("x"), F.col("u.only").alias("only"))
-
+    wrapped = F.transform(F.filter(F.flatten(F.transform(spec, runs)), enough), lambda u: unit(run(u["k"]), u["k"], u["pick"]))
+    units = F.concat(F.coalesce(single, no_units), F.coalesce(paragraph, no_units), F.coalesce(wrapped, no_units))
+    every = ahead.select("row", "id", (F.col("at") + 1).alias("line_no"), F.inline(units))
     least, most = min(a for a, _ in limits), max(b for _, b in limits)
-    every = whole.unionAll(single).unionAll(wrapped).where(marked > 0)
-    words = every.select("row", "id", "line_no", "line_to", "only", F.split("x", " ").alias("words")).where(F.size("words") > least)
-    sized = _once(words, "row", "id", "line_no", "line_to", "only", grams=_bigrams(F.col("words"))).where(F.size("grams").between(least, most))
+    line_to = F.when(F.col("line_no") == 0, 0).otherwise(F.col("line_no") + F.col("k") - 1).alias("line_to")
+    words = every.select("row", "id", "line_no", line_to, "pick", F.split("x", " ").alias("words")).where(F.size("words") > least)
+    sized = _once(words, "row", "id", "line_no", "line_to", "pick", grams=_bigrams(F.col("words"))).where(F.size("grams").between(least, most))
 
     def compared(n: int) -> Column:
         shared = F.size(F.array_intersect("grams", F.array(*map(F.lit, grams[n]))))
-        fits = F.size("grams").between(*limits[n]) & F.col("only").isin(-1, n)
+        fits = F.size("grams").between(*limits[n]) & F.col("pick").isin(-1, n)
         dice = F.when(fits, 2.0 * shared / (F.size("grams") + len(grams[n])))
         return F.struct(dice.alias("dice"), F.lit(-n).alias("order"), F.lit(templates[n][0]).alias("license"))
 
