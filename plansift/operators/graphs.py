@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -147,13 +149,15 @@ def page_components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> Dat
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names; a local session without it gets its own."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plansift-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="plansift-")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 

@@ -114,19 +114,22 @@ def in_time_order(visit: DataFrame, fold: Callable[[object, list[float]], object
     """One row per visitor from a fold over its hits in time order.
 
     Rows come sorted by visitor and time, and a visitor's state is carried from batch to batch, so that a visitor with
-    any number of hits needs no more memory than one batch.
+    any number of hits needs no more memory than one batch.  Hits without an address are one visitor, without a name;
+    those without a time count for nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ip, state, begun = None, None, False
         for rows in batches:
             done = []
+            rows["ip"] = rows["ip"].astype(object).where(rows["ip"].notna(), None)
             for key, group in rows.groupby("ip", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
                 if begun and key != ip:
                     done.append(result(ip, state))
                     state = None
                 ip, begun = key, True
-                state = fold(state, [t.timestamp() for t in group["ts"]])
+                state = fold(state, [t.timestamp() for t in group["ts"].dropna()])
             if done:
                 yield pd.DataFrame(done)
         if begun:
@@ -229,10 +232,38 @@ def bans(visits: DataFrame, burst: int = 5, span: float = 10, cooldown: float =
     return visits.select("ip", "ts").withWatermark("ts", late).groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, verdict string", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def scan_alerts(visits: DataFrame, span: str = "60 seconds", late: str = "5 minutes", least: int = 5) -> DataFrame:
-    """Stream: windows in which a visitor met ``least`` missing pages or more."""
-    g = visits.where("status = 404").withWatermark("ts", late).groupBy("ip", F.window("ts", span).alias("w")).agg(F.count("*").alias("misses"))
-    return g.where(F.col("misses") >= least).select("ip", F.col("w.start").alias("start"), "misses")
+def scan_alerts(visits: DataFrame, span: float = 60, late: str = "5 minutes", least: int = 5) -> DataFrame:
+    """Stream: (``ip``, ``ts``, ``misses``) once for each window in which a visitor met ``least`` missing pages, at the
+    hit that made them so many; the window opens at the first miss.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("ts")
+        start, used = state.get if state.exists else (None, 0)
+        at = []
+        for n, t in enumerate(rows["ts"]):
+            _, start, used = fixed_windows([t.timestamp()], span, least, start, used)
+            if used == least:
+                at.append(n)
+        state.update((start, used))
+        _expire(state, start + span)
+        if at:
+            yield pd.DataFrame({"ip": key[0], "ts": rows["ts"].iloc[at].to_numpy(), "misses": least})
+
+    missing = visits.where("status = 404").select("ip", "ts").withWatermark("ts", late)
+    return missing.groupBy("ip").applyInPandasWithState(run, "ip string, ts timestamp, misses int", "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def without_banned(ban_list: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the batch without visitors on the ban list, which is read anew for each batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        sink(batch.join(ban_list().select("ip"), "ip", "left_anti"), number)
+
+    return run
 
 
 def engagement(visits: DataFrame, span: str = "1 hour", late: str = "10 minutes") -> DataFrame:
