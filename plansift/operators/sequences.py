@@ -296,7 +296,7 @@ _detector("d01_contacts", CONTACT, "Words that are contact data; the first kind
 _detector("d02_page_marks", NOTES, "Words that are codes, scales, dimensions, sheet and room numbers, tags or abbreviations.")
 
 
-@register("w16_greedy_priority", oracle("v_word", """
+@register("w16_word_priority", oracle("v_word", """
 WITH c AS (SELECT doc_id, idx, tok, CASE WHEN regexp_matches(tok, '^[A-Z]{3,5}$') THEN 1 WHEN regexp_matches(tok, '^[A-Z]') THEN 2 END AS prio FROM v_word)
 SELECT prio, count(*) AS n FROM c WHERE prio IS NOT NULL GROUP BY prio"""))
 def w16(spark, sf_dir):
