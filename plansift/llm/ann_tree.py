@@ -115,18 +115,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the ``k`` largest scores, ties to smaller ids, leaving out the query's own id."""
-    at = np.flatnonzero(ids != own)
-    if at.size > k:
-        edge = np.partition(scores[at], at.size - k)[at.size - k]
-        at = at[scores[at] >= edge]
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's ``k`` largest inner products, best first, ties to smaller ids, its own id left out.
 
-
-def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed alike wherever a row stands, so that equal vectors tie."""
-    return np.einsum("ij,j->i", x, q, optimize=False)
+    A matrix product tells who can be among them, its rounding allowed for; those are scored again in one fixed order
+    of summing, so that equal vectors tie wherever they stand.
+    """
+    approx = q @ x.T
+    approx[own[:, None] == ids[None, :]] = -np.inf
+    at, row = np.nonzero(approx > -np.inf)
+    if len(ids) > k:
+        edge = np.partition(approx, len(ids) - k, axis=1)[:, len(ids) - k]
+        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        at, row = np.nonzero((approx >= (edge - slack)[:, None]) & (approx > -np.inf))
+    score = np.einsum("ij,ij->i", x[row], q[at], optimize=False)
+    order = np.lexsort((ids[row], -score, at))
+    at, row, score = at[order], row[order], score[order]
+    place = np.arange(at.size) - np.searchsorted(at, at)
+    best = place < k
+    return at[best], row[best], score[best]
 
 
 def valid_rows(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -146,10 +153,10 @@ def _exact(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, tree: Tree, k: in
                 continue
             x, own = _matrix(b.column("vec")), b.column("id").to_numpy()
             leaf = assign(tree, x)
-            for n in range(len(ids)):
-                scores = _scores(x, vecs[n])
-                at = _best(own, scores, ids[n], k)
-                held[n] = heapq.nsmallest(k, held[n] + list(zip((-scores[at]).tolist(), own[at].tolist(), leaf[at].tolist(), strict=True)))
+            at, row, score = nearest(x, own, vecs, ids, k)
+            for n, *found in zip(at.tolist(), (-score).tolist(), own[row].tolist(), leaf[row].tolist(), strict=True):
+                held[n].append(tuple(found))
+            held = [heapq.nsmallest(k, h) for h in held]
         flat = [(n, -s, i, f) for n, h in enumerate(held) for s, i, f in h]
         cols = list(zip(*flat, strict=True)) if flat else [(), (), (), ()]
         kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
@@ -222,19 +229,16 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     left = index.join(grid, "leaf").select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), "rs").alias("i"), to("qs").alias("j"))
     right = asked.join(grid, "leaf").select("id", "vec", "leaf", to("rs").alias("i"), F.pmod(F.xxhash64("id"), "qs").alias("j"))
 
+    near_kind = pa.list_(pa.struct([("loss", pa.float64()), ("id", pa.int64())]))
+
     def cell(key: tuple, own: pa.Table, asking: pa.Table) -> pa.Table:
-        found, ends = [], [0]
-        if own.num_rows and asking.num_rows:
-            x, xid = _matrix(own["vec"]), own["id"].to_numpy()
-            for q, qid in zip(_matrix(asking["vec"]), asking["id"].to_pylist(), strict=True):
-                scores = _scores(x, q)
-                at = _best(xid, scores, qid, k)
-                found.append((-scores[at], xid[at]))
-                ends.append(ends[-1] + at.size)
-        loss, ids = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0), np.empty(0, np.int64))
-        near = pa.StructArray.from_arrays([pa.array(loss), pa.array(ids)], ["loss", "id"])
-        queries = asking["id"] if found else pa.array([], pa.int64())
-        return pa.table([queries, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], ["query_id", "near"])
+        if not own.num_rows or not asking.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], near_kind)], ["query_id", "near"])
+        x, xid = _matrix(own["vec"]), own["id"].to_numpy()
+        at, row, score = nearest(x, xid, _matrix(asking["vec"]), asking["id"].to_numpy(), k)
+        near = pa.StructArray.from_arrays([pa.array(-score), pa.array(xid[row])], ["loss", "id"])
+        ends = np.searchsorted(at, np.arange(asking.num_rows + 1))
+        return pa.table([asking["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], ["query_id", "near"])
 
     cells = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(cell, "query_id long, near array<struct<loss: double, id: long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # k from each of a query's cells at most

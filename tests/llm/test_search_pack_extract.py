@@ -38,6 +38,37 @@ def test_recall_and_order(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_recall_on_the_tables_of_embeddings(spark):
+    """All queries of a whole table, most of which calibration has not seen."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    held_out = ann_tree.search(table.selectExpr("vec_id", "embedding"))
+    want, got = exact(rows), defaultdict(set)
+    for r in held_out.collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert got.keys() == want.keys()
+    hits = [len(got[q] & {i for i, _ in near}) for q, near in want.items()]
+    assert sum(hits) >= 0.9 * 20 * len(want)
+
+
+def test_calibration_holds_for_other_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 24))
+    rows = [(i, (centres[i % 50] + 0.5 * rng.normal(size=24)).tolist()) for i in range(6000)]
+    monkeypatch.setattr(ann_tree, "CALIBRATION", 60)
+    found = defaultdict(set)
+    for r in ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    want = exact(rows)
+    assert len(want) == 300 and sum(len(found[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 20 * 300
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(i % 50, [float(i % 7), 1.0, float(i % 3)], i, "x", 0.5) for i in range(100)]
+    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, leaf string, vec double"))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and {r["query_id"] for r in got.collect()} == {0, 20, 40}
+
+
 def test_few_rows_give_all(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.1])]
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
