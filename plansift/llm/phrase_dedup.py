@@ -4,16 +4,16 @@ A passage is a window of 35 words.  Of the 8-word phrases in a window the one wi
 anchor), so equal windows have equal anchors and about one phrase in fourteen is one.
 
 1. Confirm: anchors are counted over all documents; those found twice or more are the recurring phrases.
-2. Locate: documents stream through Aho-Corasick automata of their recurring phrases, one for each portion of
-   documents, which find every occurrence.  An occurrence stands for a stretch: the words of all windows whose anchor
-   it is.
+2. Locate: all documents stream through Aho-Corasick automata of the recurring phrases, compiled for one portion of
+   the documents after the other, which find every occurrence by its words.  An occurrence stands for a stretch: the
+   words of all windows whose anchor it is.
 3. A phrase whose stretches are all alike recurs with them whole.  For the others, where copies begin, end or differ,
-   windows are compared one by one.
+   windows are compared one by one.  Both by 128 bits of hash, which equal for different words once in 2**128.
 4. Words covered by a recurring window go.
 
 Scale: texts stay where they are until the last join; between, rows are anchors of recurring phrases.  Counts combine
-before the shuffle, so a passage that a third of all documents share is no hot group.  The two filters sent to the
-tasks have a fixed size and only spare work.
+before the shuffle, and keys with many rows are broadcast, so a passage that a third of all documents share is no hot
+group.  The two filters sent to the tasks have a fixed size and only spare work.
 """
 
 from __future__ import annotations
@@ -32,26 +32,28 @@ from pyspark.sql import functions as F
 from plansift.llm.common import bit_filter, col, drop_saved, in_filter, saved
 
 WINDOW, PHRASE = 35, 8
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2**64
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd: they have inverses modulo 2**64
 PORTION = 4_000_000
+HEAVY, FEW = 20_000, 100_000
 
 
 class _Powers:
-    """Powers of the base and of its inverse, as far as asked for."""
+    """Powers of a base and of its inverse, as far as asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.up.size:
             size = 1 << (n - 1).bit_length()
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, BASE))])
+            inverse = np.uint64(pow(self.base, -1, 1 << 64))
+            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(self.base)))])
             self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, inverse))])
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+_powers = [_Powers(base) for base in BASES]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,16 +62,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of runs of words of one document."""
+    """Hashes of runs of words of one document: 64 bits to find candidates, 128 (two lanes of 64) to decide."""
 
     def __init__(self, words: list[bytes]):
         self.n = len(words)
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
-        up, self.down = _powers(self.n + 1)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(own * up[: self.n], dtype=np.uint64)])
+        self.own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+        self.lanes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        if lane not in self.lanes:
+            up, down = _powers[lane](self.n + 1)
+            self.lanes[lane] = np.concatenate([[np.uint64(0)], np.cumsum(self.own[:, lane] * up[: self.n], dtype=np.uint64)]), down
+        sums, down = self.lanes[lane]
+        return _mixed((sums[ends] - sums[starts]) * down[starts])
 
     def sized(self, size: int) -> np.ndarray:
         starts = np.arange(max(0, self.n - size + 1))
@@ -160,15 +165,27 @@ def located(part: list[tuple[int, list[bytes]]], recurring: Callable[[np.ndarray
                 yield uid, runs, Anchors(*(x[own] for x in a))
 
 
+def _spans_table(hashed: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Per document (uid, phrases or None, starts, stops, two lanes of hashes) as rows."""
+    names = ["phrase"] * (hashed == "stretch") + ["uid", "start", "stop", "x", "y"]
+    count = [len(r[2]) for r in rows]
+    uid = pa.array([r[0] for r in rows], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), count)))
+    whole = lambda k: np.concatenate([r[k] for r in rows]) if rows else np.empty(0, np.int64)
+    as_long = lambda x: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
+    cols = [uid, *(pa.array(whole(k), pa.int32()) for k in (2, 3)), *(as_long(whole(k)) for k in (4, 5))]
+    return pa.RecordBatch.from_arrays([as_long(whole(1)), *cols] if hashed == "stretch" else cols, names)
+
+
 def _stretches(bits: np.ndarray, window: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _portions(b.column("uid").to_pylist(), b.column("text").to_pylist()):
                 rows = []
                 for uid, runs, a in located(part, lambda h: in_filter(bits, h), window, size):
-                    whole = runs.hashes(a.first, a.last + window) + (a.place - a.first).astype(np.uint64)
-                    rows.append((a.phrase, whole, np.full(a.place.size, uid), a.first, a.last + window))
-                yield _table(["phrase", "stretch", "uid", "start", "stop"], rows)
+                    offset = (a.place - a.first).astype(np.uint64)  # where in the stretch the phrase stands
+                    whole = [runs.hashes(a.first, a.last + window, lane) + offset for lane in (0, 1)]
+                    rows.append((uid, a.phrase, a.first, a.last + window, *whole))
+                yield _spans_table("stretch", rows)
 
     return run
 
@@ -176,18 +193,39 @@ def _stretches(bits: np.ndarray, window: int, size: int) -> Callable:
 def _windows(bits: np.ndarray, window: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _portions(b.column("uid").to_pylist(), b.column("text").to_pylist()):
-                rows = []
-                for uid, runs, a in located(part, lambda h: in_filter(bits, h), window, size):
-                    starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a.first, a.last, strict=True)])
-                    rows.append((np.full(starts.size, uid), starts, runs.hashes(starts, starts + window)))
-                yield _table(["uid", "start", "hash"], rows)
+            rows = []
+            for uid, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True):
+                runs = Runs(_words(text))
+                a = anchors(runs, window, size)
+                found = in_filter(bits, a.phrase)
+                if found.any():
+                    starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a.first[found], a.last[found], strict=True)])
+                    rows.append((uid, None, starts, starts + window, *(runs.hashes(starts, starts + window, lane) for lane in (0, 1))))
+                if sum(len(r[2]) for r in rows) > 500_000:
+                    yield _spans_table("window", rows)
+                    rows = []
+            yield _spans_table("window", rows)
 
     return run
 
 
 def _uid(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(col(id_col).cast("string"), F.lit("|"), col(text_col).cast("string"))
+    """128 bits of a row's id and text."""
+    named = F.concat(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(col(text_col).cast("string"), F.lit("")))
+    return F.unhex(F.md5(named.cast("binary")))
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is among ``keys`` (with ``n``, the rows of each).
+
+    Keys with many rows are few: they are broadcast, if checked to be, and only the others are joined by a shuffle.
+    """
+    heavy = saved(keys.where(F.col("n") > HEAVY).select(*on), "heavy")
+    if not 0 < heavy.limit(FEW + 1).count() <= FEW:
+        return rows.join(keys.select(*on), on, "left_semi")
+    small = F.broadcast(heavy)
+    rest = rows.join(small, on, "left_anti").join(keys.where(F.col("n") <= HEAVY).select(*on), on, "left_semi")
+    return rows.join(small, on, "left_semi").unionAll(rest)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, size: int = PHRASE) -> DataFrame:
@@ -195,13 +233,15 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = WI
     texts = docs.select(_uid(id_col, text_col).alias("uid"), col(text_col).cast("string").alias("text"))
     phrases = texts.select("text").mapInArrow(_count_anchors(window, size), "phrase long")
     recurring = bit_filter(phrases.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1"), "phrase")
-    found = saved(texts.mapInArrow(_stretches(recurring, window, size), "phrase long, stretch long, uid long, start long, stop long"), "stretches")
-    stats = saved(found.groupBy("phrase").agg(F.count("*").alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("n > 1"), "phrases")
-    settled = found.join(stats.where("a = b").select("phrase"), "phrase", "left_semi").select("uid", "start", "stop")
+    found = saved(texts.mapInArrow(_stretches(recurring, window, size), "phrase long, uid binary, start int, stop int, x long, y long"), "stretches")
+    both = F.struct("x", "y")
+    stats = saved(found.groupBy("phrase").agg(F.count("*").alias("n"), F.min(both).alias("a"), F.max(both).alias("b")).where("n > 1"), "phrases")
+    # a phrase's stretches are all alike if the least and the largest of their hashes are
+    settled = _of_keys(found, stats.where("a = b"), ["phrase"]).select("uid", "start", "stop")
     mixed = bit_filter(stats.where("a <> b"), "phrase")
-    single = saved(texts.mapInArrow(_windows(mixed, window, size), "uid long, start long, hash long"), "windows")
-    twice = single.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    confirmed = single.join(twice, "hash", "left_semi").select("uid", "start", (F.col("start") + window).alias("stop"))
+    single = saved(texts.mapInArrow(_windows(mixed, window, size), "uid binary, start int, stop int, x long, y long"), "windows")
+    twice = single.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
+    confirmed = _of_keys(single, saved(twice, "twice"), ["x", "y"]).select("uid", "start", "stop")
     spans = settled.unionAll(confirmed).groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most one for each word
     out = saved(spans, "spans")
     for df in (found, stats, single):

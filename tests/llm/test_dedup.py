@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -167,6 +168,38 @@ def test_repeated_passages(spark, docs, texts, odd):
     assert {(r["n_words"], r["n_removed"]) for r in got if r["doc_id"] in (11, 12)} == {(60, 50)}
     assert {(r["n_words"], r["n_removed"]) for r in got if r["doc_id"] == 10} == {(3000, 3000)}
     assert phrase_dedup.digest(docs.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as m:  # keys with many rows take the broadcast way
+        m.setattr(phrase_dedup, "HEAVY", 3)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in phrase_dedup.digest(rows).collect()} == want
+
+
+def test_occurrences_come_from_the_automata(monkeypatch):
+    phrase = [b"w%d" % n for n in range(60)]
+    part = [(b"a", phrase), (b"b", [b"x", *phrase]), (b"c", [b"y%d" % n for n in range(60)])]
+    seen = Counter(h for _, w in part for h in phrase_dedup.anchors(phrase_dedup.Runs(w)).phrase.tolist())
+    twice = lambda h: np.array([seen[x] > 1 for x in h.tolist()])
+    found = {uid: a.place.tolist() for uid, _, a in phrase_dedup.located(part, twice, 35, 8)}
+    assert found.keys() == {b"a", b"b"} and [p + 1 for p in found[b"a"]] == found[b"b"]
+
+    class Blind:
+        """Knows its phrases and finds none."""
+
+        words = 0
+
+        def __len__(self):
+            return self.words
+
+        def add_word(self, *_):
+            self.words += 1
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, _):
+            return iter(())
+
+    monkeypatch.setattr(phrase_dedup.ahocorasick, "Automaton", Blind)
+    assert not list(phrase_dedup.located(part, twice, 35, 8))
 
 
 def masked(line):
