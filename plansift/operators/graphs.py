@@ -224,14 +224,16 @@ def r04(spark, sf_dir):
     """Every page against every rule of the rule table: evidence adds up, a missing necessity gives nothing."""
     from plansift.functions.text import whole_word
 
-    d = views.read(spark, sf_dir, "documents", "doc_id", "text")
+    keywords = sorted({k for r in RULES for k in r[3:5] if k})
+    told = [whole_word(F.col("text"), k).alias(f"word{n}") for n, k in enumerate(keywords)]  # each keyword once per text
+    d = views.read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *told)
     names = views.detection(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("name").alias("names"))
     divs = page_divisions(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("division").alias("divs"))
     p = d.join(names, "doc_id", "left").join(divs, "doc_id", "left")
 
     def scored(rule, need, boost, kw, kw2, div, least):
         has = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False)) if v else F.lit(False)
-        word = lambda k: whole_word(F.col("text"), k) if k else F.lit(False)
+        word = lambda k: F.col(f"word{keywords.index(k)}") if k else F.lit(False)
         out = F.lit(False)
         if need:
             out = out | (F.col("names").isNotNull() & ~has("names", need))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plansift.functions.windows import running_sum
 from plansift.functions.geometry import Box
 from plansift.functions.text import DRAWING_NUMBER, discipline, looked_up, significant, stem_match, whole_word, SERIES
 from plansift.plans import views
@@ -56,8 +57,8 @@ def s09(spark, sf_dir):
 @register("s12_staging_offsets", "SELECT source, doc_id, n_chars, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars)::BIGINT AS start FROM documents")
 def s12(spark, sf_dir):
     """Files of a project in order, with the offset of each in the whole."""
-    run = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents", "source", "doc_id", "n_chars").withColumn("start", run - F.col("n_chars"))
+    run = running_sum(read(spark, sf_dir, "documents", "source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", "run")
+    return run.select("source", "doc_id", "n_chars", (F.col("run") - F.col("n_chars")).alias("start"))
 
 
 @register("s15_index_lookup", oracle("v_word v_text v_taxonomy v_page_code", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plansift.functions.windows import running_sum
 from plansift.functions.text import stem_match
 from plansift.plans import views
 from plansift.plans.registry import register
@@ -180,8 +181,7 @@ def w23(spark, sf_dir):
 @register("w24_budget_packing", "WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) SELECT source, count(*) FILTER (run <= 20000) AS packed, count(*) FILTER (run > 20000) AS more, coalesce(max(run) FILTER (run <= 20000), 0)::BIGINT AS used FROM r GROUP BY source")
 def w24(spark, sf_dir):
     """Pages in order until a text budget is spent, and how many remain."""
-    run = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id"))
-    r = read(spark, sf_dir, "documents", "source", "doc_id", "n_chars").withColumn("run", run)
+    r = running_sum(read(spark, sf_dir, "documents", "source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", "run")
     fits = F.col("run") <= 20000
     return r.groupBy("source").agg(F.count_if(fits).alias("packed"), F.count_if(~fits).alias("more"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).alias("used"))
 

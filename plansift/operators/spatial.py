@@ -52,10 +52,16 @@ def words_with_centres(spark, sf_dir) -> DataFrame:
 
 
 def word_region(spark, sf_dir) -> DataFrame:
-    """(``doc_id``, ``idx``, ``tok``, ``det_id``, ``name``): the smallest region that holds a word's centre, ties by id."""
-    hits = points_in_boxes(words_with_centres(spark, sf_dir), views.detection(spark, sf_dir), F.col("cx"), F.col("cy"))
-    best = F.min_by(F.struct("det_id", "name"), F.struct(F.round(Box.of().area, 9), "det_id", "name", "conf"))
-    return hits.groupBy("doc_id", "idx").agg(F.first("tok").alias("tok"), best.alias("b")).select("doc_id", "idx", "tok", "b.det_id", "b.name")
+    """(``doc_id``, ``idx``, ``region``): the class of the smallest region that holds a word's centre, ties by id; words
+    that none holds are unmapped.
+
+    One join on page and cell, which keeps words without boxes, and one group-by.
+    """
+    placed = words_with_centres(spark, sf_dir).withColumns({"gx": _cell(F.col("cx")), "gy": _cell(F.col("cy"))}).drop("tok")
+    met = placed.join(boxes_by_cell(views.detection(spark, sf_dir), Box.of()), ["doc_id", "gx", "gy"], "left")
+    rank = F.struct(F.round(Box.of().area, 9).alias("area"), "det_id", "name", "conf")
+    best = met.groupBy("doc_id", "idx").agg(F.min(F.when(Box.of().holds(F.col("cx"), F.col("cy")), rank)).alias("b"))
+    return best.select("doc_id", "idx", F.coalesce("b.name", F.lit("unmapped")).alias("region"))
 
 
 _WORDS = "w AS (SELECT doc_id, idx, tok, l + w / 2 AS cx, t + h / 2 AS cy FROM v_word)"
@@ -68,9 +74,8 @@ _V = "v_word v_detection"
 @register("j03_word_in_region", views.oracle(_V, f"WITH {_REGION} SELECT coalesce(r.name, 'unmapped') AS region, count(*) AS words, count(DISTINCT w.doc_id) AS docs FROM w LEFT JOIN r USING (doc_id, idx) GROUP BY ALL"))
 def j03(spark, sf_dir):
     """Words by the class of the smallest region that holds them; words that none holds are unmapped."""
-    w = words_with_centres(spark, sf_dir)
-    named = w.select("doc_id", "idx").join(word_region(spark, sf_dir).select("doc_id", "idx", "name"), ["doc_id", "idx"], "left")
-    return named.groupBy(F.coalesce("name", F.lit("unmapped")).alias("region")).agg(F.count("*").alias("words"), F.count_distinct("doc_id").alias("docs"))
+    n = word_region(spark, sf_dir).groupBy("region", "doc_id").agg(F.count("*").alias("n"))
+    return n.groupBy("region").agg(F.sum("n").alias("words"), F.count("*").alias("docs"))
 
 
 @register("r19_region_context", views.oracle(_V, f"""WITH {_REGION},
@@ -80,9 +85,7 @@ SELECT doc_id, region, n, round(share, 6) AS share, CASE WHEN share > 8e-1 THEN
   WHEN region = 'unmapped' THEN 8 ELSE 4 END AS priority FROM s"""))
 def r19(spark, sf_dir):
     """Words of a page by region class, with a reading priority; a class with over 80 % of the words comes last."""
-    w = words_with_centres(spark, sf_dir).select("doc_id", "idx")
-    named = w.join(word_region(spark, sf_dir).select("doc_id", "idx", "name"), ["doc_id", "idx"], "left")
-    n = named.groupBy("doc_id", F.coalesce("name", F.lit("unmapped")).alias("region")).agg(F.count("*").alias("n"))
+    n = word_region(spark, sf_dir).groupBy("doc_id", "region").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("doc_id"))
     r = F.col("region")
     order = F.when(F.col("s") > 0.8, 9).when(r == "title_block", 1).when(r == "tables", 2).when(r == "drawings", 3).when(r == "unmapped", 8).otherwise(4)

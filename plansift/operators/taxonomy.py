@@ -200,14 +200,16 @@ def a19(spark, sf_dir):
     return views.page_code(spark, sf_dir).groupBy("division").agg(F.count_distinct("code").alias("codes"), F.count_distinct("doc_id").alias("pages"))
 
 
-@register("a27_page_index", views.oracle("v_word v_text v_taxonomy v_page_code", """
-SELECT 'code:' || code AS key, string_agg(DISTINCT lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS pages FROM v_page_code GROUP BY code
-UNION ALL SELECT 'trade:' || trade, string_agg(DISTINCT lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) FROM v_page_code GROUP BY trade"""))
+@register("a27_page_index", views.oracle("v_word v_text v_taxonomy v_page_code v_detection", """
+WITH k AS (SELECT unnest(['code:' || code, 'trade:' || trade, 'division:' || division]) AS key, doc_id FROM v_page_code UNION ALL SELECT 'class:' || name, doc_id FROM v_detection)
+SELECT key, (doc_id // 1000)::BIGINT AS part, string_agg(DISTINCT lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS pages FROM k GROUP BY ALL"""))
 def a27(spark, sf_dir):
-    pc = views.page_code(spark, sf_dir)
-    pages = F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("doc_id").cast("string"), 12, "0"))), ",").alias("pages")
-    key = lambda kind: F.concat(F.lit(f"{kind}:"), kind).alias("key")
-    return pc.groupBy(key("code")).agg(pages).unionByName(pc.groupBy(key("trade")).agg(pages))
+    """Pages by code, trade, division and class of detection, a thousand page numbers to a row, so that no row grows with the corpus."""
+    key = lambda kind: F.concat(F.lit(f"{kind}:"), "name" if kind == "class" else kind)
+    coded = views.page_code(spark, sf_dir).select(F.explode(F.array(*map(key, ("code", "trade", "division")))).alias("key"), "doc_id")
+    rows = coded.unionAll(views.detection(spark, sf_dir).select(key("class").alias("key"), "doc_id"))
+    pages = F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("doc_id").cast("string"), 12, "0"))), ",")
+    return rows.groupBy("key", F.floor(F.col("doc_id") / 1000).alias("part")).agg(pages.alias("pages"))
 
 
 @register("a32_distinct_lists", views.oracle("v_word v_text v_taxonomy v_page_code", "SELECT DISTINCT 'trade' AS kind, trade AS value FROM v_page_code UNION SELECT DISTINCT 'code', code FROM v_page_code"))

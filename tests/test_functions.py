@@ -59,3 +59,14 @@ def test_ban_steps():
     none = float("-1e18")
     out, _ = ban_steps([0, 1, 2, 3, 40, 41, 42, 43], 2, 10, 30, 300, 3600, (none, 0, none, none, none))
     assert out == ["ok", "ok", "cooldown", "cooldown", "ok", "ok", "banned", "banned"]
+
+
+def test_running_sum_of_hot_and_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from plansift.functions.windows import running_sum
+
+    rows = [("a" if n % 3 else None, n * 7 % 101, n) for n in range(300)] + [("b", 5, None), ("b", 5, 2), ("b", 6, 1)]
+    got = sorted(tuple(r) for r in running_sum(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", "v", "s", width=10).select(F.coalesce("k", F.lit("")), "at", "v", "s").where("v IS NOT NULL").collect())
+    assert got == sorted((k or "", at, v, sum(x for q, b, x in rows if q == k and b <= at and x is not None)) for k, at, v in rows if v is not None)
+    assert running_sum(spark.createDataFrame([], "k string, at long, v long"), "k", "at", "v", "s").count() == 0
