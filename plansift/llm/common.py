@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,10 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables written to the shared folder and not deleted yet, by path.
+_WRITTEN: dict[str, DataFrame] = {}
+
+
 def col(name: str) -> Column:
     """A column by its exact name, whatever characters the name has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -40,13 +45,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plansift_path = path
+    _WRITTEN[path] = out
     return out
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` describes, written; the tables that were written on the way to it are deleted."""
+    before = set(_WRITTEN)
+    out = saved(make(), name)
+    for path in set(_WRITTEN) - before - {out._plansift_path}:
+        drop_saved(_WRITTEN[path])
+    return out
+
+
+def drop_all() -> None:
+    """Delete all tables of ``saved``: for after results that read them have been written."""
+    for df in list(_WRITTEN.values()):
+        drop_saved(df)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete a table of ``saved`` that nothing reads any more."""
     path = getattr(df, "_plansift_path", None)
-    if path:
+    if _WRITTEN.pop(path, None) is not None:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -375,7 +375,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null html is an empty page; pages with null or unreadable urls share one host without a name; repeated rows are
     extracted each, but count once for the template; a host with fewer than four distinct pages has no template, its
-    pages are read by their markup alone; an empty table gives an empty one; other columns are not read.
+    pages are read by their markup alone; very long pages are read whole, in time that grows with their length; an empty
+    table gives an empty one; other columns are not read.
     """
     rows = _pages(pages, id_col, url_col, html_col)
     joined = _by_host(rows, templates(rows), "template", "often").select("id", "url", "host", "html", "template")

@@ -123,7 +123,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """The mix itself: the documents taken, those taken twice as two equal rows, columns as they were."""
+    """The mix itself: the documents taken, those taken twice as two equal rows, columns as they were.
+
+    Null texts, null ids, null sources, ties and repeated rows are as in ``mix``; a document of size 0 is taken or left
+    by its place; very long texts are whole; an empty table gives an empty one.
+    """
     _, plan = _plan(docs, id_col, text_col, source_col, weights)
     whole = F.struct(*(col(c) for c in docs.columns)).alias("whole")
     keyed = docs.select(whole, col(source_col).alias("source"), place_of(col(id_col), col(text_col)).alias("place"))

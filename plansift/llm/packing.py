@@ -153,8 +153,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """Pieces of documents in sequences of at most ``window`` tokens.
 
     A document is its text's ids and then ``end_id``; each id lies in exactly one piece.  A null or empty text is its
-    end id alone; null ids and repeated rows are documents like any other; an empty table gives an empty one; other
-    columns are not read.
+    end id alone; null ids and repeated rows are documents like any other; a very long text is many whole windows and a
+    tail, its ids in memory one document at a time; equal fill levels are told apart by their order; an empty table gives
+    an empty one; other columns are not read.
     """
     path, pattern = tokenizer or default_tokenizer()
     added = added_tokens(path)

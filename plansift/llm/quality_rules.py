@@ -227,7 +227,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The documents that ``assess`` keeps, with their columns as they were.
 
     The texts never leave their partitions: the kept vote patterns (at most ``3 ** len(RULES)``) go to the rows,
-    instead of the rows to a join on ids, so repeated and null ids are no special case.
+    instead of the rows to a join on ids, so repeated and null ids are no special case.  Null and empty texts fail the
+    base rule and go; a posterior of exactly 0.5 stays; very long texts are read whole; an empty table gives an empty one.
     """
     votes = rules()
     counts = features(docs, id_col, text_col).groupBy(_code(votes).alias("pattern")).agg(F.count("*").alias("n")).collect()

@@ -161,6 +161,17 @@ def test_extraction(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_pages_clashing_columns_and_long_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {n} of a long page.</p>" for n in range(20_000)) + "</article>"
+    rows = [(n, f"http://host.example/{n}", PAGE.format(n=n), "a", 1, "t", None) for n in range(12)] + [(5, "http://host.example/5", PAGE.format(n=5), "b", 2, None, "x")] * 3
+    rows += [(50, "http://long.example/", long, None, None, None, None), (None, None, None, None, None, None, None)]
+    names = "page_id long, url string, html string, host string, n_chars int, text string, `a.b` string"
+    got = html_extract.extract(spark.createDataFrame(rows, names)).collect()
+    assert len(got) == len(rows) and [r["text"] for r in got if r["page_id"] == 5] == ["Last part 5"] * 4
+    assert next(r for r in got if r["page_id"] == 50)["text"].count("\n\n") == 19_999
+    assert [r["text"] for r in got if r["page_id"] is None] == [""]
+
+
 def test_parts_of_a_page():
     assert html_extract.main_text(PAGE.format(n=3), frozenset(), frozenset()).split("\n\n") == ["Title & more", "One boldtext two three", "unclosed", "Last part 3", "Share this story"]
     marked = "<div class='post'><p>a</p><div id=cookie-notice>b</div><div hidden>c</div><ul role=navigation><li>d</ul><p>e<aside>f</aside>"
@@ -240,6 +251,20 @@ def test_marks_and_inline_elements_of_an_article(body, want):
     assert html_extract.main_text(f"<main><article>{body}</article></main>", frozenset(), frozenset()).split("\n\n") == want
 
 
+def test_stages_leave_only_their_results(spark):
+    from plansift.llm.common import drop_all, saved, settled
+
+    drop_all()
+    first = saved(spark.range(10).toDF("n"), "first")
+    out = settled(lambda: saved(first.where("n > 2"), "between").where("n > 4"), "out")
+    assert out.count() == 5 and first.count() == 10
+    from plansift.llm import common
+
+    assert set(common._WRITTEN) == {first._plansift_path, out._plansift_path}
+    drop_all()
+    assert not common._WRITTEN
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from plansift.llm import mixture, quality_rules, simhash
