@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.llm import line_templates, mixture, packing, quality_rules, simhash
-from plansift.llm.common import saved
+from plansift.llm.common import drop_saved, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), f"stage{n}")
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir), f"stage{n}")  # noqa: B023
+        drop_saved(before)
     return docs
