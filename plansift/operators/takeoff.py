@@ -21,21 +21,17 @@ CONFUSED = {
 }
 
 
-def is_fuzzy(a: str | None, b: str | None) -> bool:
-    """Equal, or (both of three characters or more) one confusable substitution or one dropped hyphen apart."""
-    if a is None or b is None:
-        return False
-    if a == b:
-        return True
-    if min(len(a), len(b)) < 3:
-        return False
-    if len(a) == len(b):
-        odd = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-        return len(odd) == 1 and odd[0][1] in CONFUSED.get(odd[0][0], "")
-    if abs(len(a) - len(b)) != 1:
-        return False
-    short, long = sorted((a, b), key=len)
-    return any(c == "-" and long[:i] + long[i + 1 :] == short for i, c in enumerate(long))
+CONFUSED_PAIRS = tuple(a + b for a, bs in CONFUSED.items() for b in bs)
+
+
+def is_fuzzy(a: Column, b: Column) -> Column:
+    """Equal, or (both of three characters or more) one confusable substitution or one dropped hyphen apart; null of nulls."""
+    pairs = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat(x, y)), lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
+    one_odd = (F.length(a) == F.length(b)) & (F.size(pairs) == 1) & F.get(pairs, F.lit(0)).isin(*CONFUSED_PAIRS)
+    short, long = F.when(F.length(a) < F.length(b), a).otherwise(b), F.when(F.length(a) < F.length(b), b).otherwise(a)
+    cut = F.transform(F.split(long, "-"), lambda _, i: F.concat_ws("", F.array_join(F.slice(F.split(long, "-"), 1, i + 1), "-"), F.array_join(F.slice(F.split(long, "-"), i + 2, F.size(F.split(long, "-"))), "-")))
+    hyphen = (F.length(long) == F.length(short) + 1) & F.array_contains(F.slice(cut, 1, F.size(cut) - 1), short)
+    return (a == b) | ((F.least(F.length(a), F.length(b)) >= 3) & (one_odd | hyphen))
 
 
 def blocking_key(tag: Column) -> Column:
@@ -45,16 +41,21 @@ def blocking_key(tag: Column) -> Column:
 
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of rows whose tags are fuzzily equal: an equi-join on the blocking key, then the exact test."""
+    keyed = left.withColumn("_k", blocking_key(F.col(a))).join(right.withColumn("_k", blocking_key(F.col(b))), "_k").drop("_k")
+    return keyed.where(is_fuzzy(F.col(a), F.col(b)))
 
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([is_fuzzy(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    keyed = left.withColumn("_k", blocking_key(F.col(a))).join(right.withColumn("_k", blocking_key(F.col(b))), "_k").drop("_k")
-    return keyed.where(test(F.col(a), F.col(b)))
+_KEY = "translate(replace({}, '-', ''), 'OQD1lI|TS5G6B8Z2gq9', '0000000055668822999')"
 
 
-@register("p06_fuzzy_tags")
+@register("p06_fuzzy_tags", oracle("v_word", f"""
+WITH t AS (SELECT tok, count(*) AS n, {_KEY.format('tok')} AS k FROM v_word WHERE regexp_matches(tok, '^[A-Za-z0-9|-]{{3,12}}$') GROUP BY tok),
+p AS (SELECT a.tok, a.n, b.tok AS other, b.n AS n_other FROM t a JOIN t b USING (k) WHERE a.tok <> b.tok)
+SELECT tok, n, other, n_other FROM p WHERE
+  (len(tok) = len(other) AND len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] <> other[i])) = 1
+    AND list_contains({list(CONFUSED_PAIRS)!r}, list_transform(list_filter(range(1, len(tok) + 1), lambda i: tok[i] <> other[i]), lambda i: tok[i] || other[i])[1]))
+  OR (len(tok) = len(other) + 1 AND len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] = '-' AND tok[:i - 1] || tok[i + 1:] = other)) > 0)
+  OR (len(other) = len(tok) + 1 AND len(list_filter(range(1, len(other) + 1), lambda i: other[i] = '-' AND other[:i - 1] || other[i + 1:] = tok)) > 0)"""))
 def p06(spark, sf_dir):
     """Tag-like page words that are fuzzily equal to another page word, with how often each occurs."""
     words = views.word(spark, sf_dir).where(F.col("tok").rlike("^[A-Za-z0-9|-]{3,12}$")).groupBy("tok").agg(F.count("*").alias("n"))

@@ -70,3 +70,35 @@ def test_running_sum_of_hot_and_null_keys(spark):
     got = sorted(tuple(r) for r in running_sum(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", "v", "s", width=10).select(F.coalesce("k", F.lit("")), "at", "v", "s").where("v IS NOT NULL").collect())
     assert got == sorted((k or "", at, v, sum(x for q, b, x in rows if q == k and b <= at and x is not None)) for k, at, v in rows if v is not None)
     assert running_sum(spark.createDataFrame([], "k string, at long, v long"), "k", "at", "v", "s").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [("D-01", "D-0l", True), ("D-01", "D01", True), ("D-01", "D-02", False), ("A", "A", True), ("AB", "A8", False), ("D--1", "D-1", True), ("-D1", "D1", False), ("-D11", "D11", True), ("D-1-2", "D12", False), ("B8B", "8B8", False), ("ABCD", "ABD", False), ("D11-", "D11", True), (None, "A", None)],
+)
+def test_fuzzy_tags(spark, a, b, want):
+    from pyspark.sql import functions as F
+
+    from plansift.operators.takeoff import is_fuzzy
+
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(is_fuzzy(F.col("a"), F.col("b")).alias("x"), is_fuzzy(F.col("b"), F.col("a")).alias("y")).first()[:] == (want, want)
+
+
+def test_anchored_rows(spark, sf_dir):
+    from collections import defaultdict
+
+    from plansift.operators.takeoff import w06
+    from plansift.plans import views
+
+    pages = defaultdict(list)
+    for r in views.detection(spark, sf_dir).collect():
+        pages[r["doc_id"]].append((r["miny"], r["det_id"]))
+    want = []
+    for doc, rows in pages.items():
+        anchor, row = None, -1
+        for y, det in sorted(rows):
+            if anchor is None or y - anchor > 0.006:
+                anchor, row = y, row + 1
+            want.append((doc, det, row))
+    assert sorted(tuple(r) for r in w06(spark, sf_dir).select("doc_id", "det_id", "row").collect()) == sorted(want)
