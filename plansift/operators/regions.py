@@ -358,3 +358,22 @@ def j31(spark, sf_dir):
 
     boxes = views.detection(spark, sf_dir).where("name = 'drawings'").select("det_id", *BOX).distinct()
     return boxes.mapInPandas(run, "det_id string, left_area double, right_area double")
+
+
+@register("r09_composite_regions", oracle("v_word v_detection", """
+WITH k AS (SELECT DISTINCT d.doc_id, d.det_id FROM v_detection d JOIN v_word v ON v.doc_id = d.doc_id AND v.l + v.w / 2 BETWEEN d.minx AND d.maxx AND v.t + v.h / 2 BETWEEN d.miny AND round(d.miny + (d.maxy - d.miny) * 5e-1, 9)
+  WHERE d.name = 'tables' AND lower(v.tok) IN ('the', 'of', 'die', 'les', 'los')),
+g AS (SELECT DISTINCT a.doc_id, a.det_id FROM v_detection a JOIN v_detection b ON a.doc_id = b.doc_id WHERE a.name = 'tables' AND b.name = 'grid' AND greatest(a.minx, b.minx) <= least(a.maxx, b.maxx) AND greatest(a.miny, b.miny) <= least(a.maxy, b.maxy))
+SELECT DISTINCT d.doc_id, d.det_id, CASE WHEN k.det_id IS NOT NULL AND g.det_id IS NOT NULL THEN 95e-2 WHEN g.det_id IS NOT NULL THEN 9e-1 WHEN k.det_id IS NOT NULL THEN 8e-1 ELSE 7e-1 END AS confidence
+FROM v_detection d LEFT JOIN k USING (doc_id, det_id) LEFT JOIN g USING (doc_id, det_id) WHERE d.name = 'tables'"""))
+def r09(spark, sf_dir):
+    """Tables with a confidence that rises where a grid meets them and where a keyword stands in their upper half."""
+    from plansift.operators.spatial import box_pairs
+
+    d = views.detection(spark, sf_dir)
+    own = d.where("name = 'tables'")
+    told = j11(spark, sf_dir).select("doc_id", "det_id", F.lit(True).alias("told"))
+    met = box_pairs(own, d.where("name = 'grid'")).select("doc_id", "det_id", F.lit(True).alias("met")).distinct()
+    j = own.select("doc_id", "det_id").distinct().join(told, ["doc_id", "det_id"], "left").join(met, ["doc_id", "det_id"], "left")
+    told, met = F.col("told").isNotNull(), F.col("met").isNotNull()
+    return j.select("doc_id", "det_id", F.when(told & met, 0.95).when(met, 0.9).when(told, 0.8).otherwise(0.7).alias("confidence"))

@@ -202,3 +202,28 @@ def j24(spark, sf_dir):
     placed = s.where("p_size > 20").select(F.upper(F.trim("tag")).alias("key")).distinct().withColumn("placed", F.lit(True))
     j = s.withColumn("key", F.upper(F.trim("tag"))).join(placed, "key", "left")
     return j.select("p_partkey", "tag", F.coalesce("placed", F.lit(False)).alias("placed"))
+
+
+@register("t11_note_forms", oracle("v_line", """
+WITH c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(text, '^[0-9]+[.)]')) AS numbered, count(*) FILTER (regexp_matches(text, '^[A-Z][a-z]?[.,)]? ')) AS lettered, count(*) FILTER (regexp_matches(text, '[.:]$')) AS sections, count(*) FILTER (regexp_matches(text, '^[^ ]+: ')) AS pairs FROM v_line GROUP BY doc_id)
+SELECT doc_id, CASE WHEN numbered >= 2 THEN 'numbered' WHEN lettered >= 2 AND lettered * 5 >= n THEN 'lettered' WHEN sections >= 2 THEN 'sections' WHEN pairs >= 2 THEN 'key-value' ELSE 'plain' END AS form, n FROM c"""))
+def t11(spark, sf_dir):
+    """The form in which a page's notes are read: numbered, lettered, by sections or key and value; the first that fits."""
+    has = lambda p: F.count_if(F.col("text").rlike(p))
+    c = views.line(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), has(r"^[0-9]+[.)]").alias("numbered"), has("^[A-Z][a-z]?[.,)]? ").alias("lettered"), has("[.:]$").alias("sections"), has("^[^ ]+: ").alias("pairs"))
+    form = F.when(F.col("numbered") >= 2, "numbered").when((F.col("lettered") >= 2) & (F.col("lettered") * 5 >= F.col("n")), "lettered").when(F.col("sections") >= 2, "sections").when(F.col("pairs") >= 2, "key-value")
+    return c.select("doc_id", F.coalesce(form, F.lit("plain")).alias("form"), "n")
+
+
+@register("t14_text_extents", oracle(_V, """
+SELECT d.doc_id, d.det_id, count(DISTINCT v.line_idx) AS n_lines, count(DISTINCT v.idx) AS n_words, round(min(v.l), 6) AS minx, round(min(v.t), 6) AS miny, round(max(v.l + v.w), 6) AS maxx, round(max(v.t + v.h), 6) AS maxy
+FROM (SELECT DISTINCT doc_id, det_id, minx, miny, maxx, maxy FROM v_detection WHERE name = 'text_box') d JOIN v_word v ON v.doc_id = d.doc_id AND v.l + v.w / 2 BETWEEN d.minx AND d.maxx AND v.t + v.h / 2 BETWEEN d.miny AND d.maxy GROUP BY d.doc_id, d.det_id"""))
+def t14(spark, sf_dir):
+    """What the words in a region cover: lines, words and their common box."""
+    w = views.word(spark, sf_dir).select("doc_id", "idx", "line_idx", "l", "t", "w", "h", (F.col("l") + F.col("w") / 2).alias("cx"), (F.col("t") + F.col("h") / 2).alias("cy"))
+    boxes = views.detection(spark, sf_dir).where("name = 'text_box'").select("doc_id", "det_id", "minx", "miny", "maxx", "maxy").distinct()
+    hits = points_in_boxes(w, boxes, F.col("cx"), F.col("cy"))
+    edge = lambda f, c, name: F.round(f(c), 6).alias(name)
+    return hits.groupBy("doc_id", "det_id").agg(
+        F.count_distinct("line_idx").alias("n_lines"), F.count_distinct("idx").alias("n_words"), edge(F.min, F.col("l"), "minx"), edge(F.min, F.col("t"), "miny"), edge(F.max, F.col("l") + F.col("w"), "maxx"), edge(F.max, F.col("t") + F.col("h"), "maxy")
+    )
