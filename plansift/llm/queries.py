@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import ann_tree, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
+from plansift.llm import ann_tree, collocations, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_simhash,
             op9_html_extraction,
             op10_packing,
+            op11_collocations,
             pipeline,
         )
     }
@@ -161,5 +166,36 @@ WHERE s.i = 0 OR NOT EXISTS (
 """
 
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+q AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+t AS (SELECT lang, pid, unnest(w) AS a, unnest(range(len(w))) AS i FROM q),
+g AS (SELECT lang, a, lead(a) OVER at AS b, lead(a, 2) OVER at AS c FROM t WINDOW at AS (PARTITION BY pid ORDER BY i)),
+f1 AS (SELECT lang, a, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, a, b, count(*)::HUGEINT AS f FROM g WHERE b IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, a, b, c, count(*)::HUGEINT AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT x.lang, x.a || ' ' || x.b AS phrase, x.f AS a, 1 AS k, y.f AS l, z.f AS r
+  FROM f2 x JOIN f1 y ON x.lang = y.lang AND x.a = y.a JOIN f1 z ON x.lang = z.lang AND x.b = z.a WHERE x.f >= 10
+  UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 1, y.f, z.f
+  FROM f3 x JOIN f1 y ON x.lang = y.lang AND x.a = y.a JOIN f2 z ON x.lang = z.lang AND x.b = z.a AND x.c = z.b
+  UNION ALL SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c, x.f, 2, y.f, z.f
+  FROM f3 x JOIN f2 y ON x.lang = y.lang AND x.a = y.a AND x.b = y.b JOIN f1 z ON x.lang = z.lang AND x.c = z.a),
+low AS (
+  SELECT *, 1000000 * a * a // (l * r) AS score FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, a || ' ' || b AS phrase, f FROM f3 UNION ALL SELECT lang, b || ' ' || c, f FROM f3) GROUP BY ALL),
+best AS (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN part ON low.lang = part.lang AND low.phrase = part.phrase WHERE part.most IS NULL OR 100 * part.most < 50 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM best JOIN (SELECT lang, count(*) AS n FROM t GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": _op4_sql(), "op6_mixture": OP6_SQL}
+    return {"op11_collocations": OP11_SQL, "op4_license_scan": _op4_sql(), "op6_mixture": OP6_SQL}
