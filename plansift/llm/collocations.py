@@ -34,8 +34,9 @@ from plansift.llm.common import bit_filter, col, in_filter, saved
 
 LEAST, TOP, LONGEST, SUBSUMED = 10, 2000, 3, 50
 RANKED, RANKED_PHRASES, LONG_WORD = 1 << 18, 1 << 20, 64
-#: Bits of a rank within a tile, the pairs that make a tile dense, and the bytes of text counted at a time.
-SIDE, DENSE, PORTION = 10, 1 << 14, 24_000_000
+#: Bits of a rank within a tile, the pairs that make a tile dense, the bytes of text counted at a time, and the
+#: different cells that a task sums up before it passes them on.
+SIDE, DENSE, PORTION, CELLS = 10, 1 << 14, 6_000_000, 2_000_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BREAKS + b"\t", b"." * len(_BREAKS) + b" ")
@@ -70,6 +71,15 @@ def tile_counts(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([*codes, rest]), np.concatenate([*counts, n])
 
 
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted coordinates of several counts, added up."""
+    code, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(code)
+    code = code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    return code[starts], np.add.reduceat(n[order], starts) if len(code) else n
+
+
 class Ranks(NamedTuple):
     """The ranked words or phrases of one length in one language, and the filter of those that have no rank."""
 
@@ -105,7 +115,7 @@ class Portion:
             self.own.append([left[i] for i in found])
         else:
             self.own.append([])
-        self.words = ids[words.indices.to_numpy()]
+        self.words = ids.astype(np.int32)[words.indices.to_numpy()]
         self.phrases = [self.words]
         for _ in levels[1:]:
             self._next()
@@ -134,7 +144,7 @@ class Portion:
             return none, none, none
         first, then, last = parts[:-size], parts[1 : len(parts) - size + 1], self.words[size:]
         at = np.flatnonzero((first >= 0) & (then >= 0) & (last >= 0))
-        return at, first[at], last[at]
+        return at, first[at].astype(np.int64), last[at].astype(np.int64)
 
     def _next(self) -> None:
         level = len(self.phrases)
@@ -152,20 +162,18 @@ class Portion:
             new = np.where(maybe, ranks.n + np.cumsum(maybe) - 1, -1)
             ids[~known] = new[back]
             self.own[level] = [t for t, m in zip(texts, maybe, strict=True) if m]
-        out = np.full(len(self.words), -1, np.int64)
+        out = np.full(len(self.words), -1, np.int32)
         out[at] = ids
         self.phrases.append(out)
 
-    def counts(self) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
-        """Cells of ranked parts with their counts, then the texts of the other phrases with theirs."""
+    def counts(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[list[str], np.ndarray]]:
+        """Cells of ranked parts with their counts, and the texts of the other phrases with theirs."""
         _, first, last = self.pairs()
         code, n = tile_counts(first, last)
         ranked = ((code >> 32) < self.levels[-1].n) & ((code & 0xFFFFFFFF) < self.levels[0].n)
-        yield pa.array(code[ranked]), pa.nulls(int(ranked.sum()), pa.string()), pa.array(n[ranked])
-        if not ranked.all():
-            level = len(self.phrases) - 1
-            texts = [f"{self.text(level, int(c) >> 32)} {self.text(0, int(c) & 0xFFFFFFFF)}" for c in code[~ranked]]
-            yield pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string()), pa.array(n[~ranked])
+        level = len(self.phrases) - 1
+        texts = [f"{self.text(level, int(c) >> 32)} {self.text(0, int(c) & 0xFFFFFFFF)}" for c in code[~ranked]]
+        return (code[ranked], n[ranked]), (texts, n[~ranked])
 
 
 def _portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -206,10 +214,26 @@ def _count_words(size: int) -> Callable:
 def _count_phrases(levels, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = levels.value
+        runs: dict[str, list] = {}
+
+        def passed_on(least: int) -> Iterator[pa.RecordBatch]:
+            for lang in list(runs):
+                runs[lang] = [merged(runs[lang])]
+            if sum(len(r[0][0]) for r in runs.values()) > least:
+                for lang, [(code, n)] in runs.items():
+                    for lo in range(0, len(code), 1 << 16):
+                        cut = slice(lo, lo + (1 << 16))
+                        yield _rows(lang, pa.array(code[cut]), pa.nulls(len(code[cut]), pa.string()), pa.array(n[cut]))
+                runs.clear()
+
         for lang, texts in _portions(batches, size):
-            for code, phrase, n in Portion(lang, texts, [_of(x, lang, k) for k, x in enumerate(held)]).counts():
-                if len(n):
-                    yield _rows(lang, code, phrase, n)
+            ranked, (others, n) = Portion(lang, texts, [_of(x, lang, k) for k, x in enumerate(held)]).counts()
+            if others:
+                yield _rows(lang, pa.nulls(len(others), pa.int64()), pa.array(others, pa.string()), pa.array(n))
+            runs.setdefault(lang, []).append(ranked)
+            if sum(len(code) for r in runs.values() for code, _ in r) > 2 * CELLS:
+                yield from passed_on(CELLS)
+        yield from passed_on(-1)
 
     return run
 

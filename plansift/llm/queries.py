@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import ann_tree, collocations, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash
+from plansift.llm import ann_tree, collocations, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_html_extraction,
             op10_packing,
             op11_collocations,
+            op13_whitening,
             pipeline,
         )
     }
@@ -170,9 +175,9 @@ OP11_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-q AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+q AS (SELECT lang, row_number() OVER () AS pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 t AS (SELECT lang, pid, unnest(w) AS a, unnest(range(len(w))) AS i FROM q),
-g AS (SELECT lang, a, lead(a) OVER at AS b, lead(a, 2) OVER at AS c FROM t WINDOW at AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, a, lead(a) OVER piece AS b, lead(a, 2) OVER piece AS c FROM t WINDOW piece AS (PARTITION BY pid ORDER BY i)),
 f1 AS (SELECT lang, a, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
 f2 AS (SELECT lang, a, b, count(*)::HUGEINT AS f FROM g WHERE b IS NOT NULL GROUP BY ALL),
 f3 AS (SELECT lang, a, b, c, count(*)::HUGEINT AS f FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
