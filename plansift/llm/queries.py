@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import ann_tree, collocations, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_rules, secret_scan, simhash, whitening
+from plansift.llm import ann_tree, collocations, html_extract, license_scan, line_templates, mixture, packing, phrase_dedup, quality_classifier, quality_rules, secret_scan, simhash, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_html_extraction,
             op10_packing,
             op11_collocations,
+            op12_quality_classifier,
             op13_whitening,
             pipeline,
         )
