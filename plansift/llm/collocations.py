@@ -151,9 +151,14 @@ class Portion:
         ranks = self.levels[level]
         at, first, last = self.pairs()
         code = first << 32 | last
-        found = np.minimum(np.searchsorted(ranks.codes, code), max(len(ranks.codes) - 1, 0))
-        known = ranks.codes[found] == code if len(ranks.codes) else np.zeros(len(code), bool)
-        ids = np.where(known, ranks.rank[found] if len(ranks.codes) else -1, -1)
+        known, ids = np.zeros(len(code), bool), np.full(len(code), -1, np.int64)
+        if len(ranks.codes):
+            order = np.argsort(code)  # in order, neighbouring cells are looked up in memory just read
+            asked = code[order]
+            found = np.minimum(np.searchsorted(ranks.codes, asked), len(ranks.codes) - 1)
+            hit = ranks.codes[found] == asked
+            known[order] = hit
+            ids[order[hit]] = ranks.rank[found[hit]]
         self.own.append([])
         if ranks.more is not None and not known.all():
             left, back = np.unique(code[~known], return_inverse=True)
