@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +11,7 @@ from plansift.operators.spatial import box_pairs
 from plansift.plans import views
 from plansift.plans.registry import register
 from plansift.plans.views import oracle
+from plansift.sources.shared import shared_dir
 
 _PC = "v_detection v_word v_text v_taxonomy v_page_code"
 #: Groups of divisions that belong together.
@@ -152,12 +151,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names; a local session without it gets its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = "file://" + tempfile.mkdtemp(prefix="plansift-")
-        spark.sparkContext.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

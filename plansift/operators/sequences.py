@@ -1,4 +1,4 @@
-"""Order-dependent operators over words and lines, and full-text search, as window functions and joins."""
+"""Order-dependent operators over words and lines, as window functions and joins."""
 
 from __future__ import annotations
 
@@ -186,88 +186,6 @@ def w24(spark, sf_dir):
     return r.groupBy("source").agg(F.count_if(fits).alias("packed"), F.count_if(~fits).alias("more"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).alias("used"))
 
 
-# --- full-text search ----------------------------------------------------------------------------------------------
-
-TERMS = ("that", "this", "with")
-
-
-def token_index(words):
-    """(``doc_id``, ``token``, ``tf``, ``first``): the inverted index of page words."""
-    token = F.regexp_replace(F.lower("tok"), "[^a-z0-9]+", "")
-    return words.select("doc_id", "idx", token.alias("token")).where("token <> ''").groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.min("idx").alias("first"))
-
-
-_INDEX = "i AS (SELECT doc_id, regexp_replace(lower(tok), '[^a-z0-9]+', '', 'g') AS token, count(*) AS tf, min(idx) AS first FROM v_word WHERE regexp_replace(lower(tok), '[^a-z0-9]+', '', 'g') <> '' GROUP BY 1, 2)"
-_TERMS = ", ".join(map(repr, TERMS))
-
-
-@register("f01_token_index", oracle("v_word", f"WITH {_INDEX} SELECT token, count(*) AS docs, sum(tf)::BIGINT AS tf, min(first) AS earliest FROM i GROUP BY token"))
-def f01(spark, sf_dir):
-    return token_index(views.word(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.min("first").alias("earliest"))
-
-
-def search_all(words, terms):
-    """Documents that have every term, with their summed frequencies."""
-    hit = token_index(words).where(F.col("token").isin(*terms))
-    return hit.groupBy("doc_id").agg(F.count("*").alias("found"), F.sum("tf").alias("tf"), F.min("first").alias("first")).where(F.col("found") == len(terms)).drop("found")
-
-
-@register("f02_and_query", oracle("v_word", f"WITH {_INDEX} SELECT doc_id, sum(tf)::BIGINT AS tf, min(first) AS first FROM i WHERE token IN ({_TERMS}) GROUP BY doc_id HAVING count(*) = 3"))
-def f02(spark, sf_dir):
-    return search_all(views.word(spark, sf_dir), TERMS)
-
-
-@register("f03_phrase_query", oracle("v_word", "WITH x AS (SELECT doc_id, idx, lower(tok) AS t, lead(lower(tok)) OVER (PARTITION BY doc_id ORDER BY idx) AS t2 FROM v_word) SELECT doc_id, count(*) AS hits, min(idx) AS first FROM x WHERE t = 'of' AND t2 = 'the' GROUP BY doc_id"))
-def f03(spark, sf_dir):
-    """A phrase: postings of its terms, met where the second stands one place further."""
-    w = views.word(spark, sf_dir).select("doc_id", "idx", F.lower("tok").alias("t"))
-    second = w.where("t = 'the'").select("doc_id", (F.col("idx") - 1).alias("idx"))
-    return w.where("t = 'of'").join(second, ["doc_id", "idx"]).groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("idx").alias("first"))
-
-
-@register("f04_rank", oracle("v_word", f"WITH {_INDEX}, n AS (SELECT doc_id, count(*) AS len FROM v_word GROUP BY doc_id) SELECT doc_id, round(sum(tf / (tf + 1e0)) / (1 + ln(len)), 6) AS rank FROM i JOIN n USING (doc_id) WHERE token IN ({_TERMS}) GROUP BY doc_id, len HAVING count(*) = 3 ORDER BY rank DESC, doc_id LIMIT 20"))
-def f04(spark, sf_dir):
-    """The twenty best documents: saturated term frequencies over the logarithm of the length (an own formula)."""
-    w = views.word(spark, sf_dir)
-    n = w.groupBy("doc_id").agg(F.count("*").alias("len"))
-    hit = token_index(w).where(F.col("token").isin(*TERMS)).groupBy("doc_id").agg(F.count("*").alias("k"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("s")).where("k = 3")
-    return hit.join(n, "doc_id").select("doc_id", F.round(F.col("s") / (1 + F.ln("len")), 6).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(20)
-
-
-@register("f05_headline", oracle("v_word", f"""WITH {_INDEX}, h AS (SELECT doc_id, min(first) AS spot FROM i WHERE token = 'license' GROUP BY doc_id)
-SELECT doc_id, string_agg(CASE WHEN regexp_replace(lower(tok), '[^a-z0-9]+', '', 'g') = 'license' THEN '<mark>' || tok || '</mark>' ELSE tok END, ' ' ORDER BY idx) AS headline
-FROM v_word JOIN h USING (doc_id) WHERE idx BETWEEN spot - 10 AND spot + 9 GROUP BY doc_id"""))
-def f05(spark, sf_dir):
-    """Twenty words around the first hit, hits marked."""
-    w = views.word(spark, sf_dir)
-    h = token_index(w).where("token = 'license'").select("doc_id", F.col("first").alias("at"))
-    near = w.join(h, "doc_id").where(F.col("idx").between(F.col("at") - 10, F.col("at") + 9))
-    hit = F.regexp_replace(F.lower("tok"), "[^a-z0-9]+", "") == "license"
-    shown = F.when(hit, F.concat(F.lit("<mark>"), "tok", F.lit("</mark>"))).otherwise(F.col("tok"))
-    g = near.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", shown.alias("s")))).alias("x"))
-    return g.select("doc_id", F.array_join(F.transform("x", lambda v: v["s"]), " ").alias("headline"))
-
-
-@register("f06_word_hits", oracle("v_word", "SELECT doc_id, idx, round(l, 6) AS l, round(t, 6) AS t FROM v_word WHERE starts_with(regexp_replace(lower(tok), '[^a-z0-9]+', '', 'g'), 'licens')"))
-def f06(spark, sf_dir):
-    """Boxes of the words that match a term by prefix."""
-    s = F.regexp_replace(F.lower("tok"), "[^a-z0-9]+", "")
-    return views.word(spark, sf_dir).where(s.startswith("licens")).select("doc_id", "idx", F.round("l", 6).alias("l"), F.round("t", 6).alias("t"))
-
-
-@register("f07_cross_project", oracle("v_word", f"WITH {_INDEX}, m AS (SELECT doc_id FROM i WHERE token IN ({_TERMS}) GROUP BY doc_id HAVING count(*) = 3) SELECT source, count(*) AS match_count, count(DISTINCT doc_id) AS page_count FROM m JOIN documents USING (doc_id) GROUP BY source"))
-def f07(spark, sf_dir):
-    m = search_all(views.word(spark, sf_dir), TERMS).select("doc_id")
-    return m.join(read(spark, sf_dir, "documents", "doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("match_count"), F.count_distinct("doc_id").alias("page_count"))
-
-
-@register("f08_retrieval", oracle("v_word", f"WITH {_INDEX} SELECT doc_id, sum(tf)::BIGINT AS tf, substr(min(d.text), 1, 2000) AS text FROM i JOIN documents d USING (doc_id) WHERE token IN ({_TERMS}) GROUP BY doc_id HAVING count(*) = 3 ORDER BY tf DESC, doc_id LIMIT 10"))
-def f08(spark, sf_dir):
-    """Context for a question: the ten documents with most hits, as much of their text as a report shows."""
-    top = search_all(views.word(spark, sf_dir), TERMS).select("doc_id", "tf").orderBy(F.desc("tf"), "doc_id").limit(10)
-    return read(spark, sf_dir, "documents", "doc_id", "text").join(F.broadcast(top), "doc_id").select("doc_id", "tf", F.substring("text", 1, 2000).alias("text"))
-
-
 # --- detectors by word patterns ------------------------------------------------------------------------------------
 
 CONTACT = (

@@ -45,8 +45,12 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of whole texts, twelve to a line and sixty lines to a sheet."""
+    return word_of(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def word_of(pages: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    d = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(words).alias("idx", "tok"))
+    d = pages.select("doc_id", F.posexplode(words).alias("idx", "tok"))
     idx, row = F.col("idx"), F.floor(F.col("idx") / PER_LINE).cast("int")
     return d.select(
         "doc_id", "idx", "tok", F.floor(idx / (PER_LINE * LINES)).cast("int").alias("sheet"), row.alias("line_idx"),
