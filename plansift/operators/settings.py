@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plansift.plans import views
 from plansift.plans.registry import queries, register
 from plansift.plans.views import oracle
+from plansift.sources.deltas import patched, signed, totals
 
 
 @dataclass(frozen=True)
@@ -91,15 +92,24 @@ def z09(spark, sf_dir):
     return done_pages(views.page(spark, sf_dir).select("page_number"), done, "page_number")
 
 
-@register("z08_patched_summary", oracle("v_page_code v_page", """
-WITH old AS (SELECT project_id, count(*) AS pages, 0 AS codes FROM v_page GROUP BY 1), new AS (SELECT project_id, count(DISTINCT code) AS codes FROM v_page_code c JOIN v_page p ON p.page_number = c.doc_id GROUP BY 1)
-SELECT project_id, pages, coalesce(new.codes, old.codes)::BIGINT AS codes FROM old LEFT JOIN new USING (project_id)"""))
+_EDITED = """was AS (SELECT doc_id, det_id, name, conf FROM v_detection),
+now AS (SELECT doc_id, det_id, CASE WHEN name = 'grid' AND conf < 5e-1 THEN 'tables' ELSE name END AS name, conf FROM was WHERE conf < 9e-1
+        UNION ALL SELECT doc_id + 1, det_id || '+', name, conf FROM was WHERE conf >= 9e-1 AND name = 'drawings')"""
+
+
+@register("z08_patched_summary", oracle("v_detection", f"WITH {_EDITED} SELECT doc_id, name, count(*) AS rows, sum(round(conf * 1000)::BIGINT)::BIGINT AS milli FROM now GROUP BY ALL"))
 def z08(spark, sf_dir):
-    """Summaries with the fields that changed patched in; others stay."""
-    page = views.page(spark, sf_dir).select("project_id", "page_number")
-    old = page.groupBy("project_id").agg(F.count("*").alias("pages"))
-    new = views.page_code(spark, sf_dir).join(page, F.col("doc_id") == F.col("page_number")).groupBy("project_id").agg(F.count_distinct("code").alias("new_codes"))
-    return old.join(new, "project_id", "left").select("project_id", "pages", F.coalesce("new_codes", F.lit(0)).alias("codes"))
+    """Boxes by page and class after edits (sure ones go or move a page on, unsure grids become tables): the summary from
+    before takes one row less and one more for each change; nothing is counted anew."""
+    was = views.detection(spark, sf_dir).select("doc_id", "det_id", "name", "conf")
+    sure = F.col("conf") >= 9e-1
+    name = F.when((F.col("name") == "grid") & (F.col("conf") < 5e-1), "tables").otherwise(F.col("name"))
+    old = F.struct("doc_id", "name", "conf")
+    edits = was.select(old.alias("old"), F.when(~sure, F.struct("doc_id", name.alias("name"), "conf")).alias("new"))
+    added = was.where(sure & (F.col("name") == "drawings")).select(F.lit(None).cast(edits.schema["old"].dataType).alias("old"), F.struct((F.col("doc_id") + 1).alias("doc_id"), "name", "conf").alias("new"))
+    milli = {"milli": F.round(F.col("conf") * 1000).cast("long")}
+    before = totals(was.withColumn("sign", F.lit(1).cast("long")), ["doc_id", "name"], milli)
+    return patched(before, totals(signed(edits.union(added)), ["doc_id", "name"], milli), ["doc_id", "name"])
 
 
 @register("r18_codes_on_write", oracle("v_taxonomy v_schedule", """

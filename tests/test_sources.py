@@ -1,12 +1,13 @@
 """Readers and writers: round trips through files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plansift.plans import views
-from plansift.sources import readers, writers
+from plansift.sources import deltas, readers, writers
 
 
 def test_taxonomy_files(spark, tmp_path):
@@ -64,6 +65,71 @@ def test_replacing_partitions_and_upserts(spark, tmp_path):
     assert not [p for p in tmp_path.iterdir() if "staged" in p.name]
 
 
+def test_upserts_of_null_partitions_and_moved_keys(spark, tmp_path):
+    schema = "part string, page long, seq int, v string"
+    path = str(tmp_path / "t")
+    put = lambda *rows: writers.upsert(spark.createDataFrame(list(rows), schema), path, "part", ["page"], "seq")
+
+    def now():
+        spark.catalog.refreshByPath(path)
+        return {(r["part"], r["page"], r["seq"], r["v"]) for r in spark.read.schema(schema).parquet(path).collect()}
+
+    put((None, 1, 1, "a"), ("x", 3, 1, "c"), ("7", None, 1, "n"))
+    put((None, 2, 1, "b"))
+    assert now() == {(None, 1, 1, "a"), (None, 2, 1, "b"), ("x", 3, 1, "c"), ("7", None, 1, "n")}
+    put(("y/1 z", 3, 2, "moved"), (None, None, 2, "null key"))  # x and 7 are left empty
+    assert now() == {(None, 1, 1, "a"), (None, 2, 1, "b"), ("y/1 z", 3, 2, "moved"), (None, None, 2, "null key")}
+    put(("z", 1, 0, "older"))  # stays where it is
+    put((None, 2, 1, "tie, new"), (None, 2, 1, "tie, other"), ("y/1 z", 3, None, "no time"))
+    assert now() == {(None, 1, 1, "a"), (None, 2, 1, "tie, other"), ("y/1 z", 3, 2, "moved"), (None, None, 2, "null key")}
+
+
+def test_batches_that_come_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = writers.ingest(path, "part", ["page"], "seq")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "part string, page long, seq int, v string")
+    first, second = batch(("p", 1, 1, "one"), ("p", 2, 1, "two")), batch(("q", 1, 1, "three"))
+    for b, n in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write(b, n)
+        spark.catalog.refreshByPath(path)
+    assert {(r["part"], r["page"], r["v"], r["_batch"]) for r in spark.read.parquet(path).collect()} == {("q", 1, "three", 1), ("p", 2, "two", 0)}
+
+
+def test_random_batches_patch_summaries(spark, tmp_path):
+    """After ten batches, some of them written again and some folded, the store equals a summary of all rows."""
+    rng = random.Random(4)
+    state, groups, milli = {}, ["g"], {"total": F.col("v").cast("long")}
+    store = deltas.SummaryStore(spark, str(tmp_path / "s"), groups)
+    row = "struct<g:string,v:int>"
+    empty = spark.createDataFrame([], f"old {row}, new {row}")
+    store.start(deltas.totals(deltas.signed(empty), groups, milli))
+    written = []
+    for batch in range(1, 11):
+        changes = {}
+        for k in rng.sample(range(30), 8):
+            new = None if rng.random() < 0.3 else (rng.choice(["a", "b", None, "c"]), rng.choice([0, 5, -7, None]))
+            changes[k] = (state.get(k), new)
+        for k, (_, new) in changes.items():
+            state.pop(k, None)
+            if new is not None:
+                state[k] = new
+        change = deltas.totals(deltas.signed(spark.createDataFrame(list(changes.values()), f"old {row}, new {row}")), groups, {"total": F.coalesce(F.col("v"), F.lit(0)).cast("long")})
+        store.apply(change, batch)
+        written.append((change, batch))
+        again = rng.choice(written)
+        store.apply(*again)
+        if batch in (4, 7):
+            store.compact(batch - 1)
+        want = {}
+        for g, v in state.values():
+            n, t = want.get(g, (0, 0))
+            want[g] = (n + 1, t + (v or 0))
+        spark.catalog.clearCache()
+        assert {r["g"]: (r["rows"], r["total"]) for r in store.read().collect()} == want
+    with pytest.raises(TypeError):
+        deltas.totals(deltas.signed(empty), groups, {"x": F.col("v") / 2})
+
+
 def test_ingest_and_log_streams(spark, sf_dir, tmp_path):
     v = views.visit(spark, sf_dir).select("ip", "ts", "status")
     v.repartition(3).write.parquet(str(tmp_path / "in"))
