@@ -299,24 +299,6 @@ def w20(spark, sf_dir):
     return c.join(f, ["doc_id", "idx"], "left").select("doc_id", "idx", F.round(F.lit(0.5) + gain, 6).alias("score"))
 
 
-@register("w15_low_runs", oracle("v_word", """
-WITH b AS (SELECT doc_id, len(tok) % 40 AS bin, count(*) AS n FROM v_word GROUP BY ALL), a AS (SELECT d.doc_id, r.bin, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT doc_id FROM v_word) d CROSS JOIN (SELECT unnest(range(40)) AS bin) r LEFT JOIN b ON b.doc_id = d.doc_id AND b.bin = r.bin),
-m AS (SELECT doc_id, bin, (coalesce(lag(n) OVER p, n) + n + coalesce(lead(n) OVER p, n)) / 3e0 AS smooth FROM a WINDOW p AS (PARTITION BY doc_id ORDER BY bin)),
-l AS (SELECT *, round(smooth, 9) < round(max(smooth) OVER (PARTITION BY doc_id) * 1e-1, 9) AS low FROM m),
-i AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id ORDER BY bin) AS island FROM l WHERE low)
-SELECT doc_id, min(bin)::INT AS first_bin, max(bin)::INT AS last_bin FROM i GROUP BY doc_id, island HAVING count(*) >= 3"""))
-def w15(spark, sf_dir):
-    """Gutters: runs of three bins or more in which the smoothed histogram of a page is under a tenth of its peak."""
-    n = views.word(spark, sf_dir).groupBy("doc_id", (F.char_length("tok") % 40).alias("bin")).agg(F.count("*").alias("n"))
-    every = n.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("bin"))
-    a = every.join(n, ["doc_id", "bin"], "left").select("doc_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
-    p = W.partitionBy("doc_id").orderBy("bin")  # forty rows a page
-    smooth = (F.coalesce(F.lag("n").over(p), F.col("n")) + F.col("n") + F.coalesce(F.lead("n").over(p), F.col("n"))) / F.lit(3.0)
-    low = a.withColumn("smooth", smooth).withColumn("peak", F.max("smooth").over(W.partitionBy("doc_id"))).where(F.round("smooth", 9) < F.round(F.col("peak") * 0.1, 9))
-    i = low.withColumn("island", F.col("bin") - F.row_number().over(p))
-    return i.groupBy("doc_id", "island").agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.count("*").alias("k")).where("k >= 3").select("doc_id", "first_bin", "last_bin")
-
-
 @register("t16_region_snippets", oracle("v_word v_detection", """
 SELECT d.doc_id, d.det_id, substr(string_agg(v.tok, ' ' ORDER BY v.idx), 1, 300) AS snippet FROM (SELECT DISTINCT doc_id, det_id, minx, miny, maxx, maxy FROM v_detection WHERE name = 'drawings') d
 JOIN v_word v ON v.doc_id = d.doc_id AND v.l + v.w / 2 BETWEEN d.minx AND d.maxx AND v.t + v.h / 2 BETWEEN d.miny AND d.maxy GROUP BY d.doc_id, d.det_id, d.minx, d.miny, d.maxx, d.maxy"""))

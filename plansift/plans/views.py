@@ -6,7 +6,7 @@ arithmetic, and coordinates from the same double expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plansift.sources.tables import read
@@ -65,6 +65,24 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word(spark, sf_dir).groupBy("doc_id", "sheet", "line_idx").agg(text.alias("text"), F.min("t").alias("t"), F.count("*").alias("n_words"))
 
 
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts set in two columns: their own lines, cut after six words, short lines in taller type, a gap between lines
+    and hanging indents.  A page (``doc_id`` names document and sheet) has a hundred places for lines."""
+    d = read(spark, sf_dir, "documents", F.col("doc_id").alias("doc"), "text")
+    a = d.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "s"))
+    ws = F.filter(F.split("s", r"\s+"), lambda x: x != "")
+    b = a.select("doc", "line_no", ws.alias("ws")).where(F.size("ws") > 0)
+    c = b.select("doc", "line_no", F.size("ws").alias("in_line"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 6).cast("int")), lambda i: F.slice("ws", i * 6 + 1, 6))).alias("seg", "ws"))
+    w = Window.partitionBy("doc").orderBy("line_no", "seg")
+    pos = F.sum(F.when(F.col("seg") == 0, 3).otherwise(1)).over(w) - 3
+    e = c.select("doc", F.row_number().over(w).alias("n"), "in_line", "seg", F.array_join("ws", " ").alias("text"), F.size("ws").alias("words"), pos.alias("pos"))
+    left = F.lit(5e-2) + F.floor((F.col("pos") % 100) / 50) * F.lit(5e-1) + F.when(F.col("seg") == 0, F.lit(0e0)).otherwise(F.lit(3e-2))
+    top = F.lit(4e-2) + (F.col("pos") % 50) * F.lit(18e-3)
+    f = e.select(F.concat("doc", F.lit("/"), F.floor(F.col("pos") / 100).cast("string")).alias("doc_id"), "n", "text", "words", F.round(left, 9).alias("minx"), F.round(top, 9).alias("miny"),
+                 F.least(F.lit(4e-1), F.char_length("text") * F.lit(11e-3)).alias("w"), F.when(F.col("in_line") <= 3, F.lit(2e-2)).otherwise(F.lit(12e-3)).alias("h"))
+    return f.select("doc_id", "n", "text", "words", "minx", "miny", F.round(F.col("minx") + F.col("w"), 9).alias("maxx"), F.round(F.col("miny") + F.col("h"), 9).alias("maxy"))
+
+
 def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from line items; rows alike in all columns are one detection."""
     n = n_documents(spark, sf_dir)
@@ -126,6 +144,14 @@ SQL = {
       FROM (SELECT doc_id, unnest(x) AS tok, unnest(range(len(x))) AS idx
             FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '') AS x FROM documents))""",
     "v_line": "SELECT doc_id, sheet, line_idx, string_agg(tok, ' ' ORDER BY idx) AS text, min(t) AS t, count(*) AS n_words FROM v_word GROUP BY ALL",
+    "v_layout": r"""SELECT doc_id, n, text, words, minx, miny, round(minx + w, 9) AS maxx, round(miny + h, 9) AS maxy FROM (
+        SELECT doc || '/' || (pos // 100) AS doc_id, n::INT AS n, text, words, round(5e-2 + ((pos % 100) // 50) * 5e-1 + CASE WHEN seg = 0 THEN 0e0 ELSE 3e-2 END, 9) AS minx, round(4e-2 + (pos % 50) * 18e-3, 9) AS miny,
+          least(4e-1, len(text) * 11e-3) AS w, CASE WHEN in_line <= 3 THEN 2e-2 ELSE 12e-3 END AS h FROM (
+        SELECT doc, in_line, seg, array_to_string(ws, ' ') AS text, len(ws)::INT AS words, row_number() OVER o AS n, (sum(CASE WHEN seg = 0 THEN 3 ELSE 1 END) OVER o - 3)::BIGINT AS pos FROM (
+        SELECT doc, line_no, len(ws) AS in_line, seg, ws[seg * 6 + 1 : seg * 6 + 6] AS ws FROM (
+        SELECT *, unnest(range((len(ws) + 5) // 6)) AS seg FROM (
+        SELECT doc, line_no, list_filter(regexp_split_to_array(s, '\s+'), lambda y: y <> '') AS ws FROM (
+        SELECT doc_id AS doc, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL)))) WINDOW o AS (PARTITION BY doc ORDER BY line_no, seg)))""",
     "v_detection": f"""SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS det_id,
         l_orderkey % (SELECT count(*) FROM documents) AS doc_id, {_pick_sql(CLASSES, 'l_linenumber - 1')} AS name,
         (l_partkey % 80) / 1e2 AS minx, (l_suppkey % 80) / 1e2 AS miny, (l_partkey % 80) / 1e2 + 5e-2 + (l_quantity::INT % 10) / 1e2 AS maxx,
