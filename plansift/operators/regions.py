@@ -135,13 +135,13 @@ def g06(spark, sf_dir):
 
 # --- tag mapping -----------------------------------------------------------------------------------------------------
 
-_TAGS = "t AS (SELECT DISTINCT upper(tok) AS tag FROM v_word WHERE regexp_matches(tok, '^[A-Z][a-z]+$') AND len(tok) BETWEEN 5 AND 7 AND doc_id % 10 = 0)"
+_TAGS = "t AS (SELECT DISTINCT upper(tok) AS tag FROM v_word WHERE regexp_matches(tok, '^[A-Z][a-z]+$') AND len(tok) BETWEEN 5 AND 7)"
 
 
 def tags(spark, sf_dir) -> DataFrame:
-    """The tags that are looked for: capitalised words of five to seven letters of every tenth page, in upper case."""
+    """The tags that are looked for: capitalised words of five to seven letters, in upper case."""
     w = views.word(spark, sf_dir)
-    own = w.where(F.col("tok").rlike("^[A-Z][a-z]+$") & F.length("tok").between(5, 7) & (F.col("doc_id") % 10 == 0))
+    own = w.where(F.col("tok").rlike("^[A-Z][a-z]+$") & F.length("tok").between(5, 7))
     return own.select(F.upper("tok").alias("tag")).distinct()
 
 

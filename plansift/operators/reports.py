@@ -170,7 +170,7 @@ def o12(spark, sf_dir):
     return _top(d, ["doc_id"], [F.desc("conf"), "det_id", "name"], 8).join(total, "doc_id").select("doc_id", "det_id", "more")
 
 
-_STRATEGIES = """a AS (SELECT doc_id, tok AS candidate, 'corner' AS strategy, 6e-1 + 3e-1 * (idx >= 600)::INT AS score FROM v_word WHERE regexp_matches(tok, '^[A-Z][a-z]{1,3}[.,]?$') AND sheet = 0),
+_STRATEGIES = """a AS (SELECT doc_id, tok AS candidate, 'corner' AS strategy, 6e-1 + 3e-1 * (idx % 720 >= 600)::INT AS score FROM v_word WHERE regexp_matches(tok, '^[A-Z][a-z]{1,3}[.,]?$')),
 b AS (SELECT page_number AS doc_id, drawing_number AS candidate, 'register' AS strategy, 7e-1 AS score FROM v_page), c AS (SELECT doc_id, tok, 'page', 5e-1 FROM v_word WHERE regexp_matches(tok, '^[A-Z]{1,2}-?[0-9]{2,4}$'))"""
 
 
@@ -182,8 +182,8 @@ def u02(spark, sf_dir):
 
 def drawing_candidates(spark, sf_dir) -> DataFrame:
     w = views.word(spark, sf_dir)
-    near = w.where(F.col("tok").rlike("^[A-Z][a-z]{1,3}[.,]?$") & (F.col("sheet") == 0))
-    a = near.select("doc_id", F.col("tok").alias("candidate"), F.lit("corner").alias("strategy"), (F.lit(0.6) + F.lit(0.3) * (F.col("idx") >= 600).cast("int")).alias("score"))
+    near = w.where(F.col("tok").rlike("^[A-Z][a-z]{1,3}[.,]?$"))
+    a = near.select("doc_id", F.col("tok").alias("candidate"), F.lit("corner").alias("strategy"), (F.lit(0.6) + F.lit(0.3) * (F.col("idx") % 720 >= 600).cast("int")).alias("score"))
     b = views.page(spark, sf_dir).select(F.col("page_number").alias("doc_id"), F.col("drawing_number").alias("candidate"), F.lit("register").alias("strategy"), F.lit(0.7).alias("score"))
     c = w.where(F.col("tok").rlike("^[A-Z]{1,2}-?[0-9]{2,4}$")).select("doc_id", F.col("tok").alias("candidate"), F.lit("page").alias("strategy"), F.lit(0.5).alias("score"))
     return a.unionByName(b).unionByName(c)

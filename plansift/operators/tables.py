@@ -19,10 +19,10 @@ HEADERS = ("the", "and", "of", "der", "die", "les", "los", "que")
 
 
 def table_words(spark, sf_dir) -> DataFrame:
-    """Words of the first sheet inside table regions, with their positions."""
-    w = views.word(spark, sf_dir).where("sheet = 0").select("doc_id", "idx", "tok", "l", "t", (F.col("l") + F.col("w") / 2).alias("cx"), (F.col("t") + F.col("h") / 2).alias("cy"))
+    """Words inside table regions, with their positions; a region stands on every sheet of its document."""
+    w = views.word(spark, sf_dir).select("doc_id", "sheet", "idx", "tok", "l", "t", (F.col("l") + F.col("w") / 2).alias("cx"), (F.col("t") + F.col("h") / 2).alias("cy"))
     boxes = views.detection(spark, sf_dir).where("name = 'tables'").select("doc_id", "det_id", "minx", "miny", "maxx", "maxy").distinct()
-    region = F.concat_ws("/", "det_id", F.round("minx", 4).cast("string"), F.round("miny", 4).cast("string"), F.round("maxx", 4).cast("string"), F.round("maxy", 4).cast("string"))
+    region = F.concat_ws("/", "det_id", F.round("minx", 4).cast("string"), F.round("miny", 4).cast("string"), F.round("maxx", 4).cast("string"), F.round("maxy", 4).cast("string"), F.col("sheet").cast("string"))
     return points_in_boxes(w, boxes, F.col("cx"), F.col("cy")).select("doc_id", region.alias("region"), "det_id", "idx", "tok", F.round("l", 6).alias("l"), F.round("t", 6).alias("t"))
 
 
@@ -41,7 +41,7 @@ def cells(spark, sf_dir) -> DataFrame:
 
 
 _TABLES = f"""b AS (SELECT DISTINCT doc_id, det_id, minx, miny, maxx, maxy FROM v_detection WHERE name = 'tables'),
-tw AS (SELECT b.doc_id, b.det_id, dense_rank() OVER (ORDER BY b.det_id, minx, miny, maxx, maxy) AS region, v.idx, v.tok, round(v.l, 6) AS l, round(v.t, 6) AS t FROM b JOIN v_word v ON v.doc_id = b.doc_id AND v.sheet = 0
+tw AS (SELECT b.doc_id, b.det_id, dense_rank() OVER (ORDER BY b.det_id, minx, miny, maxx, maxy, v.sheet) AS region, v.idx, v.tok, round(v.l, 6) AS l, round(v.t, 6) AS t FROM b JOIN v_word v ON v.doc_id = b.doc_id
   AND v.l + v.w / 2 BETWEEN b.minx AND b.maxx AND v.t + v.h / 2 BETWEEN b.miny AND b.maxy),
 rp AS (SELECT region, t, sum(coalesce((round(t - before, 6) > {ROW_GAP})::INT, 0)) OVER (PARTITION BY region ORDER BY t)::INT AS row FROM (SELECT region, t, lag(t) OVER (PARTITION BY region ORDER BY t) AS before FROM (SELECT DISTINCT region, t FROM tw))),
 cp AS (SELECT region, l, sum(coalesce((round(l - before, 6) > {COLUMN_GAP})::INT, 0)) OVER (PARTITION BY region ORDER BY l)::INT AS col FROM (SELECT region, l, lag(l) OVER (PARTITION BY region ORDER BY l) AS before FROM (SELECT DISTINCT region, l FROM tw))),
@@ -102,11 +102,11 @@ def t02(spark, sf_dir):
 
 
 @register("w22_reading_text", oracle("v_word", """
-WITH r AS (SELECT doc_id, sheet, round(t / 2e-2)::INT AS band, string_agg(tok, ' ' ORDER BY l, idx) AS line FROM v_word WHERE idx % 3 <> 0 GROUP BY ALL)
+WITH r AS (SELECT doc_id, sheet, round(t / 2e-2)::INT AS band, string_agg(tok, ' ' ORDER BY l, idx) AS line FROM v_word GROUP BY ALL)
 SELECT doc_id, sheet, md5(string_agg(line, chr(10) ORDER BY band)) AS digest, count(*) AS lines FROM r GROUP BY ALL"""))
 def w22(spark, sf_dir):
     """Words in reading order, by bands of height and then from left to right, as lines of text (here their digest)."""
-    w = views.word(spark, sf_dir).where("idx % 3 <> 0").withColumn("band", F.round(F.col("t") / F.lit(2e-2)).cast("int"))
+    w = views.word(spark, sf_dir).withColumn("band", F.round(F.col("t") / F.lit(2e-2)).cast("int"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "idx", "tok"))), lambda x: x["tok"]), " ")
     r = w.groupBy("doc_id", "sheet", "band").agg(line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "line"))), lambda x: x["line"]), "\n")  # a sheet has sixty lines
