@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,6 +104,63 @@ def a23(spark, sf_dir):
     return p.groupBy("cluster").agg(c.alias("cohesion")).withColumn("known", F.col("cohesion") >= 0.7)
 
 
+def greedy_clusters(nodes: list[str], close: dict[tuple[str, str], float], known: dict[str, tuple[str, ...]], least: float) -> list[tuple[str, list[str], float]]:
+    """Known groups that hold together, then groups grown in the order of ``nodes``: a node joins the first group all of
+    whose members it is close to.  ``close`` has the cohesion of pairs (in order of names) that reach ``least``."""
+    cohesion = lambda group: min((close.get((a, b), 0.0) for n, a in enumerate(sorted(group)) for b in sorted(group)[n + 1 :]), default=0.0)
+    out, taken = [], set()
+    for name, members in known.items():
+        here = [d for d in members if d in nodes]
+        if len(here) > 1 and cohesion(here) >= least:
+            out.append((name, sorted(here), cohesion(here)))
+            taken.update(here)
+    left = [d for d in nodes if d not in taken]
+    for i, seed in enumerate(left):
+        if seed in taken:
+            continue
+        group = [seed]
+        for d in left[i + 1 :]:
+            if d not in taken and all((min(d, m), max(d, m)) in close for m in group):
+                group.append(d)
+        if len(group) > 1:
+            out.append(("+".join(sorted(group)), sorted(group), cohesion(group)))
+            taken.update(group)
+    return out
+
+
+def adhoc_clusters(pd: DataFrame, least: float = 0.7) -> DataFrame:
+    """``project, cluster, divisions, cohesion`` of ``project, doc_id, division`` rows.
+
+    Pairs are counted and compared on Spark; a project's close pairs are one row, of at most 4,950 (divisions have two
+    digits), over which its clusters grow in the order in which divisions first occur.
+    """
+    rows = pd.distinct()
+    n = rows.groupBy("project", "division").agg(F.count("*").alias("pages"), F.min("doc_id").alias("first"))
+    a, b = (rows.select("project", "doc_id", F.col("division").alias(c)) for c in "ab")
+    w = a.join(b, ["project", "doc_id"]).where("a < b").groupBy("project", "a", "b").agg(F.count("*").alias("weight"))
+    of = lambda c: n.select("project", F.col("division").alias(c), F.col("pages").alias(f"p{c}"))
+    close = w.join(of("a"), ["project", "a"]).join(of("b"), ["project", "b"]).select("project", "a", "b", (F.col("weight") / F.least("pa", "pb")).alias("c")).where(F.col("c") >= least)
+    nodes = n.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "division"))), lambda x: x["division"]).alias("nodes"))
+    edges = close.groupBy("project").agg(F.collect_list(F.struct("a", "b", "c")).alias("edges"))
+
+    def run(batches):
+        for t in batches:
+            got = []
+            for r in t.to_dict("records"):
+                near = {(e["a"], e["b"]): e["c"] for e in r["edges"]} if r["edges"] is not None else {}
+                got += [(r["project"], name, ",".join(ds), round(c, 3)) for name, ds, c in greedy_clusters(list(r["nodes"]), near, CLUSTERS, least)]
+            yield pandas.DataFrame(got, columns=["project", "cluster", "divisions", "cohesion"])
+
+    return nodes.join(edges, "project", "left").mapInPandas(run, "project string, cluster string, divisions string, cohesion double")
+
+
+@register("a25_adhoc_clusters")
+def a25(spark, sf_dir):
+    """Clusters of divisions of each project: the known ones that hold together, then those grown greedily (loops in pytest)."""
+    pages = views.read(spark, sf_dir, "documents", "doc_id", F.col("source").alias("project"))
+    return adhoc_clusters(page_divisions(spark, sf_dir).join(pages, "doc_id").select("project", "doc_id", "division"))
+
+
 @register("a26_fingerprint", oracle(_PC, f"WITH {_PD}, n AS (SELECT source, division, count(*) AS c FROM pd JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, string_agg(division || ':' || c, ',' ORDER BY c DESC, division) AS fingerprint FROM n GROUP BY source"))
 def a26(spark, sf_dir):
     """A project's divisions with their page counts, most first."""

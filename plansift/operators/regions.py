@@ -310,38 +310,6 @@ def t16(spark, sf_dir):
     return hits.groupBy("doc_id", "det_id", *BOX).agg(F.substring(F.array_join(words, " "), 1, 300).alias("snippet")).select("doc_id", "det_id", "snippet")
 
 
-def halves(points: list[tuple[float, float]], x: float) -> tuple[float, float] | None:
-    """Areas left and right of the vertical line, where it crosses the polygon's border exactly twice."""
-    sides: tuple[list, list] = ([], [])
-    crossings = 0
-    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
-        if ax != x:
-            sides[ax > x].append((ax, ay))
-        if (ax - x) * (bx - x) < 0:
-            crossings += 1
-            cut = (x, ay + (by - ay) * (x - ax) / (bx - ax))
-            sides[0].append(cut)
-            sides[1].append(cut)
-    if crossings != 2:
-        return None
-    area = lambda ps: abs(sum(a * d - c * b for (a, b), (c, d) in zip(ps, ps[1:] + ps[:1], strict=True))) / 2
-    return area(sides[0]), area(sides[1])
-
-
-@register("j31_split_shapes", oracle("v_detection", """
-SELECT det_id, round((5e-1 - minx) * (maxy - miny), 6) AS left_area, round((maxx - 5e-1) * (maxy - miny), 6) AS right_area FROM (SELECT DISTINCT det_id, minx, miny, maxx, maxy FROM v_detection WHERE name = 'drawings' AND minx < 5e-1 AND maxx > 5e-1)"""))
-def j31(spark, sf_dir):
-    """Shapes that the middle of the page cuts in two, with the areas of their parts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            cut = [(d, halves([(a, b), (c, b), (c, e), (a, e)], 0.5)) for d, a, b, c, e in rows.itertuples(index=False, name=None)]
-            yield pd.DataFrame([(d, *map(lambda v: round(v, 6), h)) for d, h in cut if h], columns=["det_id", "left_area", "right_area"])
-
-    boxes = views.detection(spark, sf_dir).where("name = 'drawings'").select("det_id", *BOX).distinct()
-    return boxes.mapInPandas(run, "det_id string, left_area double, right_area double")
-
-
 @register("r09_composite_regions", oracle("v_word v_detection", """
 WITH k AS (SELECT DISTINCT d.doc_id, d.det_id FROM v_detection d JOIN v_word v ON v.doc_id = d.doc_id AND v.l + v.w / 2 BETWEEN d.minx AND d.maxx AND v.t + v.h / 2 BETWEEN d.miny AND round(d.miny + (d.maxy - d.miny) * 5e-1, 9)
   WHERE d.name = 'tables' AND lower(v.tok) IN ('the', 'of', 'die', 'les', 'los')),

@@ -234,24 +234,7 @@ def x15(spark, sf_dir):
     return box_pairs(d, d).where((F.col("det_id") < F.col("b_det_id")) & (share >= 0.5)).select("doc_id", F.col("det_id").alias("a"), F.col("b_det_id").alias("b"), share.alias("overlap")).distinct()
 
 
-#: Ranges of addresses by country, from the first to the last (as numbers), not overlapping.
-RANGES = ((167772160, 167772166, "DE"), (167772167, 167772171, "US"), (167772180, 167772671, "FR"))
-
-
-@register("x27_countries", oracle("v_visit", f"""
-WITH r(lo, hi, country) AS (VALUES {', '.join(map(repr, RANGES))}), n AS (SELECT *, string_split(ip, '.') AS p FROM v_visit),
-m AS (SELECT ip, ((p[1]::BIGINT * 256 + p[2]::BIGINT) * 256 + p[3]::BIGINT) * 256 + p[4]::BIGINT AS num FROM n)
-SELECT coalesce(country, '??') AS country, count(*) AS hits, count(DISTINCT ip) AS visitors FROM m LEFT JOIN r ON num BETWEEN lo AND hi GROUP BY 1"""))
-def x27(spark, sf_dir):
-    """Visits by country of the address range; '??' where no range has the address."""
-    part = F.split("ip", "[.]")
-    num = F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
-    ranges = F.broadcast(spark.createDataFrame(RANGES, "lo long, hi long, country string"))  # a fixed list
-    v = views.visit(spark, sf_dir).withColumn("num", num).join(ranges, F.col("num").between(F.col("lo"), F.col("hi")), "left")
-    return v.groupBy(F.coalesce("country", F.lit("??")).alias("country")).agg(F.count("*").alias("hits"), F.count_distinct("ip").alias("visitors"))
-
-
-#: Groups of divisions.
+#: Groups of divisions by the start of their number (own ones).
 GROUPS = {"00": "Procurement", "01": "General", "0": "Facility Construction", "1": "Facility Construction", "2": "Facility Services", "3": "Site and Infrastructure", "4": "Process Equipment"}
 
 

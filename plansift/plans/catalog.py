@@ -3,5 +3,5 @@
 
 def load() -> None:
     """Modules register their queries when imported."""
-    from plansift.operators import annotations, graphs, layout, masks, notes, regions, relational, reports, rules, search, sequences, settings, spatial, tables, takeoff, taxonomy, writeforms  # noqa: F401
+    from plansift.operators import annotations, cuts, graphs, layout, masks, notes, ranges, regions, relational, reports, rules, search, sequences, settings, spatial, tables, takeoff, taxonomy, writeforms  # noqa: F401
     from plansift.streaming import visits  # noqa: F401
