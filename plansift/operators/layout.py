@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plansift.functions.geometry import Box
+from plansift.functions.text import whole_word
 from plansift.operators.graphs import page_components
 from plansift.operators.spatial import box_pairs
 from plansift.plans import views
@@ -35,7 +36,8 @@ TRADES = (
     "CONCRETE", "REBAR", "MASONRY", "STEEL", "METAL", "WOOD", "LUMBER", "ROOFING", "INSULATION", "DOOR", "WINDOW", "GLAZING", "GYPSUM", "DRYWALL", "PAINT", "CEILING", "FLOORING", "TILE", "SIGNAGE", "PARTITION", "FURNISHING",
     "ELEVATOR", "FIRE PROTECTION", "SPRINKLER", "PLUMBING", "HVAC", "MECHANICAL", "ELECTRICAL", "LIGHTING", "COMMUNICATION", "EARTHWORK", "PAVING", "LANDSCAPE", "UTILITIES",
 )
-TIER_LINES = 50
+#: Lines in which keywords are looked for, characters of a region's text that are kept.
+TIER_LINES, BODY = 50, 500
 #: Fixed values of the column split: bins, floor of a gutter, its width, the margin at both edges, words of a column, width.
 BINS, FLOOR, GUTTER, EDGE, COLUMN_WORDS, WIDE = 200, 0.1, 0.03, 0.05, 4, 0.2
 
@@ -89,12 +91,13 @@ def analysed(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("column", F.sum(F.when(F.col("far").isNull() | (F.col("far") > COLUMN), 1).otherwise(0)).over(by_left))
     rows = rows.withColumn("columns", F.max("column").over(at))
     last = F.when(F.col("column") == F.col("columns"), F.char_length("text"))
-    told = F.array_sort(F.collect_list(F.when(F.col("nth") <= TIER_LINES, F.struct("nth", "text"))))  # fifty lines at most
+    told = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"])  # the lines of one page at most
     g = rows.groupBy("doc_id", "region").agg(
         *_extent(), F.sum("words").alias("words"), F.count("*").alias("lines"), F.count_if("numbered").alias("numbered"), F.max("columns").alias("columns"), F.round(F.avg(last), 9).alias("right"),
-        F.bool_or("section").alias("section"), F.min_by("text", F.when(F.col("height") >= F.col("tall"), F.col("nth"))).alias("header"), F.array_join(F.transform(told, lambda x: x["text"]), " ").alias("told"),
+        F.bool_or("section").alias("section"), F.min_by("text", F.when(F.col("height") >= F.col("tall"), F.col("nth"))).alias("header"), told.alias("told"),
     ).where(F.col("words") >= LEAST)
-    text = F.upper(F.concat_ws("\n", "header", "told"))
+    text = F.upper(F.concat_ws("\n", "header", F.array_join(F.slice("told", 1, TIER_LINES), " ")))
+    g = g.withColumn("body", F.substring(F.array_join("told", " "), 1, BODY))
     return g.select("*", _tier(text, FAMILIES).alias("family"), _tier(text, KINDS).alias("kind"), _tier(text, TRADES).alias("trade")).drop("told")
 
 
@@ -127,6 +130,53 @@ def text_regions(lines: DataFrame) -> DataFrame:
     return classified(analysed(parts.join(roots, ["doc_id", "det_id"])))
 
 
+#: Categories of tables with the words that all must stand in them, those of which one speaks for it, the type
+#: of region, the divisions that do, and whether such a table holds for its page only.
+CATEGORIES = (
+    ("keynote-table", (), ("KEYNOTE", "KEYNOTES", "KEY NOTES", "KEY NOTE"), "notes-key-value", (), True),
+    ("door-schedule", ("DOOR",), ("SCHEDULE",), "schedule-table", ("08",), False),
+    ("finish-schedule", ("FINISH",), ("SCHEDULE",), "schedule-table", ("09",), False),
+    ("symbol-legend", (), ("LEGEND", "SYMBOL LEGEND", "SYMBOLS"), "notes-key-value", (), True),
+    ("material-schedule", (), ("SCHEDULE", "EQUIPMENT SCHEDULE", "PLUMBING SCHEDULE", "MECHANICAL SCHEDULE"), "schedule-table", (), False),
+    ("general-notes", (), ("GENERAL NOTES", "GENERAL NOTE", "DRAWING NOTES", "SHEET NOTES"), "notes-numbered", (), False),
+    ("spec-text", (), ("SPECIFICATION", "SPECIFICATIONS"), "spec-dense-columns", (), False),
+)
+#: What each kind of evidence adds, the least inference that counts, the least score and the greatest.
+TYPE, OTHER_TYPE, ALL_WORDS, IN_HEADER, IN_BODY, INFERRED, DIVISION, ITEMS = 0.3, 0.05, 0.2, 0.25, 0.15, 0.2, 0.1, 0.1
+SURE, CATEGORY, MOST = 0.4, 0.3, 0.99
+
+
+def table_categories(regions: DataFrame, codes: DataFrame, inferences: DataFrame) -> DataFrame:
+    """``doc_id, region, category, confidence, own_page`` of classified regions; paragraphs and weak ones have none.
+
+    ``codes`` has ``doc_id, code``, ``inferences`` ``doc_id, label, confidence``.  Of equal categories the first counts.
+    """
+    found = inferences.where(F.col("confidence") >= SURE).groupBy("doc_id").agg(F.collect_set("label").alias("labels"))  # a few labels
+    divisions = codes.groupBy("doc_id").agg(F.collect_set(F.substring("code", 1, 2)).alias("divisions"))
+    r = regions.where("type <> 'paragraph'").join(found, "doc_id", "left").join(divisions, "doc_id", "left")
+    every = sorted({w for _, a, b, *_ in CATEGORIES for w in (*a, *b)})
+    seen = lambda text: F.array_compact(F.array(*(F.when(whole_word(F.coalesce(F.col(text), F.lit("")), w), w) for w in every)))
+    r = r.withColumns({"in_header": seen("header"), "in_body": seen("body")}).withColumn("seen", F.array_union("in_header", "in_body"))
+    has = lambda array, w: F.coalesce(F.array_contains(array, w), F.lit(False))
+
+    def scored(place: int, category: str, all_: tuple, any_: tuple, type_: str, near: tuple, own: bool) -> Column:
+        words = lambda array: F.arrays_overlap(array, F.array(*map(F.lit, any_)))
+        score = F.when(F.col("type") == type_, TYPE).otherwise(OTHER_TYPE)
+        if all_:
+            score = score + ALL_WORDS
+        score = score + F.when(words("in_header"), IN_HEADER).when(words("seen"), IN_BODY).otherwise(0.0) + F.when(has("labels", category), INFERRED).otherwise(0.0)
+        if near:
+            score = score + F.when(F.coalesce(F.arrays_overlap("divisions", F.array(*map(F.lit, near))), F.lit(False)), DIVISION).otherwise(0.0)
+        if category == "general-notes":
+            score = score + F.when(F.col("numbered") >= 2, ITEMS).otherwise(0.0)
+        for w in all_:
+            score = F.when(has("seen", w), score).otherwise(0.0)
+        return F.struct((-F.round(score, 6)).alias("loss"), F.lit(place).alias("place"), F.lit(category).alias("category"), F.lit(own).alias("own_page"))
+
+    best = r.select("doc_id", "region", F.array_min(F.array(*(scored(n, *c) for n, c in enumerate(CATEGORIES)))).alias("b"))
+    return best.where(F.col("b.loss") <= -CATEGORY).select("doc_id", "region", "b.category", F.least(-F.col("b.loss"), F.lit(MOST)).alias("confidence"), "b.own_page")
+
+
 # --- gutters ---------------------------------------------------------------------------------------------------------
 
 
@@ -224,7 +274,7 @@ col AS (SELECT *, sum(CASE WHEN far IS NULL OR far > {COLUMN}e0 THEN 1 ELSE 0 EN
 cols AS (SELECT *, max(col) OVER (PARTITION BY doc_id, region) AS cols FROM col),
 reg AS (SELECT doc_id, region, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, sum(words)::BIGINT AS words, count(*) AS lines, count(*) FILTER (regexp_matches(split_part(text, ' ', 1), '{NUMBERED_ITEM}')) AS numbered,
   max(cols)::BIGINT AS columns, round(avg(len(text)) FILTER (col = cols), 9) AS rgt, bool_or(regexp_matches(upper(text), '{SECTION}')) AS section, arg_min(text, nth) FILTER (height >= tall) AS header,
-  string_agg(text, ' ' ORDER BY nth) FILTER (nth <= {TIER_LINES}) AS told FROM cols GROUP BY ALL HAVING sum(words) >= {LEAST}),
+  string_agg(text, ' ' ORDER BY nth) FILTER (nth <= {TIER_LINES}) AS told, string_agg(text, ' ' ORDER BY nth)[:{BODY}] AS body FROM cols GROUP BY ALL HAVING sum(words) >= {LEAST}),
 txt AS (SELECT *, upper(CASE WHEN header IS NULL THEN told ELSE header || chr(10) || told END) AS txt FROM reg),
 tier AS (SELECT *, {_tier_sql(FAMILIES)} AS family, {_tier_sql(KINDS)} AS kind, {_tier_sql(TRADES)} AS trade FROM txt),
 told AS (SELECT *, CASE WHEN minx >= 45e-2 AND miny >= 7e-1 AND maxx <= 1e0 AND maxy <= 1e0 AND numbered = 0 AND header IS NULL THEN 1 WHEN round(numbered / lines, 9) >= 6e-1 AND columns <= 2 THEN 2 WHEN columns >= 3 AND lines >= 3 THEN 3
@@ -269,3 +319,34 @@ def t12(spark, sf_dir):
     """The text of each column of a page, from top to bottom; pages without a gutter are one column."""
     g = read_by_columns(views.layout(spark, sf_dir)).groupBy("doc_id", "column").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("x"))  # a page's lines
     return g.select("doc_id", "column", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("text"))
+
+
+def _word_sql(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"regexp_matches(coalesce({text}, ''), '(?i)(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)')" for w in words) + ")"
+
+
+def _category_sql(place: int, category: str, all_: tuple, any_: tuple, type_: str, near: tuple, own: bool) -> str:
+    both = "coalesce(header, '') || chr(10) || coalesce(body, '')"
+    parts = [f"CASE WHEN type = '{type_}' THEN 3e-1 ELSE 5e-2 END", "2e-1" if all_ else "0e0", f"CASE WHEN {_word_sql('header', any_)} THEN 25e-2 WHEN {_word_sql(both, any_)} THEN 15e-2 ELSE 0e0 END", f"CASE WHEN coalesce(list_contains(labels, '{category}'), false) THEN 2e-1 ELSE 0e0 END"]
+    if near:
+        parts.append(f"CASE WHEN coalesce(list_has_any(divs, {list(near)!r}), false) THEN 1e-1 ELSE 0e0 END")
+    if category == "general-notes":
+        parts.append("CASE WHEN numbered >= 2 THEN 1e-1 ELSE 0e0 END")
+    must = " AND ".join(_word_sql(both, (w,)) for w in all_) or "true"
+    return f"SELECT doc_id, region, {place} AS place, '{category}' AS category, {own} AS own_page, CASE WHEN {must} THEN round({' + '.join(parts)}, 6) ELSE 0e0 END AS score FROM typed"
+
+
+@register("r08_region_categories", oracle("v_layout v_detection v_word v_text v_taxonomy v_page_code", f"""WITH RECURSIVE {_PIECES}, {_MERGED}, {_ANALYSED},
+inf AS (SELECT doc_id, list(DISTINCT label) AS labels FROM (SELECT doc_id, CASE name WHEN 'text_box' THEN 'general-notes' WHEN 'tables' THEN 'material-schedule' WHEN 'grid' THEN 'keynote-table' END AS label FROM v_detection WHERE conf >= 4e-1 AND name IN ('text_box', 'tables', 'grid')) GROUP BY ALL),
+dv AS (SELECT doc_id, list(DISTINCT division) AS divs FROM v_page_code GROUP BY ALL),
+typed AS (SELECT told.*, labels, divs, ['paragraph', 'notes-numbered', 'schedule-table', 'notes-key-value', 'spec-dense-columns', 'paragraph'][r] AS type FROM told LEFT JOIN inf ON inf.doc_id = split_part(told.doc_id, '/', 1)::BIGINT LEFT JOIN dv ON dv.doc_id = split_part(told.doc_id, '/', 1)::BIGINT WHERE r IN (2, 3, 4, 5)),
+sc AS ({" UNION ALL ".join(_category_sql(n, *c) for n, c in enumerate(CATEGORIES))})
+SELECT doc_id, region, category, least(score, 99e-2) AS confidence, own_page FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, region ORDER BY score DESC, place) = 1 AND score >= 3e-1""").replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE a AS", ", a AS"))
+def r08(spark, sf_dir):
+    """The categories of the laid-out texts' regions, with codes of their documents and what boxes let infer."""
+    regions = text_regions(views.layout(spark, sf_dir))
+    pages = regions.select("doc_id", F.split("doc_id", "/")[0].cast("long").alias("doc")).distinct()
+    to_page = lambda df: pages.join(df.withColumnRenamed("doc_id", "doc"), "doc").drop("doc")
+    label = F.when(F.col("name") == "text_box", "general-notes").when(F.col("name") == "tables", "material-schedule").when(F.col("name") == "grid", "keynote-table")
+    told = views.detection(spark, sf_dir).select("doc_id", label.alias("label"), F.col("conf").alias("confidence")).where("label IS NOT NULL")
+    return table_categories(regions, to_page(views.page_code(spark, sf_dir).select("doc_id", "code")), to_page(told))

@@ -45,17 +45,12 @@ def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return keyed.where(is_fuzzy(F.col(a), F.col(b)))
 
 
-_KEY = "translate(replace({}, '-', ''), 'OQD1lI|TS5G6B8Z2gq9', '0000000055668822999')"
-
-
 @register("p06_fuzzy_tags", oracle("v_word", f"""
-WITH t AS (SELECT tok, count(*) AS n, {_KEY.format('tok')} AS k FROM v_word WHERE regexp_matches(tok, '^[A-Za-z0-9|-]{{3,12}}$') GROUP BY tok),
-p AS (SELECT a.tok, a.n, b.tok AS other, b.n AS n_other FROM t a JOIN t b USING (k) WHERE a.tok <> b.tok)
-SELECT tok, n, other, n_other FROM p WHERE
-  (len(tok) = len(other) AND len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] <> other[i])) = 1
-    AND list_contains({list(CONFUSED_PAIRS)!r}, list_transform(list_filter(range(1, len(tok) + 1), lambda i: tok[i] <> other[i]), lambda i: tok[i] || other[i])[1]))
-  OR (len(tok) = len(other) + 1 AND len(list_filter(range(1, len(tok) + 1), lambda i: tok[i] = '-' AND tok[:i - 1] || tok[i + 1:] = other)) > 0)
-  OR (len(other) = len(tok) + 1 AND len(list_filter(range(1, len(other) + 1), lambda i: other[i] = '-' AND other[:i - 1] || other[i + 1:] = tok)) > 0)"""))
+WITH t AS (SELECT tok, count(*) AS n FROM v_word WHERE regexp_matches(tok, '^[A-Za-z0-9|-]{{3,12}}$') GROUP BY tok),
+v AS (SELECT tok, n, i, tok[i] AS c, tok[:i - 1] || '_' || tok[i + 1:] AS rest, tok[:i - 1] || tok[i + 1:] AS without FROM (SELECT *, unnest(range(1, len(tok) + 1)) AS i FROM t)),
+h AS (SELECT DISTINCT v.tok, v.n, t.tok AS other, t.n AS n_other FROM v JOIN t ON v.c = '-' AND v.without = t.tok)
+SELECT a.tok, a.n, b.tok AS other, b.n AS n_other FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest WHERE a.tok <> b.tok AND a.c || b.c IN ({", ".join(map(repr, CONFUSED_PAIRS))})
+UNION ALL SELECT * FROM h UNION ALL SELECT other, n_other, tok, n FROM h"""))
 def p06(spark, sf_dir):
     """Tag-like page words that are fuzzily equal to another page word, with how often each occurs."""
     words = views.word(spark, sf_dir).where(F.col("tok").rlike("^[A-Za-z0-9|-]{3,12}$")).groupBy("tok").agg(F.count("*").alias("n"))

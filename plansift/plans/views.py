@@ -29,8 +29,9 @@ def _pick_sql(values: tuple[str, ...], index: str) -> str:
     return f"[{', '.join(repr(v) for v in values)}][({index}) % {len(values)} + 1]"
 
 
-def n_documents(spark: SparkSession, sf_dir: str) -> int:
-    return read(spark, sf_dir, "documents").count()
+def n_documents(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of documents, as a scalar subquery: nothing runs before the query itself does."""
+    return read(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
 
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,16 @@ def test_two_columns_are_read_one_after_the_other(spark):
 def test_columns_need_four_words(spark, right):
     rows = [line("left " + "w " * (20 + k), 0.05, 0.1 + 0.02 * k, 0.38, 0.012) for k in range(8)] + [line("right", 0.6, 0.1 + 0.02 * k, 0.05, 0.012) for k in range(right)] + [line("far", 0.9, 0.5, 0.03, 0.01)] * (right > 3) * 9
     assert {r["column"] for r in op.read_by_columns(frame(spark, {"p": rows})).collect()} == ({1} if right == 1 else {1, 2, 3})
+
+
+def test_categories_of_regions(spark):
+    schema = "doc_id string, region string, type string, header string, body string, numbered long"
+    regions = spark.createDataFrame([
+        ("p", "door", "schedule-table", "DOOR SCHEDULE", "D-01", 0), ("p", "indoor", "schedule-table", "INDOOR SCHEDULE", "x", 0), ("p", "keys", "notes-key-value", None, "see keynotes here", 0), ("p", "notes", "notes-numbered", "GENERAL NOTES", "1. x", 3),
+        ("p", "prose", "paragraph", "DOOR SCHEDULE", "x", 0), ("q", "weak", "unknown", None, "nothing", 0), ("q", "spec", "spec-dense-columns", None, "x", 0), ("q", "finish", "notes-numbered", None, "finish schedule", 0),
+    ], schema)
+    codes, found = spark.createDataFrame([("p", "08 11 16")], "doc_id string, code string"), spark.createDataFrame([("p", "door-schedule", 0.5), ("q", "finish-schedule", 0.3)], "doc_id string, label string, confidence double")
+    got = {r["region"]: (r["category"], r["confidence"], r["own_page"]) for r in op.table_categories(regions, codes, found).collect()}
+    assert got == {
+        "door": ("door-schedule", 0.99, False), "indoor": ("material-schedule", 0.55, False), "keys": ("keynote-table", 0.45, True), "notes": ("general-notes", 0.65, False), "spec": ("spec-text", 0.3, False), "finish": ("finish-schedule", 0.4, False),
+    }
