@@ -65,12 +65,22 @@ _REGION = f"""{_WORDS}, r AS (SELECT w.doc_id, w.idx, w.tok, d.det_id, d.name FR
 _V = "v_word v_detection"
 
 
+def words_by_region(spark, sf_dir) -> DataFrame:
+    """(``doc_id``, ``region``, ``n``): words of pages by the class of the smallest region that holds them.
+
+    Unmapped words are a page's words less those in a region: pages count theirs in the row, no word is joined twice.
+    """
+    placed = word_region(spark, sf_dir).groupBy("doc_id", "name").agg(F.count("*").alias("k"))
+    both = F.array(F.struct(F.col("name").alias("region"), F.col("k").alias("n")), F.struct(F.lit("unmapped").alias("region"), (-F.col("k")).alias("n")))
+    size = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    all_ = views.read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.lit("unmapped").alias("region"), F.coalesce(size, F.lit(0)).cast("long").alias("n"))
+    return placed.select("doc_id", F.inline(both)).union(all_).groupBy("doc_id", "region").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 @register("j03_word_in_region", views.oracle(_V, f"WITH {_REGION} SELECT coalesce(r.name, 'unmapped') AS region, count(*) AS words, count(DISTINCT w.doc_id) AS docs FROM w LEFT JOIN r USING (doc_id, idx) GROUP BY ALL"))
 def j03(spark, sf_dir):
     """Words by the class of the smallest region that holds them; words that none holds are unmapped."""
-    w = words_with_centres(spark, sf_dir)
-    named = w.select("doc_id", "idx").join(word_region(spark, sf_dir).select("doc_id", "idx", "name"), ["doc_id", "idx"], "left")
-    return named.groupBy(F.coalesce("name", F.lit("unmapped")).alias("region")).agg(F.count("*").alias("words"), F.count_distinct("doc_id").alias("docs"))
+    return words_by_region(spark, sf_dir).groupBy("region").agg(F.sum("n").alias("words"), F.count("*").alias("docs"))
 
 
 @register("r19_region_context", views.oracle(_V, f"""WITH {_REGION},
@@ -80,9 +90,7 @@ SELECT doc_id, region, n, round(share, 6) AS share, CASE WHEN share > 8e-1 THEN
   WHEN region = 'unmapped' THEN 8 ELSE 4 END AS priority FROM s"""))
 def r19(spark, sf_dir):
     """Words of a page by region class, with a reading priority; a class with over 80 % of the words comes last."""
-    w = words_with_centres(spark, sf_dir).select("doc_id", "idx")
-    named = w.join(word_region(spark, sf_dir).select("doc_id", "idx", "name"), ["doc_id", "idx"], "left")
-    n = named.groupBy("doc_id", F.coalesce("name", F.lit("unmapped")).alias("region")).agg(F.count("*").alias("n"))
+    n = words_by_region(spark, sf_dir)
     share = F.col("n") / F.sum("n").over(W.partitionBy("doc_id"))
     r = F.col("region")
     order = F.when(F.col("s") > 0.8, 9).when(r == "title_block", 1).when(r == "tables", 2).when(r == "drawings", 3).when(r == "unmapped", 8).otherwise(4)
