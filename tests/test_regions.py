@@ -3,8 +3,11 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from plansift.functions.geometry import polygon_area
 from plansift.operators import regions as R
+from plansift.operators.cuts import split_by_line
 from plansift.plans import views
 
 
@@ -77,8 +80,11 @@ def test_tile_dedupe(spark, sf_dir):
     [([(0, 0), (1, 0), (1, 1), (0, 1)], 0.25, (0.25, 0.75)), ([(0, 0), (1, 0), (1, 1), (0, 1)], 2, None), ([(0, 0), (4, 0), (0, 4)], 1, (3.5, 4.5)),
      ([(0, 0), (4, 0), (4, 3), (3, 3), (3, 1), (1, 1), (1, 3), (0, 3)], 2, (5.0 - 1, 5.0 - 1)), ([(0, 0), (3, 0), (3, 1), (1, 1), (1, 2), (3, 2), (3, 3), (0, 3)], 2, None)],
 )
-def test_polygon_halves(points, x, want):
-    assert R.halves([(float(a), float(b)) for a, b in points], x) == want
+def test_polygon_halves(spark, points, x, want):
+    df = spark.createDataFrame([([(float(a), float(b)) for a, b in points],)], "v array<struct<x:double,y:double>>")
+    # seen upwards, the smaller x lie on the left of the line
+    out = split_by_line(df, "v", *(F.lit(float(c)) for c in (x, 0, x, 1))).select(polygon_area(F.col("left")), polygon_area(F.col("right"))).collect()
+    assert [tuple(r) for r in out] == ([] if want is None else [want])
 
 
 def test_pages_of_no_boxes(spark):
