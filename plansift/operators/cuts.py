@@ -60,7 +60,9 @@ c AS (SELECT *, CASE WHEN da * db < 0 THEN {{'x': a.x + da / (da - db) * (b.x -
 p AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, s, i * 2 AS k, a AS p FROM c CROSS JOIN (VALUES (1), (-1)) t(s) WHERE da * s >= 0 UNION ALL SELECT doc_id, det_id, minx, miny, maxx, maxy, s, i * 2 + 1, c FROM c CROSS JOIN (VALUES (1), (-1)) t(s) WHERE c IS NOT NULL),
 w AS (SELECT *, coalesce(lead(p) OVER o, first_value(p) OVER o) AS q FROM p WINDOW o AS (PARTITION BY doc_id, det_id, minx, miny, maxx, maxy, s ORDER BY k)),
 r AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, s, abs(sum(p.x * q.y - q.x * p.y)) / 2 AS area FROM w GROUP BY ALL),
-m AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, count(*) FILTER (c IS NOT NULL) AS hits, min(c) AS p, max(c) AS q FROM c GROUP BY ALL HAVING count(*) FILTER (c IS NOT NULL) = 2 AND count(*) FILTER (da = 0) = 0)
+h AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, c AS c FROM c WHERE c IS NOT NULL UNION SELECT doc_id, det_id, minx, miny, maxx, maxy, a FROM c WHERE da = 0),
+t AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, count(*) FILTER (s <> n) AS turns FROM (SELECT *, sign(da) AS s, coalesce(lead(sign(da)) OVER o, first_value(sign(da)) OVER o) AS n FROM c WHERE da <> 0 WINDOW o AS (PARTITION BY doc_id, det_id, minx, miny, maxx, maxy ORDER BY i)) GROUP BY ALL),
+m AS (SELECT doc_id, det_id, minx, miny, maxx, maxy, min(c) AS p, max(c) AS q FROM h JOIN t USING (doc_id, det_id, minx, miny, maxx, maxy) WHERE turns = 2 GROUP BY ALL HAVING count(*) = 2)
 SELECT det_id, round(max(area) FILTER (s = 1), 6) AS left_area, round(max(area) FILTER (s = -1), 6) AS right_area, round(max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS chord
 FROM r JOIN m USING (doc_id, det_id, minx, miny, maxx, maxy) GROUP BY doc_id, det_id, minx, miny, maxx, maxy"""))
 def j31(spark, sf_dir):

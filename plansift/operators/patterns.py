@@ -92,12 +92,12 @@ _PLAIN = ", ".join(f"'{w}'" for w in PLAIN)
 
 
 @register("d07_abbreviations", oracle("v_word", f"""
-WITH d AS (SELECT key, min(meaning) AS meaning FROM (SELECT upper(substr(n_name, 1, 2)) AS key, n_name AS meaning FROM nation UNION ALL SELECT upper(split_part(p_name, ' ', 1)), p_name FROM part) GROUP BY key),
+WITH d AS (SELECT key, min(meaning) AS meaning FROM (SELECT upper(substr(n_name, 1, 2)) AS key, n_name AS meaning FROM nation UNION ALL SELECT upper(substr(p_name, 1, 2)), p_name FROM part) GROUP BY key),
 w AS (SELECT doc_id, idx, tok, upper(regexp_replace(tok, '[.]+$', '')) AS key, regexp_matches(tok, '^[A-Z]{{3,5}}$') AND tok NOT IN ({_PLAIN}) AS caps FROM v_word),
 j AS (SELECT w.*, meaning, count(*) FILTER (caps) OVER (PARTITION BY doc_id, tok) AS n FROM w LEFT JOIN d USING (key))
 SELECT doc_id, idx, tok, meaning, CASE WHEN meaning IS NULL THEN n END AS frequency, CASE WHEN meaning IS NOT NULL THEN 85e-2 ELSE 5e-1 END AS confidence FROM j WHERE meaning IS NOT NULL OR (caps AND n >= 5)"""))
 def d07(spark, sf_dir):
     """Abbreviations on pages: those of a dictionary (here of nations and parts) and unknown ones that recur."""
     nation, part = read(spark, sf_dir, "nation", "n_name"), read(spark, sf_dir, "part", "p_name")
-    dictionary = nation.select(F.substring("n_name", 1, 2).alias("abbreviation"), F.col("n_name").alias("meaning")).union(part.select(F.split("p_name", " ")[0], "p_name"))
+    dictionary = nation.select(F.substring("n_name", 1, 2).alias("abbreviation"), F.col("n_name").alias("meaning")).union(part.select(F.substring("p_name", 1, 2), "p_name"))
     return abbreviations(views.word(spark, sf_dir), dictionary)

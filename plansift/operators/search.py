@@ -147,7 +147,7 @@ def word_hits(words: DataFrame, query: Query) -> DataFrame:
     return flags.withColumn("_in", inside).where("_in").drop("_run", "_in", *(f"_m{k}" for k in range(n)))
 
 
-ALL, QUOTED = parsed("Licensed works under the general"), parsed('"licensed under the general public"')
+ALL, QUOTED = parsed("Licensed works under the general"), parsed('"licensed under the GNU general public"')
 
 _TERM = f"""term AS (SELECT doc_id, unnest(toks) AS tok, unnest({stems_sql('toks')}) AS term, unnest(range(len(toks))) AS p
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda y: y <> '') AS toks FROM documents))"""
