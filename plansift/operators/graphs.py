@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plansift.functions.geometry import Box
+from plansift.functions.text import upper
 from plansift.operators.spatial import box_pairs
 from plansift.plans import views
 from plansift.plans.registry import register
@@ -321,7 +322,7 @@ WITH t AS (SELECT DISTINCT upper(split_part(p_type, ' ', 1)) AS tag FROM v_sched
 SELECT tag, count(*) AS n, count(DISTINCT doc_id) AS pages FROM v_word JOIN t ON upper(tok) = tag GROUP BY tag"""))
 def r13(spark, sf_dir):
     """Words that equal a tag in upper case; tags come from the schedule and the commonest words."""
-    w = views.word(spark, sf_dir).select("doc_id", "tok", F.upper("tok").alias("tag"))
+    w = views.word(spark, sf_dir).select("doc_id", "tok", upper(F.col("tok")).alias("tag"))
     common = w.groupBy("tag").agg(F.count("*").alias("n")).where("n >= 300").select("tag")
-    tags = views.schedule(spark, sf_dir).select(F.upper(F.split("p_type", " ")[0]).alias("tag")).union(common).distinct()
+    tags = views.schedule(spark, sf_dir).select(upper(F.split("p_type", " ")[0]).alias("tag")).union(common).distinct()
     return w.join(tags, "tag").groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("pages"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plansift.functions.geometry import Box
-from plansift.functions.text import whole_word
+from plansift.functions.text import upper, whole_word
 from plansift.operators.graphs import page_components
 from plansift.operators.spatial import box_pairs
 from plansift.plans import views
@@ -96,7 +96,7 @@ def analysed(lines: DataFrame) -> DataFrame:
         *_extent(), F.sum("words").alias("words"), F.count("*").alias("lines"), F.count_if("numbered").alias("numbered"), F.max("columns").alias("columns"), F.round(F.avg(last), 9).alias("right"),
         F.bool_or("section").alias("section"), F.min_by("text", F.when(F.col("height") >= F.col("tall"), F.col("nth"))).alias("header"), told.alias("told"),
     ).where(F.col("words") >= LEAST)
-    text = F.upper(F.concat_ws("\n", "header", F.array_join(F.slice("told", 1, TIER_LINES), " ")))
+    text = upper(F.concat_ws("\n", "header", F.array_join(F.slice("told", 1, TIER_LINES), " ")))
     g = g.withColumn("body", F.substring(F.array_join("told", " "), 1, BODY))
     return g.select("*", _tier(text, FAMILIES).alias("family"), _tier(text, KINDS).alias("kind"), _tier(text, TRADES).alias("trade")).drop("told")
 

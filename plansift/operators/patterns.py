@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plansift.functions.text import upper
 from plansift.operators.takeoff import tag_shape
 from plansift.plans import views
 from plansift.plans.registry import register
@@ -77,8 +78,8 @@ OFTEN, KNOWN, UNKNOWN = 5, 0.85, 0.5
 def abbreviations(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``doc_id, idx, tok, meaning, frequency, confidence``: words of the dictionary (``abbreviation, meaning``), whatever
     their case and with or without a full stop, and other words of three to five capitals that a page has five times."""
-    d = dictionary.groupBy(F.upper("abbreviation").alias("key")).agg(F.min("meaning").alias("meaning"))
-    w = words.select("doc_id", "idx", "tok", F.upper(F.regexp_replace("tok", r"[.]+$", "")).alias("key"))
+    d = dictionary.groupBy(upper(F.col("abbreviation")).alias("key")).agg(F.min("meaning").alias("meaning"))
+    w = words.select("doc_id", "idx", "tok", upper(F.regexp_replace("tok", r"[.]+$", "")).alias("key"))
     capital = F.col("tok").rlike("^[A-Z]{3,5}$") & ~F.col("tok").isin(*PLAIN)
     j = w.join(d, "key", "left").withColumn("caps", capital).where(F.col("meaning").isNotNull() | F.col("caps"))
     # only words that may be abbreviations are counted

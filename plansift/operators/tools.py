@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.functions.geometry import Box, zone
+from plansift.functions.text import upper
 from plansift.operators import notes, search
 from plansift.operators.relational import a42
 from plansift.operators.spatial import points_in_boxes
@@ -184,7 +185,7 @@ def class_texts(spark, sf_dir, yoloClass: str, pageNumber: int | None = None) ->
 @_tool("mapTagsToPages", "Where tags (with commas between) stand, on a page or all, in boxes of a class or anywhere.", ("tags",), tags=_TEXT, yoloClass=_CLASS, pageNumber=_PAGE)
 def map_tags(spark, sf_dir, tags: str, yoloClass: str | None = None, pageNumber: int | None = None) -> DataFrame:
     wanted = sorted({t.strip().upper() for t in tags.split(",") if t.strip()})
-    hits = _words(spark, sf_dir, pageNumber).withColumn("tag", F.upper(F.regexp_replace("tok", "[.,;:]+$", ""))).where(F.col("tag").isin(*wanted))
+    hits = _words(spark, sf_dir, pageNumber).withColumn("tag", upper(F.regexp_replace("tok", "[.,;:]+$", ""))).where(F.col("tag").isin(*wanted))
     if yoloClass is not None:
         hits = points_in_boxes(hits, _boxes(spark, sf_dir, pageNumber, yoloClass), F.col("cx"), F.col("cy")).select(*hits.columns).distinct()
     return hits.groupBy("tag", "doc_id").agg(F.count("*").alias("n"), F.min("idx").alias("first"))

@@ -33,6 +33,11 @@ def test_whole_word(spark, text, word, want):
     assert value(spark, t.whole_word(F.lit(text), word)) is want
 
 
+@pytest.mark.parametrize("word,want", [("Straße", "STRAẞE"), ("ﬁn", "ﬁN"), ("ᾀx", "ᾈX"), ("a𝒳é", "A𝒳É"), ("", ""), (None, None)])
+def test_upper_goes_letter_by_letter(spark, word, want):
+    assert value(spark, t.upper(F.lit(word).cast("string"))) == want
+
+
 def test_scores(spark):
     assert value(spark, F.round(tier1(F.lit(2)), 6)) == pytest.approx(0.1805)
     assert value(spark, F.round(tier1(F.lit(3)), 6)) == pytest.approx(0.76)
