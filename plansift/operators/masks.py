@@ -77,9 +77,11 @@ def dense_regions(boxes: DataFrame, cells: int = GRID, least: float = DENSE, wei
     on = share.groupBy("doc_id").agg(F.collect_list(F.col("cell").cast("int")).alias("on"))  # cells of one page
     placed = components(on, cells)
     x, y = F.col("cell") % cells, F.floor(F.col("cell") / cells)
+    # densities have nine decimals: their mean is exact, whatever the order of the cells
+    mean = F.sum(F.col("density").cast("decimal(10,9)")) / F.count("*")
     whole = placed.join(share, ["doc_id", "cell"]).groupBy("doc_id", "component").agg(
         (F.min(x) / cells).alias("minx"), (F.min(y) / cells).alias("miny"), ((F.max(x) + 1) / cells).alias("maxx"), ((F.max(y) + 1) / cells).alias("maxy"), F.count("*").alias("cells"),
-        F.round(F.least(F.avg("density"), F.lit(1.0)), 6).alias("confidence"), F.round(F.sum("heat"), 6).alias("mass"),
+        F.round(F.least(mean, F.lit(1)), 6).cast("double").alias("confidence"), F.round(F.sum("heat"), 6).alias("mass"),
     )
     told = placed.join(by_class, ["doc_id", "cell"]).groupBy("doc_id", "component", "name").agg(F.round(F.sum("heat"), 6).alias("sum")).where("sum > 0")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sum")).alias("loss"), "name"))), lambda c: c["name"])

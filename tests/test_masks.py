@@ -24,6 +24,16 @@ def test_dense_regions(spark):
     assert low and all((r["miny"] + r["maxy"]) / 2 >= 0.5 for r in low)
 
 
+def test_mean_density_is_exact(spark):
+    """A mean over 128 cells of tenths is often a tie at six decimals; it is rounded as it is, not as its sum in doubles came out."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rows = [(page, "text_box", (k % 16) / 16 + 0.01, (k // 16) / 16 + 0.01, (k % 16) / 16 + 0.02, (k // 16) / 16 + 0.02, c / 10) for page in range(1, 8) for k in range(128) for c in [10 if k < page else 7 if (k * page) % 3 else 4]]
+    for r in op.dense_regions(spark.createDataFrame(rows, SCHEMA)).collect():
+        exact = sum((Decimal(10 if k < r["doc_id"] else 7 if (k * r["doc_id"]) % 3 else 4) for k in range(128)), Decimal(0)) / 1280
+        assert Decimal(repr(r["confidence"])) == exact.quantize(Decimal("0.000001"), ROUND_HALF_UP) and r["cells"] == 128
+
+
 def test_components_equal_a_flood_fill():
     rng = np.random.default_rng(1)
     mask = rng.random((50, 6, 6)) < 0.35
