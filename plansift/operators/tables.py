@@ -28,10 +28,9 @@ def table_words(spark, sf_dir) -> DataFrame:
 
 def clustered(words: DataFrame, at: str, gap: float, name: str) -> DataFrame:
     """The number (from 0) of each word's run of positions: a new one begins after a gap."""
-    order = W.partitionBy("region").orderBy(at)  # the distinct positions of one region
-    places = words.select("region", at).distinct()
+    order = W.partitionBy("doc_id", "region").orderBy(at)  # the words of one region
     new = (F.round(F.col(at) - F.lag(at).over(order), 6) > gap).cast("int")
-    return words.join(places.withColumn("_n", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_n").over(order).cast("int")).drop("_n"), ["region", at])
+    return words.withColumn("_n", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_n").over(order).cast("int")).drop("_n")
 
 
 def cells(spark, sf_dir) -> DataFrame:
@@ -76,7 +75,7 @@ def t07(spark, sf_dir):
     """Proposed lines between columns: the middle of the gap after each column but the last."""
     w = clustered(table_words(spark, sf_dir), "l", COLUMN_GAP, "col")
     e = w.groupBy("region", "doc_id", "col").agg(F.min("l").alias("lo"), (F.max("l") + F.lit(0.07)).alias("hi"))
-    after = F.lead("lo").over(W.partitionBy("region").orderBy("col"))
+    after = F.lead("lo").over(W.partitionBy("doc_id", "region").orderBy("col"))
     return e.withColumn("after", after).where("after IS NOT NULL").select("doc_id", "col", F.round((F.col("hi") + F.col("after")) / 2, 6).alias("line"))
 
 
@@ -97,8 +96,8 @@ SELECT doc_id, (dense_rank() OVER (PARTITION BY region ORDER BY row) - 1)::INT A
 def t02(spark, sf_dir):
     """Cells clipped to a region's first three columns, without rows of single cells, numbered anew."""
     c = cells(spark, sf_dir).where("col <= 2")
-    kept = c.join(c.groupBy("region", "row").agg(F.count("*").alias("most")).where("most > 1"), ["region", "row"])
-    return kept.select("doc_id", (F.dense_rank().over(W.partitionBy("region").orderBy("row")) - 1).alias("row"), "col", "text")
+    kept = c.withColumn("most", F.count("*").over(W.partitionBy("doc_id", "region", "row"))).where("most > 1")
+    return kept.select("doc_id", (F.dense_rank().over(W.partitionBy("doc_id", "region").orderBy("row")) - 1).alias("row"), "col", "text")
 
 
 @register("w22_reading_text", oracle("v_word", """
