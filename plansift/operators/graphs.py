@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +16,6 @@ from plansift.operators.spatial import box_pairs
 from plansift.plans import views
 from plansift.plans.registry import register
 from plansift.plans.views import oracle
-from plansift.sources.shared import shared_dir
 
 _PC = "v_detection v_word v_text v_taxonomy v_page_code"
 #: Groups of divisions that belong together.
@@ -187,31 +189,42 @@ def vote_edges(v: DataFrame) -> DataFrame:
     return box_pairs(v, v).where((F.col("det_id") < F.col("b_det_id")) & same).select("doc_id", F.col("det_id").alias("a"), F.col("b_det_id").alias("b")).distinct()
 
 
-def page_components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def page_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(``doc_id``, ``det_id``, ``root``): components within pages, root the least member.
 
-    Labels spread along the edges and through the labels reached so far until none changes; written each few rounds.
+    Nodes (as edges to themselves) and edges stream by page; a task holds the nodes of one page, and nothing is written.
     """
-    both = edges.unionAll(edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = nodes.select("doc_id", "det_id").distinct().withColumn("root", F.col("det_id"))
-    for _ in range(rounds):
-        near = both.join(label.select("doc_id", F.col("det_id").alias("b"), "root"), ["doc_id", "b"]).groupBy("doc_id", F.col("a").alias("det_id")).agg(F.min("root").alias("m"))
-        step = label.join(near, ["doc_id", "det_id"], "left").select("doc_id", "det_id", F.least("root", F.coalesce("m", "root")).alias("to"), F.col("root").alias("was"))
-        jump = step.select("doc_id", F.col("det_id").alias("to"), F.col("to").alias("root"))
-        new = _checkpointed(step.join(jump, ["doc_id", "to"], "left").select("doc_id", "det_id", F.least("to", F.coalesce("root", "to")).alias("root"), "was"))
-        done = new.where("root <> was").isEmpty()
-        label = new.drop("was")
-        if done:
-            return label
-    raise RuntimeError("components of more than 2**rounds members")
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names; a local session without it gets its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, parent = None, {}
+
+        def top(x: str) -> str:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "det_id", "root"])
+
+        for batch in batches:
+            kinds, out = [c.type for c in batch.columns], []
+            for at, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != page:
+                    out += [(page, x, top(x)) for x in parent]
+                    parent.clear()
+                    page = at
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                one, two = top(a), top(b)
+                parent[max(one, two)] = min(one, two)
+            if out:
+                yield done(out)
+        if parent:
+            yield done([(page, x, top(x)) for x in parent])
+
+    every = nodes.select("doc_id", F.col("det_id").alias("a"), F.col("det_id").alias("b")).unionAll(edges.select("doc_id", "a", "b"))
+    kind = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    return every.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind['doc_id']}, det_id {kind['det_id']}, root {kind['det_id']}")
 
 
 _E = """v AS (SELECT *, CASE name WHEN 'tables' THEN 9e-1 WHEN 'grid' THEN 5e-1 WHEN 'text_box' THEN 4e-1 ELSE 3e-1 END AS weight FROM v_detection WHERE name IN ('tables', 'grid', 'text_box', 'drawings')),
