@@ -224,7 +224,8 @@ def page_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     every = nodes.select("doc_id", F.col("det_id").alias("a"), F.col("det_id").alias("b")).unionAll(edges.select("doc_id", "a", "b"))
     kind = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    return every.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind['doc_id']}, det_id {kind['det_id']}, root {kind['det_id']}")
+    # dealt by a hash of the page: Spark takes two sides of a union that are dealt by page as one, but reads them in different portions
+    return every.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind['doc_id']}, det_id {kind['det_id']}, root {kind['det_id']}")
 
 
 _E = """v AS (SELECT *, CASE name WHEN 'tables' THEN 9e-1 WHEN 'grid' THEN 5e-1 WHEN 'text_box' THEN 4e-1 ELSE 3e-1 END AS weight FROM v_detection WHERE name IN ('tables', 'grid', 'text_box', 'drawings')),

@@ -3,19 +3,19 @@
 Lines (``doc_id, n, text, words`` and their box; ``doc_id`` names a page) become candidate regions by two sweeps in order:
 lines whose x ranges meet, directly or through others, form a band as long as each starts before the running right edge;
 a band is cut where a line starts too far below the running bottom.  Candidates that overlap are merged as components.
-Each step is a window over one page's lines in order; no step compares all lines of a page with all.
+Lines are dealt out once, by page: each step is a window over one page's lines in order, and none compares all lines of a page
+with all; only a page's candidate regions meet one another.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plansift.functions.geometry import Box
 from plansift.functions.text import upper, whole_word
-from plansift.operators.graphs import page_components
-from plansift.operators.spatial import box_pairs
 from plansift.plans import views
 from plansift.plans.registry import register
 from plansift.plans.views import oracle
@@ -66,12 +66,47 @@ def _name() -> Column:
     return F.concat(F.lpad(F.col("band").cast("string"), 6, "0"), F.lit("."), F.lpad(F.col("piece").cast("string"), 6, "0"))
 
 
+def _roots(pages: pa.Array) -> pa.Array:
+    """For each page's boxes in order of their ids, the id of the first of those that they are merged with.
+
+    Boxes of all pages of a batch meet those one, two, ... places on, so that no more than a row a box is held.
+    """
+    sizes = np.diff(pages.offsets.to_numpy())
+    flat, ends = pages.flatten(), np.repeat(np.cumsum(sizes), sizes)
+    x, y, u, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy"))
+    area = (u - x) * (v - y)
+    parent = list(range(len(flat)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    i, step = np.arange(len(flat)), 1
+    while len(i := i[i + step < ends[i]]):
+        j = i + step
+        both = np.maximum(np.minimum(u[i], u[j]) - np.maximum(x[i], x[j]), 0.0) * np.maximum(np.minimum(v[i], v[j]) - np.maximum(y[i], y[j]), 0.0)
+        meet = np.flatnonzero(both > 0)
+        p, q, both = i[meet], j[meet], both[meet]
+        # above the bound after rounding to nine decimals
+        same = (both / (area[p] + area[q] - both) >= IOU + 5e-10) | (both / np.minimum(area[p], area[q]) >= CONTAINED + 5e-10)
+        for a, b in zip(p[same].tolist(), q[same].tolist(), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+        step += 1
+    roots = flat.field("det_id").take(pa.array([top(k) for k in parent], pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), roots)
+
+
 def merged(pieces: DataFrame) -> DataFrame:
-    """Candidate boxes (``doc_id, det_id`` and box) with ``root``, the first of those that they are merged with."""
-    p, q = Box.of(), Box.of("b_")
-    same = (F.round(p.iou(q), 9) > IOU) | (F.round(p.containment(q), 9) > CONTAINED)
-    edges = box_pairs(pieces, pieces).where((F.col("det_id") < F.col("b_det_id")) & same).select("doc_id", F.col("det_id").alias("a"), F.col("b_det_id").alias("b")).distinct()
-    return pieces.join(page_components(pieces, edges), ["doc_id", "det_id"])
+    """Candidate boxes (``doc_id, det_id``, box, and what else they have) with ``root``, the first of those that they are
+    merged with.  A page's boxes are gathered in one row, which stays in its task."""
+    rest = [c for c in pieces.columns if c not in ("doc_id", "det_id")]
+    pages = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("det_id", F.struct(*rest).alias("rest")))).alias("p"))
+    kind = pieces.schema["det_id"].dataType.simpleString()
+    boxes = F.transform("p", lambda p: F.struct(p["det_id"].alias("det_id"), *(p["rest"][c].alias(c) for c in ("minx", "miny", "maxx", "maxy"))))
+    rooted = pages.select("doc_id", "p", F.arrow_udf(_roots, f"array<{kind}>")(boxes).alias("root"))
+    return rooted.select("doc_id", F.inline(F.arrays_zip("p", "root"))).select("doc_id", "p.det_id", "p.rest.*", "root")
 
 
 def _tier(text: Column, words: tuple[str, ...]) -> Column:
@@ -125,9 +160,10 @@ def classified(regions: DataFrame) -> DataFrame:
 def text_regions(lines: DataFrame) -> DataFrame:
     """The classified text regions of pages."""
     parts = candidates(lines).withColumn("det_id", _name())
-    boxes = parts.groupBy("doc_id", "det_id").agg(*_extent())
-    roots = merged(boxes).select("doc_id", "det_id", F.col("root").alias("region"))
-    return classified(analysed(parts.join(roots, ["doc_id", "det_id"])))
+    own = [c for c in parts.columns if c not in ("doc_id", "det_id")]
+    # a piece keeps its lines, which are of one page: they are not dealt out or joined again
+    boxes = parts.groupBy("doc_id", "det_id").agg(*_extent(), F.collect_list(F.struct(*own)).alias("of"))
+    return classified(analysed(merged(boxes).select("doc_id", "det_id", F.col("root").alias("region"), F.inline("of"))))
 
 
 #: Categories of tables with the words that all must stand in them, those of which one speaks for it, the type
@@ -146,14 +182,15 @@ TYPE, OTHER_TYPE, ALL_WORDS, IN_HEADER, IN_BODY, INFERRED, DIVISION, ITEMS = 0.3
 SURE, CATEGORY, MOST = 0.4, 0.3, 0.99
 
 
-def table_categories(regions: DataFrame, codes: DataFrame, inferences: DataFrame) -> DataFrame:
+def table_categories(regions: DataFrame, codes: DataFrame, inferences: DataFrame, on: str = "doc_id") -> DataFrame:
     """``doc_id, region, category, confidence, own_page`` of classified regions; paragraphs and weak ones have none.
 
-    ``codes`` has ``doc_id, code``, ``inferences`` ``doc_id, label, confidence``.  Of equal categories the first counts.
+    ``codes`` has ``on, code``, ``inferences`` ``on, label, confidence``; ``on`` is the page or, where all pages of a
+    document share them, a column of regions that names it.  Of equal categories the first counts.
     """
-    found = inferences.where(F.col("confidence") >= SURE).groupBy("doc_id").agg(F.collect_set("label").alias("labels"))  # a few labels
-    divisions = codes.groupBy("doc_id").agg(F.collect_set(F.substring("code", 1, 2)).alias("divisions"))
-    r = regions.where("type <> 'paragraph'").join(found, "doc_id", "left").join(divisions, "doc_id", "left")
+    found = inferences.where(F.col("confidence") >= SURE).groupBy(on).agg(F.collect_set("label").alias("labels"))  # a few labels
+    divisions = codes.groupBy(on).agg(F.collect_set(F.substring("code", 1, 2)).alias("divisions"))
+    r = regions.where("type <> 'paragraph'").join(found, on, "left").join(divisions, on, "left")
     every = sorted({w for _, a, b, *_ in CATEGORIES for w in (*a, *b)})
     seen = lambda text: F.array_compact(F.array(*(F.when(whole_word(F.coalesce(F.col(text), F.lit("")), w), w) for w in every)))
     r = r.withColumns({"in_header": seen("header"), "in_body": seen("body")}).withColumn("seen", F.array_union("in_header", "in_body"))
@@ -344,9 +381,7 @@ sc AS ({" UNION ALL ".join(_category_sql(n, *c) for n, c in enumerate(CATEGORIES
 SELECT doc_id, region, category, least(score, 99e-2) AS confidence, own_page FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, region ORDER BY score DESC, place) = 1 AND score >= 3e-1""").replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE a AS", ", a AS"))
 def r08(spark, sf_dir):
     """The categories of the laid-out texts' regions, with codes of their documents and what boxes let infer."""
-    regions = text_regions(views.layout(spark, sf_dir))
-    pages = regions.select("doc_id", F.split("doc_id", "/")[0].cast("long").alias("doc")).distinct()
-    to_page = lambda df: pages.join(df.withColumnRenamed("doc_id", "doc"), "doc").drop("doc")
+    regions = text_regions(views.layout(spark, sf_dir)).withColumn("doc", F.split("doc_id", "/")[0].cast("long"))
     label = F.when(F.col("name") == "text_box", "general-notes").when(F.col("name") == "tables", "material-schedule").when(F.col("name") == "grid", "keynote-table")
-    told = views.detection(spark, sf_dir).select("doc_id", label.alias("label"), F.col("conf").alias("confidence")).where("label IS NOT NULL")
-    return table_categories(regions, to_page(views.page_code(spark, sf_dir).select("doc_id", "code")), to_page(told))
+    told = views.detection(spark, sf_dir).select(F.col("doc_id").alias("doc"), label.alias("label"), F.col("conf").alias("confidence")).where("label IS NOT NULL")
+    return table_categories(regions, views.page_code(spark, sf_dir).select(F.col("doc_id").alias("doc"), "code"), told, on="doc")

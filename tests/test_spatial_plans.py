@@ -27,3 +27,23 @@ def test_components_write_nothing(spark, monkeypatch):
     edges = [("x/0", f"n{k:03}", f"n{k + 1:03}") for k in range(150, 0, -1)]
     got = page_components(spark.createDataFrame(nodes, "doc_id string, det_id string"), spark.createDataFrame(edges, "doc_id string, a string, b string")).collect()
     assert {tuple(r) for r in got} == {(p, d, "n001" if p == "x/0" and "n001" <= d <= "n151" else d) for p, d in nodes} and len(got) == len(nodes)
+
+
+def test_components_deal_sides_of_a_union_again(spark):
+    """Both sides are dealt by page already, but adaptive execution reads them in different portions."""
+    nodes = spark.createDataFrame([("x", "a"), ("x", "b")], "doc_id string, det_id string").repartition("doc_id")
+    edges = spark.createDataFrame([("x", "a", "b")], "doc_id string, a string, b string").repartition("doc_id")
+    got = page_components(nodes, edges)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(xxhash64(" in plan[: plan.index("Union")]
+    assert {tuple(r) for r in got.collect()} == {("x", "a", "a"), ("x", "b", "a")}
+
+
+def test_lines_of_text_regions_are_made_once(spark, sf_dir):
+    assert exchanges(spark, sf_dir, "r07_text_regions") == 3
+
+
+def test_lines_need_no_window(spark, sf_dir):
+    from plansift.plans import views
+
+    assert "Window" not in views.layout(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
