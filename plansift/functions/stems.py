@@ -58,6 +58,7 @@ def _steps() -> list[list[tuple[str, str, str]]]:
 
 
 STEPS = [sorted(s, key=lambda r: -len(r[0])) for s in _steps()]
+_STOP, _ENDS = frozenset(STOP_WORDS), [tuple(r[0] for r in s) for s in STEPS]
 
 
 def clean(word: Column) -> Column:
@@ -94,9 +95,10 @@ def stems_sql(words: str) -> str:
 def stem(word: str) -> str:
     """The stem of one word, as of a query."""
     w = re.sub("[^a-z0-9]+", "", word.lower())
-    if w in STOP_WORDS:
+    if w in _STOP:
         return ""
-    for step in STEPS:
-        hit = next((r for r in step if len(w) > 2 and w.endswith(r[0])), None)
-        w = re.sub(hit[1], hit[2], w, count=1) if hit else w
+    for step, ends in zip(STEPS, _ENDS, strict=True):
+        if len(w) > 2 and w.endswith(ends):
+            hit = next(r for r in step if w.endswith(r[0]))
+            w = re.sub(hit[1], hit[2], w, count=1)
     return w

@@ -8,9 +8,12 @@ made once for a state of the table (`plansift.sources.shared.kept`); queries nev
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +26,8 @@ from plansift.plans.views import oracle, read
 from plansift.sources.shared import kept_table
 
 BUCKETS, SPLITS = 128, 8
+#: Words that a task holds as postings at once, if no text has more.
+PORTION = 1 << 20
 MOST_WORDS, LEAST_WORDS = 20, 10
 #: Weight of a plain word, range of nearness, and the sum of 1 / k**2, of the ranking that is followed.
 WEIGHT, NEAR, ZETA = 0.1, 100, 1.64493406685
@@ -36,13 +41,51 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+@lru_cache(maxsize=1 << 18)
+def _stem(word: str) -> str:
+    return stem(word)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole texts: each different word of a portion of texts is stemmed once."""
+    for b in batches:
+        sizes = np.diff(b.column("words").offsets.to_numpy())
+        words = b.column("words").flatten().dictionary_encode()
+        terms: dict[str, int] = {"": 0}
+        number = np.array([terms.setdefault(_stem(w), len(terms)) for w in words.dictionary.to_pylist()], np.int64)
+        term = number[words.indices.to_numpy()]
+        page, at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = np.flatnonzero(term)
+        key = page[kept] * len(terms) + term[kept]
+        order = np.argsort(key, kind="stable")  # positions stay in order
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0][: len(order)])
+        posting = kept[order[first]]
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(at[kept[order]], pa.int32()))
+        of = pa.array(page[posting])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("project_id").take(of), pa.array(list(terms)).take(pa.array(term[posting])), positions], ["doc_id", "project_id", "term", "positions"])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a portion has at most `PORTION` words, or one text."""
+    for b in batches:
+        end = np.cumsum(np.diff(b.column("words").offsets.to_numpy()))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + PORTION, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def write_index(pages: DataFrame, path: str) -> None:
     """Postings of ``doc_id, project_id, text``: ``term, doc_id, project_id, positions`` in folders by ``bucket``."""
-    hits = pages.select("doc_id", "project_id", F.posexplode(stems(_words("text"))).alias("at", "term")).where("term <> ''")
+    kind = {f.name: f.dataType.simpleString() for f in pages.schema}
+    texts = pages.where(F.col("text").isNotNull()).repartition("doc_id").select("doc_id", "project_id", _words("text").alias("words"))
+    hits = texts.mapInArrow(lambda batches: _postings(_portions(batches)), f"doc_id {kind['doc_id']}, project_id {kind['project_id']}, term string, positions array<int>")
     # by term and part of the pages: one shuffle, and no task has all pages of a frequent term
     dealt = hits.select("*", _bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS)).alias("split")).repartition("bucket", "split")
-    postings = dealt.groupBy("bucket", "split", "term", "doc_id", "project_id").agg(F.sort_array(F.collect_list("at")).alias("positions")).drop("split")
-    postings.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
+    # texts of one page that stand in several rows are one posting
+    whole = dealt.groupBy("bucket", "split", "term", "doc_id", "project_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")).drop("split")
+    whole.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,15 @@ def test_highlights(spark):
     words = spark.createDataFrame([(1, i, w) for i, w in enumerate("INSTALL the Doorway frame, install to D-1 door frame".split())], "doc_id long, idx int, tok string")
     ids = lambda q: sorted(r["idx"] for r in search.word_hits(words, search.parsed(q)).collect())
     assert ids("installed door") == [0, 2, 4, 7] and ids('"door frames"') == [2, 3, 7, 8] and ids("to") == [5] and ids('"to door"') == []
+
+
+def test_index_stems_each_different_word_once(spark, tmp_path, monkeypatch):
+    """Words are stemmed by portion, not one by one in the plan; positions, texts in several rows and nulls keep their meaning."""
+    from plansift.operators import search as op
+
+    monkeypatch.setattr(op, "stems", lambda *_: pytest.fail("each word is stemmed"))
+    monkeypatch.setattr(op, "PORTION", 3)
+    rows = [(1, "p", "The licenses of Licensing are running \u212aeys"), (1, "p", "runs again license"), (2, None, "license the"), (3, "q", None), (4, "q", "the of -- ")]
+    op.write_index(spark.createDataFrame(rows, "doc_id long, project_id string, text string"), str(tmp_path / "i"))
+    got = {(r.term, r.doc_id, r.project_id): r.positions for r in spark.read.parquet(str(tmp_path / "i")).collect()}
+    assert got == {("licens", 1, "p"): [1, 2, 3], ("run", 1, "p"): [0, 5], ("kei", 1, "p"): [6], ("licens", 2, None): [0]}
