@@ -1,6 +1,6 @@
 """Tables, title blocks and drawings of a page from all sources, confirmed by other boxes and headers, and merged.
 
-Confirmations and headers are joins over the page's grid; merging follows the surveyed order and streams over a page's
+Confirmations and headers are joins by page that keep each box, so that boxes are read once and stay where they are dealt; merging follows the surveyed order and streams over a page's
 candidates, each into the first region that it overlaps by more than half.
 """
 
@@ -14,7 +14,6 @@ from plansift.functions.geometry import Box
 from plansift.functions.text import whole_word
 from plansift.operators.layout import text_regions
 from plansift.operators.regions import in_page_order, iou
-from plansift.operators.spatial import box_pairs
 from plansift.plans import views
 from plansift.plans.registry import register
 
@@ -28,26 +27,32 @@ MERGE, CONFIRM, TOP = 0.5, 0.6, 0.15
 #: of title blocks and drawings alone and confirmed.
 TABLE, WITH_AREA, WITH_GRID, WITH_HEADER, SAVED, CLASSIFIED, GRID, TITLE, TITLE_SURE, DRAWING, DRAWING_SURE = 0.7, 0.8, 0.85, 0.95, 0.95, 0.6, 0.65, 0.85, 0.95, 0.8, 0.95
 
-_KEY = ("doc_id", "det_id", "minx", "miny", "maxx", "maxy")
+_BOX = ("minx", "miny", "maxx", "maxy")
+_KEY = ("doc_id", "det_id", *_BOX)
 _SCHEMA = "page string, place int, minx double, miny double, maxx double, maxy double, confidence double, sources string, header string"
 
 
-def _confirmed(boxes: DataFrame, by: str) -> DataFrame:
-    """Boxes of which a box of class ``by`` lies in by 60 % of its own size."""
+def _confirmed(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Boxes with ``by_<name>``: whether a box of that class lies in it by 60 % of its own size; one join for all classes."""
     p, q = Box.of(), Box.of("b_")
-    met = box_pairs(boxes, boxes.where(F.col("name") == by)).where((q.area > 0) & (F.round(p.shared(q) / q.area, 9) >= CONFIRM))
-    return met.select(*_KEY).distinct().withColumn(f"by_{by}", F.lit(True))
+    by = boxes.where(F.col("name").isin(*names))
+    right = by.select(F.col("doc_id").alias("b_doc"), F.col("name").alias("b_name"), *(F.col(c).alias(f"b_{c}") for c in _BOX)).where(q.area > 0)
+    inside = (F.col("doc_id") == F.col("b_doc")) & (F.round(p.shared(q) / q.area, 9) >= CONFIRM)
+    met = boxes.join(right.hint("shuffle_hash"), inside, "left")
+    # what is dealt by page is grouped by page and more: nothing is shuffled
+    return met.groupBy(*boxes.columns).agg(*(F.coalesce(F.bool_or(F.col("b_name") == n), F.lit(False)).alias(f"by_{n}") for n in names))
 
 
 def _headed(boxes: DataFrame, headers: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-    """The header of each box: that of the first text region that meets its top and has a keyword."""
+    """Boxes with the header of tables and grids: that of the first text region that meets the top and has a keyword."""
     hit = F.lit(False)
     for k in keywords:
         hit = hit | whole_word(F.col("header"), k)
-    named = headers.where(F.col("header").isNotNull() & hit).select("doc_id", "region", "header", "minx", "miny", "maxx", "maxy")
-    strip = boxes.select(*_KEY, F.col("maxy").alias("bottom")).withColumn("maxy", F.col("miny") + (F.col("maxy") - F.col("miny")) * TOP)
-    met = box_pairs(strip, named).where(Box.of().shared(Box.of("b_")) > 0).withColumn("maxy", F.col("bottom"))
-    return met.groupBy(*_KEY).agg(F.min_by("b_header", "b_region").alias("header"))
+    named = headers.where(F.col("header").isNotNull() & hit).select(F.col("doc_id").alias("b_doc"), F.col("region").alias("b_region"), F.col("header").alias("b_header"), *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    p = Box.of()
+    strip = Box(p.minx, p.miny, p.maxx, p.miny + (p.maxy - p.miny) * TOP)
+    meets = (F.col("doc_id") == F.col("b_doc")) & F.col("name").isin("tables", "grid") & (strip.shared(Box.of("b_")) > 0)
+    return boxes.join(named.hint("shuffle_hash"), meets, "left").groupBy(*boxes.columns).agg(F.min_by("b_header", "b_region").alias("header"))
 
 
 def _step(kept: list[tuple], r: tuple) -> tuple | None:
@@ -71,35 +76,36 @@ def page_regions(boxes: DataFrame, headers: DataFrame, saved: DataFrame | None =
     ``saved`` and ``classified`` tables (``doc_id, det_id``, box).  Drawings that two models gave are surer.
     """
     b = boxes.select(*_KEY, "name", "model").distinct()
-    for name in ("grid", "vertical_area", "horizontal_area"):
-        b = b.join(_confirmed(b.select(*_KEY, "name"), name), [*_KEY], "left")
-    b = b.join(_headed(b.where(F.col("name").isin("tables", "grid")).select(*_KEY).distinct(), headers, keywords), [*_KEY], "left")
-    is_ = lambda c: F.coalesce(c, F.lit(False))
-    grid, va, ha, head = is_(F.col("by_grid")), is_(F.col("by_vertical_area")), is_(F.col("by_horizontal_area")), F.col("header").isNotNull()
+    b = _headed(_confirmed(b, ("grid", "vertical_area", "horizontal_area")), headers, keywords)
+    grid, va, ha, head = F.col("by_grid"), F.col("by_vertical_area"), F.col("by_horizontal_area"), F.col("header").isNotNull()
     name = F.col("name")
     source = lambda *parts: F.array_join(F.array_compact(F.array(*(F.when(c, s) for c, s in parts))), "+")
     yes = F.lit(True)
 
-    def rows(df: DataFrame, kind: str, order: int, confidence: Column, sources: Column, header: Column) -> DataFrame:
-        return df.select(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(kind)).alias("page"), F.lit(order).alias("turn"), "det_id", "minx", "miny", "maxx", "maxy", confidence.alias("confidence"), sources.alias("sources"), header.cast("string").alias("header"))
+    def row(kind: str, order: int, confidence: Column, sources: Column, header: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("turn"), confidence.cast("double").alias("confidence"), sources.alias("sources"), header.cast("string").alias("header"))
 
     sure = F.when(head, WITH_HEADER).when(grid, WITH_GRID).when(va | ha, WITH_AREA).otherwise(TABLE)
     told = source((yes, "yolo:tables"), (grid, "yolo:grid"), (va, "yolo:vertical_area"), (ha, "yolo:horizontal_area"), (head, "ocr:header_keyword"))
     no = F.lit(None)
-    every = rows(b.where(name == "tables"), "table", 0, sure, told, F.col("header"))
+    # a box is one candidate at most, so that boxes are read once
+    own = F.when(name == "tables", row("table", 0, sure, told, F.col("header")))
+    own = own.when((name == "grid") & head, row("table", 3, F.lit(GRID), F.lit("yolo:grid+ocr:header_keyword"), F.col("header")))
+    own = own.when(name == "title_block", row("title_block", 0, F.when(va, TITLE_SURE).otherwise(TITLE), source((yes, "yolo:title_block"), (va, "yolo:vertical_area")), no))
+    own = own.when(name == "drawings", row("drawings", 0, F.lit(DRAWING), F.lit("yolo:drawings"), no))
+    every = b.select(*_KEY, own.alias("r")).where("r IS NOT NULL")
     for df, n, conf, word in ((saved, 1, SAVED, "parsedRegions"), (classified, 2, CLASSIFIED, "pageIntel:classifiedTables")):
         if df is not None:
-            every = every.union(rows(df.select(*_KEY), "table", n, F.lit(conf), F.lit(word), no))
-    every = every.union(rows(b.where((name == "grid") & head), "table", 3, F.lit(GRID), F.lit("yolo:grid+ocr:header_keyword"), F.col("header")))
-    every = every.union(rows(b.where(name == "title_block"), "title_block", 0, F.when(va, TITLE_SURE).otherwise(TITLE), source((yes, "yolo:title_block"), (va, "yolo:vertical_area")), no))
-    every = every.union(rows(b.where(name == "drawings"), "drawings", 0, F.lit(DRAWING), F.lit("yolo:drawings"), no))
+            every = every.union(df.select(*_KEY, row("table", n, F.lit(conf), F.lit(word), no).alias("r")))
+    page = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("r.kind"))
+    every = every.select(page.alias("page"), F.col("r.turn").alias("turn"), "det_id", *_BOX, "r.confidence", "r.sources", "r.header")
     placed = every.withColumn("place", F.row_number().over(W.partitionBy("page").orderBy("turn", "det_id", "minx", "miny", "maxx", "maxy")))
     merged = in_page_order(placed, ["place"], _step, _SCHEMA, on="page")
     out = merged.select(F.regexp_extract("page", r"^(.*)\|", 1).cast(boxes.schema["doc_id"].dataType).alias("doc_id"), F.regexp_extract("page", r"\|([a-z_]+)$", 1).alias("kind"), "place", "minx", "miny", "maxx", "maxy", "confidence", "sources", "header")
-    models = box_pairs(out.where("kind = 'drawings'").select("doc_id", "place", "minx", "miny", "maxx", "maxy"), b.where(name == "drawings").select("doc_id", "model", "minx", "miny", "maxx", "maxy"))
-    two = models.where(F.round(Box.of().iou(Box.of("b_")), 9) > MERGE).groupBy("doc_id", "place").agg(F.count_distinct("b_model").alias("models")).where("models > 1").withColumn("kind", F.lit("drawings"))
-    out = out.join(two, ["doc_id", "place", "kind"], "left")
-    return out.select("doc_id", "kind", "minx", "miny", "maxx", "maxy", F.when(F.col("models").isNotNull(), F.greatest("confidence", F.lit(DRAWING_SURE))).otherwise(F.col("confidence")).alias("confidence"), "sources", "header")
+    drawn = boxes.where(F.col("name") == "drawings").select(F.col("doc_id").alias("b_doc"), F.col("model").alias("b_model"), *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    same = (F.col("doc_id") == F.col("b_doc")) & (F.col("kind") == "drawings") & (F.round(Box.of().iou(Box.of("b_")), 9) > MERGE)
+    told = out.join(drawn.hint("shuffle_hash"), same, "left").groupBy(*out.columns).agg((F.min("b_model") < F.max("b_model")).alias("two"))
+    return told.select("doc_id", "kind", *_BOX, F.when(F.col("two"), F.greatest("confidence", F.lit(DRAWING_SURE))).otherwise(F.col("confidence")).alias("confidence"), "sources", "header")
 
 
 @register("r09_page_regions")

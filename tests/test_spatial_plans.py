@@ -47,3 +47,9 @@ def test_lines_need_no_window(spark, sf_dir):
     from plansift.plans import views
 
     assert "Window" not in views.layout(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_of_page_regions_are_read_three_times(spark, sf_dir):
+    """Boxes, those that confirm and the drawings of models; two readings of the texts' regions."""
+    plan = queries()["r09_page_regions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 3 and "SortMergeJoin" not in plan
