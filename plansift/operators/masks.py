@@ -52,40 +52,43 @@ def spread(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(dense: DataFrame, cells: int = GRID) -> DataFrame:
-    """``doc_id, cell, component`` of rows with ``doc_id`` and an array ``on`` of a page's dense cells."""
+def _labels(cells: int) -> Callable[[pa.Array], pa.Array]:
+    def run(on: pa.Array) -> pa.Array:
+        page = np.repeat(np.arange(len(on)), np.diff(on.offsets.to_numpy()))
+        cell = on.flatten().to_numpy()
+        mask = np.zeros((len(on), cells * cells), bool)
+        mask[page, cell] = True
+        label = spread(mask.reshape(-1, cells, cells)).reshape(len(on), -1)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(page, np.arange(len(on) + 1)), pa.int32()), pa.array(label[page, cell].astype(np.int32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            on = b.column("on")
-            page = np.repeat(np.arange(b.num_rows), np.diff(on.offsets.to_numpy()))
-            mask = np.zeros((b.num_rows, cells * cells), bool)
-            mask[page, on.flatten().to_numpy()] = True
-            label = spread(mask.reshape(-1, cells, cells)).reshape(b.num_rows, -1)
-            page, cell = np.nonzero(label >= 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(page)), pa.array(cell.astype(np.int32)), pa.array(label[page, cell].astype(np.int32))], ["doc_id", "cell", "component"])
+    return run
 
-    kind = dense.schema["doc_id"].dataType.simpleString()
-    return dense.select("doc_id", "on").mapInArrow(run, f"doc_id {kind}, cell int, component int")
+
+def components(dense: DataFrame, cells: int = GRID) -> DataFrame:
+    """Rows with ``doc_id`` and an array ``on`` of a page's dense cells, and the ``component`` of each cell in order."""
+    return dense.withColumn("component", F.arrow_udf(_labels(cells), "array<int>")("on"))
 
 
 def dense_regions(boxes: DataFrame, cells: int = GRID, least: float = DENSE, weights: dict[str, float] | None = None, sure: float = SURE) -> DataFrame:
     """Components of the dense cells of pages: box, confidence (mean density), cells, classes by what they add inside."""
-    by_class = heat(boxes, cells, weights, sure)
-    all_ = by_class.groupBy("doc_id", "cell").agg(F.sum("heat").alias("heat"))
-    share = all_.withColumn("density", F.round(F.col("heat") / F.max("heat").over(W.partitionBy("doc_id")), 9)).where(F.col("density") >= least)
-    on = share.groupBy("doc_id").agg(F.collect_list(F.col("cell").cast("int")).alias("on"))  # cells of one page
-    placed = components(on, cells)
+    # boxes are read once: a cell keeps its classes, a page its dense cells, and only its components are dealt out again
+    by_class = heat(boxes, cells, weights, sure).groupBy("doc_id", "cell").agg(F.sum("heat").alias("heat"), F.collect_list(F.struct("name", F.col("heat").alias("part"))).alias("classes"))
+    share = by_class.withColumn("density", F.round(F.col("heat") / F.max("heat").over(W.partitionBy("doc_id")), 9)).where(F.col("density") >= least)
+    page = share.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("cell").cast("int").alias("cell"), "heat", "density", "classes")).alias("c"))  # cells of one page
+    placed = components(page.select("doc_id", "c", F.col("c.cell").alias("on")), cells).select("doc_id", F.inline(F.arrays_zip("c", "component"))).select("doc_id", "component", "c.*")
     x, y = F.col("cell") % cells, F.floor(F.col("cell") / cells)
-    # densities have nine decimals: their mean is exact, whatever the order of the cells
-    mean = F.sum(F.col("density").cast("decimal(10,9)")) / F.count("*")
-    whole = placed.join(share, ["doc_id", "cell"]).groupBy("doc_id", "component").agg(
-        (F.min(x) / cells).alias("minx"), (F.min(y) / cells).alias("miny"), ((F.max(x) + 1) / cells).alias("maxx"), ((F.max(y) + 1) / cells).alias("maxy"), F.count("*").alias("cells"),
-        F.round(F.least(mean, F.lit(1)), 6).cast("double").alias("confidence"), F.round(F.sum("heat"), 6).alias("mass"),
+    # a cell is one row a class; what belongs to the cell stands in its first
+    rows = placed.select("doc_id", "component", "cell", "heat", "density", F.posexplode("classes").alias("k", "p")).select("doc_id", "component", "cell", F.col("p.name").alias("name"), F.col("p.part").alias("part"), *(F.when(F.col("k") == 0, F.col(c)).alias(c) for c in ("heat", "density")), F.when(F.col("k") == 0, 1).alias("one"))
+    told = rows.groupBy("doc_id", "component", "name").agg(
+        F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"), F.sum("one").alias("one"), F.sum(F.col("density").cast("decimal(10,9)")).alias("density"), F.sum("heat").alias("heat"), F.round(F.sum("part"), 6).alias("sum"),
+    )
+    mean = F.sum("density") / F.sum("one")  # densities have nine decimals: their mean is exact, whatever the order of the cells
+    named = F.array_sort(F.collect_list(F.when(F.col("sum") > 0, F.struct((-F.col("sum")).alias("loss"), "name"))))
+    whole = told.groupBy("doc_id", "component").agg(
+        (F.min("x0") / cells).alias("minx"), (F.min("y0") / cells).alias("miny"), ((F.max("x1") + 1) / cells).alias("maxx"), ((F.max("y1") + 1) / cells).alias("maxy"), F.sum("one").alias("cells"),
+        F.round(F.least(mean, F.lit(1)), 6).cast("double").alias("confidence"), F.round(F.sum("heat"), 6).alias("mass"), named.alias("named"),
     )
-    told = placed.join(by_class, ["doc_id", "cell"]).groupBy("doc_id", "component", "name").agg(F.round(F.sum("heat"), 6).alias("sum")).where("sum > 0")
-    names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("sum")).alias("loss"), "name"))), lambda c: c["name"])
-    return whole.join(told.groupBy("doc_id", "component").agg(F.array_join(names, "+").alias("classes")), ["doc_id", "component"])
+    return whole.where(F.size("named") > 0).withColumn("classes", F.array_join(F.transform("named", lambda c: c["name"]), "+")).drop("named")
 
 
 #: The mask of a page, the rectangles that are looked for, the least share of the page and the shape of a gutter.

@@ -53,3 +53,8 @@ def test_boxes_of_page_regions_are_read_three_times(spark, sf_dir):
     """Boxes, those that confirm and the drawings of models; two readings of the texts' regions."""
     plan = queries()["r09_page_regions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 3 and "SortMergeJoin" not in plan
+
+
+def test_density_components_deal_boxes_once(spark, sf_dir):
+    plan = queries()["g06_density_components"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("Exchange hashpartitioning") == 3
