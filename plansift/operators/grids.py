@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,17 +68,26 @@ def aligned_rows(base: np.ndarray, other: np.ndarray, least: float = ALIKE) -> t
     return pairs[::-1], float(best[-1]) / max(min(n, m), 1)
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for t in batches:
-        out = []
-        for r in t.itertuples(index=False):
-            names: dict[str, int] = {"": 0}
-            number = lambda v: names.setdefault((v or "").strip().upper(), len(names))  # noqa: B023, E731
-            grid = lambda n_rows, cells: _filled(n_rows, r.width, cells, number)  # noqa: B023, E731
-            pairs, mean = aligned_rows(grid(r.base_rows, r.base), grid(r.n_rows, r.cells))
-            if mean >= ALIKE:
-                out += [(r.grid, r.method, i, j) for i, j in pairs]
-        yield pd.DataFrame(out, columns=["grid", "method", "row", "other_row"])
+#: Grids that a task holds as Python objects at once.
+AT_ONCE = 32
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch stays in Arrow's form; its grids become Python objects a few at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(start, AT_ONCE)
+            out = []
+            for r in part.to_pylist():
+                names: dict[str, int] = {"": 0}
+                number = lambda v: names.setdefault((v or "").strip().upper(), len(names))  # noqa: B023, E731
+                grid = lambda n_rows, cells: _filled(n_rows, r["width"], cells, number)  # noqa: B023, E731
+                pairs, mean = aligned_rows(grid(r["base_rows"], r["base"]), grid(r["n_rows"], r["cells"]))
+                if mean >= ALIKE:
+                    out += [(r["grid"], r["method"], i, j) for i, j in pairs]
+            if out:
+                kinds = (batch.schema.field("grid").type, pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grid", "method", "row", "other_row"])
 
 
 def _filled(n_rows: int, width: int, cells, number) -> np.ndarray:
@@ -109,7 +118,7 @@ def merged(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     theirs = theirs.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("grid", "method", "score", "n_rows", "base_rows", "width", "row", "at", F.trim("value").alias("value"))
     pack = lambda df, name, at, *by: df.groupBy(*by).agg(F.collect_list(F.struct("row", F.col(at).alias("at"), "value")).alias(name))  # noqa: E731  # one grid's cells
     pairs = pack(theirs, "cells", "at", "grid", "method", "n_rows", "base_rows", "width").join(pack(mine, "base", "col", "grid"), "grid")
-    rows = pairs.mapInPandas(_aligned, f"grid {cells.schema['grid'].dataType.simpleString()}, method string, row int, other_row int")
+    rows = pairs.mapInArrow(_aligned, f"grid {cells.schema['grid'].dataType.simpleString()}, method string, row int, other_row int")
     seen = theirs.withColumnRenamed("row", "other_row").join(rows, ["grid", "method", "other_row"]).where("value <> ''")
     told = seen.groupBy("grid", "row", F.col("at").alias("col")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("loss"), "method", "value"))).alias("told"))
     both = mine.withColumn("value", F.trim("value")).join(told, ["grid", "row", "col"], "left")

@@ -72,3 +72,14 @@ def test_given_tables(spark, sf_dir):
     cells = op.merged(op.method_grids(spark, sf_dir))[0]
     assert {r["verdict"] for r in cells.select("verdict").distinct().collect()} >= {"agree", "filled", "disagree"}
     assert cells.where(F.col("value") == "").count() < 0.05 * cells.count()
+
+
+def test_grids_become_objects_a_few_at_a_time():
+    """A batch of any length is paired in parts of `AT_ONCE` grids, so that a task's Python holds no more."""
+    import pyarrow as pa
+
+    cells = [{"row": i, "at": 0, "value": f"v{i}"} for i in range(4)]
+    n = 3 * op.AT_ONCE + 1
+    batch = pa.RecordBatch.from_pylist([{"grid": g, "method": "m", "n_rows": 4, "base_rows": 4, "width": 1, "cells": cells, "base": cells} for g in range(n)])
+    parts = [p.num_rows for p in op._aligned(iter([batch]))]
+    assert parts == [4 * op.AT_ONCE] * 3 + [4]
