@@ -58,3 +58,8 @@ def test_boxes_of_page_regions_are_read_three_times(spark, sf_dir):
 def test_density_components_deal_boxes_once(spark, sf_dir):
     plan = queries()["g06_density_components"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_categories_read_the_texts_regions_once(spark, sf_dir):
+    plan = queries()["r08_region_categories"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
