@@ -34,9 +34,9 @@ from plansift.llm.common import bit_filter, col, in_filter, saved
 
 LEAST, TOP, LONGEST, SUBSUMED = 10, 2000, 3, 50
 RANKED, RANKED_PHRASES, LONG_WORD = 1 << 18, 1 << 20, 64
-#: Bits of a rank within a tile, the pairs that make a tile dense, the bytes of text counted at a time, and the
-#: different cells that a task sums up before it passes them on.
-SIDE, DENSE, PORTION, CELLS = 10, 1 << 14, 6_000_000, 2_000_000
+#: Bits of a rank within a tile, the pairs that make a tile dense, the bytes of text counted at a time, the different
+#: cells that a task sums up before it passes them on, and the rows of a batch that become Python objects at a time.
+SIDE, DENSE, PORTION, CELLS, ROWS = 10, 1 << 14, 4_000_000, 500_000, 256
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BREAKS + b"\t", b"." * len(_BREAKS) + b" ")
@@ -186,13 +186,18 @@ def _portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[st
     held: dict[str, list[bytes]] = {}
     total = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            held.setdefault(lang, []).append(text)
-            total += len(text)
-            if total >= size:
-                yield from held.items()
-                held, total = {}, 0
-    yield from held.items()
+        for lo in range(0, b.num_rows, ROWS):  # few texts of a batch become Python objects at a time
+            some = b.slice(lo, ROWS)
+            for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                total += len(text)
+                if total >= size:
+                    while held:
+                        yield held.popitem()
+                    total = 0
+        some = lang = text = b = None  # not held while the next batch comes
+    while held:
+        yield held.popitem()
 
 
 COUNTS = "lang string, code long, phrase string, n long"

@@ -84,3 +84,32 @@ def test_a_very_long_text(spark):
     rows = [("en", "alpha beta gamma " * 200_000)]
     got = op.collocations(spark.createDataFrame(rows, "lang string, text string"), portion=10_000)
     assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_a_task_holds_a_bounded_part(spark):
+    """Texts of a batch become Python objects a few at a time, and the cells that a task sums up stay below a fixed number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return sum(1 for _ in run()), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 4000, "text": ["some words " * 1000] * 4000})
+    n, mb = peak(lambda: op._portions(iter([batch]), 1_000_000))
+    assert n == 44 and mb < 10  # 44 MB of text
+
+    words = np.array([f"w{i}" for i in range(3000)])
+    rng = np.random.default_rng(1)
+    texts = [" ".join(words[rng.integers(0, 3000, 30_000)]) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 100, "text": texts})
+    none = np.zeros(0, np.int64)
+    held = type("Held", (), {"value": [({"en": (pa.array(words, pa.large_string()), none, none)}, None)]})
+    total = sum(pa.compute.sum(b.column("n")).as_py() for b in op._count_phrases(held, op.PORTION)(iter([batch])))
+    assert total == 100 * 29_999
+    _, mb = peak(lambda: op._count_phrases(held, op.PORTION)(iter([batch])))
+    assert mb < 160
