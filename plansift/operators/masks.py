@@ -6,6 +6,7 @@ array, on which labels spread over all pages at once, or whose rows of bits are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,42 +102,68 @@ def _edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut(mask.T), cut(mask)
 
 
-def _largest(mask: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[int, int, int, int]:
-    """Columns and rows (first, one past the last) of the largest free rectangle; ``xs`` and ``ys`` are the cells' edges.
+def _above(mask: np.ndarray) -> np.ndarray:
+    """For each row and column the row from which the cells down to it are free (the next row, where it is set)."""
+    return np.maximum.accumulate(np.where(mask, np.arange(1, len(mask) + 1)[:, None], 0), axis=0)
 
-    Heights of free cells above each row, and a stack of rising heights along it.
+
+def _largest_above(top: list[int], xs: list[int], ys: list[int], y: int) -> tuple[int, tuple[int, int, int, int]]:
+    """Area, columns and rows (first, one past the last) of the largest free rectangle whose last row is ``y``.
+
+    A stack of rising heights along the row; columns that are free from the same row on are one step.
     """
-    rows, cols = mask.shape
-    top, best, area = np.zeros(cols, np.int64), (0, 0, 0, 0), 0  # the row from which a column is free
-    x_at = xs.tolist()
-    for y in range(rows):
-        top = np.where(mask[y], y + 1, top)
-        height = ys[y + 1] - ys[top]
-        if int(height.max(initial=0)) * (x_at[-1] - x_at[0]) <= area:
+    low, best, area = ys[y + 1], (0, 0, 0, 0), 0
+    begins, rows = [0], [-1]  # the columns where heights begin, and the rows from which they are free
+    for x, row in enumerate([*top, y + 1]):
+        if row == rows[-1]:
             continue
-        stack: list[tuple[int, int, int]] = []  # the column where a height begins, the height and its row
-        for x, (h, t) in enumerate(zip([*height.tolist(), 0], [*top.tolist(), 0], strict=True)):
-            start = x
-            while stack and stack[-1][1] >= h:
-                start, tall, row = stack.pop()
-                if tall * (x_at[x] - x_at[start]) > area:
-                    area, best = tall * (x_at[x] - x_at[start]), (start, x, row, y + 1)
-            if h:
-                stack.append((start, h, t))
-    return best
+        start = x
+        while rows[-1] >= 0 and rows[-1] < row:
+            start, t = begins.pop(), rows.pop()
+            size = (low - ys[t]) * (xs[x] - xs[start])
+            if size > area:
+                area, best = size, (start, x, t, y + 1)
+        if row <= y and row != rows[-1]:
+            begins.append(start)
+            rows.append(row)
+    return area, best
 
 
 def largest_rectangles(mask: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """``x, y, w, h`` of the ``k`` largest rectangles of cells that are not set, one after the other, each set before the
-    next is looked for.  Equal neighbouring rows and columns count as one, with their number as its size."""
+    next is looked for.  Equal neighbouring rows and columns count as one, with their number as its size.
+
+    What is set later only makes a row's largest rectangle smaller, so its earlier area is a bound: a row is looked at again
+    only when no other row's bound is above it.  Of equal areas the one that ends first counts.
+    """
     xs, ys = _edges(mask)
     small, out = mask[np.ix_(ys[:-1], xs[:-1])].copy(), []
-    for _ in range(k):
-        a, b, c, d = _largest(small, xs, ys)
-        if a == b:
+    if not small.size:
+        return out
+    x_at, y_at, top = xs.tolist(), ys.tolist(), _above(small)
+    # a rectangle can be the largest only where the row below it sets a free cell
+    last = np.flatnonzero(np.r_[(small[1:] & ~small[:-1]).any(axis=1), True])
+    tall = (ys[1:, None] - ys[top])[last].max(axis=1) * x_at[-1]
+    queue = [(-int(a), int(y), None) for a, y in zip(tall, last, strict=True)]
+    heapq.heapify(queue)
+    fresh: dict[int, bool] = {}
+    while queue and len(out) < k:
+        bound, y, found = heapq.heappop(queue)
+        if not bound:
             break
-        out.append((int(xs[a]), int(ys[c]), int(xs[b] - xs[a]), int(ys[d] - ys[c])))
+        if not fresh.get(y):
+            area, found = _largest_above(top[y].tolist(), x_at, y_at, y)
+            fresh[y] = True
+            heapq.heappush(queue, (-area, y, found))
+            continue
+        a, b, c, d = found
+        out.append((x_at[a], y_at[c], x_at[b] - x_at[a], y_at[d] - y_at[c]))
         small[c:d, a:b] = True
+        top[:, a:b] = _above(small[:, a:b])
+        fresh = {row: ok for row, ok in fresh.items() if row < c}
+        if c and c - 1 not in {row for _, row, _ in queue}:  # now the rectangle is below this row
+            heapq.heappush(queue, (bound, c - 1, None))
+        heapq.heappush(queue, (bound, y, None))
     return out
 
 

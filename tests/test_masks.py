@@ -89,3 +89,18 @@ def test_white_rectangles_of_pages(spark):
     rows = [("p", 0.0, 0.1 * k, 0.4, 0.1 * k + 0.1) for k in range(10)] + [("p", 0.6, 0.1 * k, 1.0, 0.1 * k + 0.1) for k in range(10)]
     got = op.white_rectangles(spark.createDataFrame(rows, "doc_id string, minx double, miny double, maxx double, maxy double")).collect()
     assert [(r["nth"], r["kind"], round(r["x"], 2), round(r["w"], 2), r["h"]) for r in got] == [(1, "gutter", 0.4, 0.2, 1.0)]
+
+
+def test_rows_are_looked_at_again_only_under_their_bound(monkeypatch):
+    """Fifty lines with ragged ends, five rectangles: a row is not gone through once for each of them."""
+    rng = np.random.default_rng(4)
+    mask = np.zeros((300, 200), bool)
+    for k in range(50):
+        mask[6 * k : 6 * k + 4, 10 : int(rng.integers(60, 150))] = True
+    calls, look = [], op._largest_above
+    monkeypatch.setattr(op, "_largest_above", lambda *a: calls.append(a[-1]) or look(*a))
+    found = op.largest_rectangles(mask, 5)
+    right = int(mask.any(axis=0).nonzero()[0].max()) + 1
+    assert len(found) == 5 and found[0] == (right, 0, 200 - right, 300)
+    assert [w * h for _, _, w, h in found] == sorted((w * h for _, _, w, h in found), reverse=True)
+    assert len(calls) < 200  # of five times a hundred rows of cells
