@@ -9,8 +9,11 @@ with all; only a page's candidate regions meet one another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -218,36 +221,55 @@ def table_categories(regions: DataFrame, codes: DataFrame, inferences: DataFrame
 
 
 def word_centres(lines: DataFrame) -> DataFrame:
-    """Middles of a line's words, which share its width evenly: ``doc_id, n, k, x``, and the page's extent in x."""
+    """Middles of a line's words, which share its width evenly: ``doc_id, n, k, x``."""
     k = F.explode(F.sequence(F.lit(0), F.col("words") - 1))
-    page = W.partitionBy("doc_id")
-    rows = lines.select("doc_id", "n", "words", "minx", "maxx", F.min("minx").over(page).alias("rx"), F.round(F.max("maxx").over(page) - F.min("minx").over(page), 9).alias("rw")).select("*", k.alias("k"))
-    return rows.select("doc_id", "n", "k", "rx", "rw", F.round(F.col("minx") + (F.col("maxx") - F.col("minx")) * (F.col("k") + F.lit(0.5)) / F.col("words"), 9).alias("x"))
-
-
-def gutters(centres: DataFrame) -> DataFrame:
+    rows = lines.select("doc_id", "n", "words", "minx", "maxx", k.alias("k"))
+    return rows.select("doc_id", "n", "k", F.round(F.col("minx") + (F.col("maxx") - F.col("minx")) * (F.col("k") + F.lit(0.5)) / F.col("words"), 9).alias("x"))
+
+
+def _low_runs(pages: pa.Array) -> pa.Array:
+    """Runs (first and last bin) of each page's histogram of `BINS`, from an array of bins a page."""
+    n, edge, width = len(pages), int(EDGE * BINS), int(GUTTER * BINS)
+    page = np.repeat(np.arange(n), np.diff(pages.offsets.to_numpy()))
+    count = np.bincount(page * BINS + pages.flatten().to_numpy(), minlength=n * BINS).reshape(n, BINS)
+    side = np.pad(count, ((0, 0), (1, 1)), mode="edge")
+    smooth = side[:, :-2] + count + side[:, 2:]
+    low = smooth <= smooth.max(axis=1, keepdims=True, initial=0) * FLOOR
+    low[:, :edge], low[:, BINS - edge :] = False, False
+    step = np.diff(np.pad(low, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (at, first), (_, stop) = np.nonzero(step == 1), np.nonzero(step == -1)
+    wide = stop - first >= width
+    runs = pa.StructArray.from_arrays([pa.array(x[wide].astype(np.int32)) for x in (first, stop - 1)], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at[wide], np.arange(n + 1)), pa.int32()), runs)
+
+
+def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (``doc_id, rx, rw, bins``) that have a run, with their runs."""
+    for b in batches:
+        runs = _low_runs(b.column("bins"))
+        out = pa.RecordBatch.from_arrays([*b.columns[:3], runs], ["doc_id", "rx", "rw", "gutters"])
+        yield out.filter(pc.greater(pc.list_value_length(runs), 0))
+
+
+def gutters(lines: DataFrame) -> DataFrame:
     """``doc_id, rx, rw, gutters``: runs (first and last bin) of a page's histogram in x that hold under a tenth of its peak.
 
-    A page has 200 rows, whatever its words.
+    A page's lines are gathered in one row, which stays in its task; its words are numbers of bins there, never rows.
     """
-    bin_ = F.least(F.greatest(F.floor(F.round((F.col("x") - F.col("rx")) / F.col("rw") * BINS, 9)).cast("int"), F.lit(0)), F.lit(BINS - 1))
-    counts = centres.where(F.col("rw") >= WIDE).groupBy("doc_id", "rx", "rw", bin_.alias("bin")).agg(F.count("*").alias("n"))
-    pages = counts.groupBy("doc_id", "rx", "rw").agg(F.sum("n").alias("all")).where(F.col("all") >= 2 * COLUMN_WORDS)
-    every = pages.select("doc_id", "rx", "rw", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin")).join(counts, ["doc_id", "rx", "rw", "bin"], "left")
-    page = W.partitionBy("doc_id", "rx", "rw")
-    order = page.orderBy("bin")
-    n = F.coalesce("n", F.lit(0))
-    smooth = every.withColumn("n", n).withColumn("s", F.coalesce(F.lag("n").over(order), "n") + F.col("n") + F.coalesce(F.lead("n").over(order), "n"))
-    edge = int(EDGE * BINS)
-    low = smooth.withColumn("peak", F.max("s").over(page)).where((F.col("s") <= F.col("peak") * FLOOR) & F.col("bin").between(edge, BINS - edge - 1))
-    runs = low.withColumn("island", F.col("bin") - F.row_number().over(order)).groupBy("doc_id", "rx", "rw", "island").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
-    wide = runs.where(F.col("last") - F.col("first") + 1 >= int(GUTTER * BINS))
-    return wide.groupBy("doc_id", "rx", "rw").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gutters"))  # a dozen runs a page at most
-
-
-def columns(centres: DataFrame) -> DataFrame:
+    of = F.collect_list(F.struct("minx", "maxx", "words"))
+    p = lines.groupBy("doc_id").agg(F.min("minx").alias("rx"), F.max("maxx").alias("right"), of.alias("of"))  # the lines of one page
+    p = p.select("doc_id", "rx", F.round(F.col("right") - F.col("rx"), 9).alias("rw"), "of").where(F.col("rw") >= WIDE)
+    x = lambda v, k: F.round(v["minx"] + (v["maxx"] - v["minx"]) * (k + F.lit(0.5)) / v["words"], 9)
+    bin_ = lambda x: F.least(F.greatest(F.floor(F.round((x - F.col("rx")) / F.col("rw") * BINS, 9)).cast("int"), F.lit(0)), F.lit(BINS - 1))
+    bins = F.flatten(F.transform("of", lambda v: F.transform(F.sequence(F.lit(0), v["words"] - 1), lambda k: bin_(x(v, k)))))
+    b = p.select("doc_id", "rx", "rw", bins.alias("bins")).where(F.size("bins") >= 2 * COLUMN_WORDS)
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    return b.mapInArrow(_with_runs, f"doc_id {kind}, rx double, rw double, gutters array<struct<first:int,last:int>>")
+
+
+def columns(lines: DataFrame) -> DataFrame:
     """``doc_id, cuts``: x of the gutters' middles of pages that split, where every column keeps four words or more."""
-    cuts = gutters(centres)
+    centres, cuts = word_centres(lines), gutters(lines)
     cuts = cuts.select("doc_id", F.transform("gutters", lambda g: F.round(F.col("rx") + (g["first"] + g["last"]) / F.lit(2.0) / BINS * F.col("rw"), 9)).alias("cuts"))
     dealt = centres.join(cuts, "doc_id").groupBy("doc_id", "cuts", _column(F.col("x")).alias("column")).agg(F.count("*").alias("n"))
     full = dealt.groupBy("doc_id", "cuts").agg(F.count("*").alias("columns"), F.min("n").alias("least"))
@@ -260,7 +282,7 @@ def _column(x: Column) -> Column:
 
 def read_by_columns(lines: DataFrame) -> DataFrame:
     """Lines with their ``column`` and ``place`` in reading order: column by column, each from top to bottom."""
-    cuts = columns(word_centres(lines))
+    cuts = columns(lines)
     middle = F.round((F.col("minx") + F.col("maxx")) / 2, 9)
     placed = lines.join(cuts, "doc_id", "left").withColumn("column", _column(middle))
     return placed.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("column", "miny", "minx", "n")))
@@ -342,8 +364,8 @@ gut AS (SELECT doc_id, rx, rw, min(bin)::INT AS first_bin, max(bin)::INT AS last
 @register("w15_low_runs", oracle("v_layout", f"WITH {_GUTTERS} SELECT doc_id, first_bin, last_bin FROM gut"))
 def w15(spark, sf_dir):
     """Gutters of pages: runs of the smoothed histogram of word middles in 200 bins that stay under a tenth of its peak."""
-    g = gutters(word_centres(views.layout(spark, sf_dir)))
-    return g.select("doc_id", F.explode("gutters").alias("g")).select("doc_id", F.col("g.first").alias("first_bin"), F.col("g.last").alias("last_bin"))
+    g = gutters(views.layout(spark, sf_dir))
+    return g.select("doc_id", F.inline("gutters").alias("first_bin", "last_bin"))
 
 
 @register("t12_column_split", oracle("v_layout", f"""WITH {_GUTTERS},

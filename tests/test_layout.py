@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plansift.operators import layout as op
@@ -101,3 +103,23 @@ def test_categories_of_regions(spark):
     assert got == {
         "door": ("door-schedule", 0.99, False), "indoor": ("material-schedule", 0.55, False), "keys": ("keynote-table", 0.45, True), "notes": ("general-notes", 0.65, False), "spec": ("spec-text", 0.3, False), "finish": ("finish-schedule", 0.4, False),
     }
+
+
+def test_gutters_hold_a_page_in_one_row(spark, sf_dir):
+    """Words never become rows: no windows, joins or sorts over them, and a page's histogram is that of a plain loop."""
+    from plansift.plans.registry import queries
+
+    plan = queries()["w15_low_runs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "SortMergeJoin", "BroadcastHashJoin")) and plan.count("Exchange hashpartitioning(doc_id") == 1
+    rng = np.random.default_rng(5)
+    pages = [np.concatenate([rng.integers(0, a, 60), rng.integers(b, 200, 60)]).tolist() for a, b in ((70, 90), (80, 84), (5, 195), (100, 100), (60, 140))] + [[], [7] * 9]
+    got = op._low_runs(pa.array([None, *pages], pa.list_(pa.int32())).slice(1)).to_pylist()
+    for bins, runs in zip(pages, got, strict=True):
+        n = [bins.count(k) for k in range(200)]
+        s = [n[max(k - 1, 0)] + n[k] + n[min(k + 1, 199)] for k in range(200)]
+        low, want = [10 <= k < 190 and s[k] <= max(s) * 0.1 for k in range(200)] + [False], []
+        for k in range(200):
+            if low[k] and not low[k - 1]:
+                end = low.index(False, k)
+                want += [{"first": k, "last": end - 1}] if end - k >= 6 else []
+        assert runs == want
