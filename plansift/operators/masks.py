@@ -131,13 +131,18 @@ def _largest_above(top: list[int], xs: list[int], ys: list[int], y: int) -> tupl
 
 def largest_rectangles(mask: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """``x, y, w, h`` of the ``k`` largest rectangles of cells that are not set, one after the other, each set before the
-    next is looked for.  Equal neighbouring rows and columns count as one, with their number as its size.
+    next is looked for.  Equal neighbouring rows and columns count as one, with their number as its size."""
+    xs, ys = _edges(mask)
+    return _largest_of(mask[np.ix_(ys[:-1], xs[:-1])].copy(), xs, ys, k)
+
+
+def _largest_of(small: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """`largest_rectangles` of cells between edges ``xs`` and ``ys``, which it sets.
 
     What is set later only makes a row's largest rectangle smaller, so its earlier area is a bound: a row is looked at again
     only when no other row's bound is above it.  Of equal areas the one that ends first counts.
     """
-    xs, ys = _edges(mask)
-    small, out = mask[np.ix_(ys[:-1], xs[:-1])].copy(), []
+    out: list[tuple[int, int, int, int]] = []
     if not small.size:
         return out
     x_at, y_at, top = xs.tolist(), ys.tolist(), _above(small)
@@ -172,12 +177,15 @@ def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
     return next(iter(largest_rectangles(mask, 1)), (0, 0, 0, 0))
 
 
-def _rasterised(boxes: np.ndarray, width: int, height: int) -> np.ndarray:
-    mask = np.zeros((height, width), bool)
+def _rasterised(boxes: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A page's mask, as cells between the edges of its boxes, and these edges."""
     edge = lambda v, n, f: np.clip(f(np.round(v * n, 6)).astype(int), 0, n)
-    for a, b, c, d in zip(edge(boxes[:, 0], width, np.floor), edge(boxes[:, 1], height, np.floor), edge(boxes[:, 2], width, np.ceil), edge(boxes[:, 3], height, np.ceil), strict=True):
-        mask[b:d, a:c] = True
-    return mask
+    a, b, c, d = edge(boxes[:, 0], width, np.floor), edge(boxes[:, 1], height, np.floor), edge(boxes[:, 2], width, np.ceil), edge(boxes[:, 3], height, np.ceil)
+    xs, ys = np.unique(np.r_[0, a, c, width]), np.unique(np.r_[0, b, d, height])
+    cells = np.zeros((len(ys) - 1, len(xs) - 1), bool)
+    for x, y, u, v in zip(*(np.searchsorted(e, at).tolist() for e, at in ((xs, a), (ys, b), (xs, c), (ys, d))), strict=True):
+        cells[y:v, x:u] = True
+    return cells, xs, ys
 
 
 def white_rectangles(lines: DataFrame, k: int = RECTANGLES, width: int = MASK_WIDTH, height: int = MASK_HEIGHT, least: float = LEAST_AREA) -> DataFrame:
@@ -189,8 +197,8 @@ def white_rectangles(lines: DataFrame, k: int = RECTANGLES, width: int = MASK_WI
         for b in batches:
             out = []
             for page, boxes in zip(b.column("doc_id").to_pylist(), b.column("b"), strict=True):
-                mask = _rasterised(np.array(boxes.values).reshape(-1, 4), width, height)
-                kept = [r for r in largest_rectangles(mask, k) if r[2] * r[3] >= least * width * height]
+                cells = _rasterised(np.array(boxes.values).reshape(-1, 4), width, height)
+                kept = [r for r in _largest_of(*cells, k) if r[2] * r[3] >= least * width * height]
                 out += [(page, n, x / width, y / height, w / width, h / height, w * h, "gutter" if h / max(w, 1) >= TALL else "paragraph-break") for n, (x, y, w, h) in enumerate(kept, 1)]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
