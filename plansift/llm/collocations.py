@@ -8,6 +8,7 @@ first pair, rank of its last word); so on for longer ones.
 A phrase can reach the least count only if all its parts do, so rarer words and phrases are left out of the next count.
 The ranks that tasks hold are bounded (`RANKED` words, `RANKED_PHRASES` phrases of each length); words and phrases that
 are frequent but not ranked go by their text through the same counts, after a filter of fixed size that only spares work.
+The filter is asked by keys that follow from those of the parts: a phrase becomes text only once it has passed and is counted.
 
 Scale: texts are read once per phrase length and never shuffled.  Counts of a portion are combined in the task and then
 summed by cell, so a frequent word or pair is one row a portion; candidates meet the counts of their parts in equi-joins.
@@ -86,16 +87,37 @@ class Ranks(NamedTuple):
     words: pa.Array | None  # of length one: words by rank
     codes: np.ndarray  # of longer ones: cells in order, ...
     rank: np.ndarray  # ... and their ranks
-    more: np.ndarray | None  # bits of all frequent ones, where some have no rank
+    more: np.ndarray | None  # bits of the frequent ones without a rank, if any
+    keys: np.ndarray = np.zeros(0, np.uint64)  # of length one: hashes of the words by rank
 
     @property
     def n(self) -> int:
         return len(self.rank) if self.words is None else len(self.words)
 
 
-def _maybe(more: np.ndarray, lang: str, texts: list[str]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang, 42)
-    return in_filter(more, np.array([xxhash.xxh64_intdigest(t, seed) for t in texts], np.uint64))
+_LOW = 0xFFFFFFFF
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+
+
+def chained(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of 64-bit integers, each with its seed: how ``xxhash64`` goes on from one column to a long one."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    turned = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    h = (seeds + (p5 + np.uint64(8))) ^ turned(keys * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()], np.uint64)
+
+
+def _key(size: int) -> Column:
+    """The key of a phrase, the same as `Portion.keys`: language and hashes of its words, one after the other."""
+    words = F.split("phrase", " ", -1)
+    return F.xxhash64("lang", *(F.xxhash64(words[k]) for k in range(size)))
 
 
 class Portion:
@@ -103,37 +125,48 @@ class Portion:
 
     def __init__(self, lang: str, texts: list[bytes], levels: list[Ranks]) -> None:
         self.lang, self.levels = lang, levels
-        self.own: list[list[str]] = []
-        words = tokens(texts)
+        self.seed = np.array([xxhash.xxh64_intdigest(lang, 42)], np.uint64)
+        words, ranks = tokens(texts), levels[0]
         names = words.dictionary
-        ids = pc.index_in(names, levels[0].words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = pc.index_in(names, ranks.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         lost = np.flatnonzero(ids < 0)
-        if levels[0].more is not None and len(lost):
-            left = names.take(pa.array(lost)).to_pylist()
-            found = np.flatnonzero(_maybe(levels[0].more, lang, left) & np.array([t != "." for t in left]))
-            ids[lost[found]] = levels[0].n + np.arange(len(found))
-            self.own.append([left[i] for i in found])
-        else:
-            self.own.append([])
+        #: By id, beyond the ranks: texts of words, cells of longer phrases.
+        self.own: list = [names.slice(0, 0)]
+        self.hashes = ranks.keys
+        if ranks.more is not None and len(lost):
+            left = names.take(pa.array(lost))
+            hashes = _hashes(left)
+            real = pc.not_equal(left, ".").to_numpy(zero_copy_only=False)
+            found = np.flatnonzero(in_filter(ranks.more, chained(hashes, self.seed)) & real)
+            ids[lost[found]] = ranks.n + np.arange(len(found))
+            self.own[0] = left.take(pa.array(found))
+            self.hashes = np.concatenate([ranks.keys, hashes[found]])
         self.words = ids.astype(np.int32)[words.indices.to_numpy()]
         self.phrases = [self.words]
         for _ in levels[1:]:
             self._next()
 
-    def text(self, level: int, i: int) -> str:
-        """The words of an id."""
+    def _cells(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """The first parts and last words of phrases, by their ids."""
         ranks = self.levels[level]
-        if i >= ranks.n:
-            return self.own[level][i - ranks.n]
+        by_rank = np.empty(ranks.n + len(self.own[level]), np.int64)
+        by_rank[ranks.rank], by_rank[ranks.n :] = ranks.codes, self.own[level]
+        return by_rank[ids]
+
+    def keys(self, level: int, code: np.ndarray) -> np.ndarray:
+        """Keys of phrases of this level: of words by their ids, of longer ones by their cells."""
         if level == 0:
-            return ranks.words[i].as_py()
-        code = int(self._by_rank(level)[i])
-        return f"{self.text(level - 1, code >> 32)} {self.text(0, code & 0xFFFFFFFF)}"
+            return chained(self.hashes[code], self.seed)
+        first = code >> 32
+        return chained(self.hashes[code & _LOW], self.keys(level - 1, self._cells(level - 1, first) if level > 1 else first))
 
-    def _by_rank(self, level: int) -> np.ndarray:
-        out = np.empty_like(self.levels[level].codes)
-        out[self.levels[level].rank] = self.levels[level].codes
-        return out
+    def texts(self, level: int, code: np.ndarray) -> pa.Array:
+        """The words of phrases of this level, told as in `keys`."""
+        if level == 0:
+            return pa.concat_arrays([self.levels[0].words, self.own[0]]).take(pa.array(code))
+        first = code >> 32
+        parts = self.texts(level - 1, self._cells(level - 1, first) if level > 1 else first), self.texts(0, code & _LOW)
+        return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where phrases one word longer than the longest so far may stand, their first parts and last words."""
@@ -159,26 +192,22 @@ class Portion:
             hit = ranks.codes[found] == asked
             known[order] = hit
             ids[order[hit]] = ranks.rank[found[hit]]
-        self.own.append([])
-        if ranks.more is not None and not known.all():
-            left, back = np.unique(code[~known], return_inverse=True)
-            texts = [f"{self.text(level - 1, int(c) >> 32)} {self.text(0, int(c) & 0xFFFFFFFF)}" for c in left]
-            maybe = _maybe(ranks.more, self.lang, texts)
-            new = np.where(maybe, ranks.n + np.cumsum(maybe) - 1, -1)
-            ids[~known] = new[back]
-            self.own[level] = [t for t, m in zip(texts, maybe, strict=True) if m]
+        self.own.append(np.zeros(0, np.int64))
+        if ranks.more is not None:
+            left = np.flatnonzero(~known)
+            left = left[in_filter(ranks.more, self.keys(level, code[left]))]
+            self.own[level], back = np.unique(code[left], return_inverse=True)
+            ids[left] = ranks.n + back
         out = np.full(len(self.words), -1, np.int32)
         out[at] = ids
         self.phrases.append(out)
 
-    def counts(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[list[str], np.ndarray]]:
+    def counts(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]:
         """Cells of ranked parts with their counts, and the texts of the other phrases with theirs."""
         _, first, last = self.pairs()
         code, n = tile_counts(first, last)
-        ranked = ((code >> 32) < self.levels[-1].n) & ((code & 0xFFFFFFFF) < self.levels[0].n)
-        level = len(self.phrases) - 1
-        texts = [f"{self.text(level, int(c) >> 32)} {self.text(0, int(c) & 0xFFFFFFFF)}" for c in code[~ranked]]
-        return (code[ranked], n[ranked]), (texts, n[~ranked])
+        ranked = ((code >> 32) < self.levels[-1].n) & ((code & _LOW) < self.levels[0].n)
+        return (code[ranked], n[ranked]), (self.texts(len(self.phrases), code[~ranked]), n[~ranked])
 
 
 def _portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -238,8 +267,8 @@ def _count_phrases(levels, size: int) -> Callable:
 
         for lang, texts in _portions(batches, size):
             ranked, (others, n) = Portion(lang, texts, [_of(x, lang, k) for k, x in enumerate(held)]).counts()
-            if others:
-                yield _rows(lang, pa.nulls(len(others), pa.int64()), pa.array(others, pa.string()), pa.array(n))
+            if len(others):
+                yield _rows(lang, pa.nulls(len(others), pa.int64()), others.cast(pa.string()), pa.array(n))
             runs.setdefault(lang, []).append(ranked)
             if sum(len(code) for r in runs.values() for code, _ in r) > 2 * CELLS:
                 yield from passed_on(CELLS)
@@ -251,7 +280,8 @@ def _count_phrases(levels, size: int) -> Callable:
 def _of(level: tuple[dict, np.ndarray | None], lang: str, k: int) -> Ranks:
     ranked, more = level
     none = np.zeros(0, np.int64)
-    return Ranks(*ranked.get(lang, (None if k else pa.array([], pa.large_string()), none, none)), more)
+    words, codes, rank, *keys = ranked.get(lang, (None if k else pa.array([], pa.large_string()), none, none))
+    return Ranks(words, codes, rank, more, *keys)
 
 
 def _name_phrases(levels) -> Callable:
@@ -282,33 +312,35 @@ def _name_phrases(levels) -> Callable:
     return run
 
 
-def _most(table: DataFrame, limit: int) -> DataFrame:
-    """The most frequent rows, no more than ``limit``: those over a count that a histogram of the counts gives."""
+def _most(table: DataFrame, limit: int) -> Column:
+    """Which rows are the most frequent, no more than ``limit``: those over a count that a histogram of the counts gives."""
     step = F.floor(F.log2("n") * 16)
     left, least = limit, None
     for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).toLocalIterator():
         left -= r["rows"]
         if left < 0:
-            return table.where(step >= least) if least is not None else table.limit(0)
+            return step >= least if least is not None else F.lit(False)
         least = r["step"]
-    return table
+    return F.lit(True)
 
 
-def _ranks(table: DataFrame, n_rows: int, limit: int) -> tuple[dict, np.ndarray | None]:
-    """Ranks for each language of a level: at most ``limit`` rows; the filter, where that leaves some out."""
-    words = "code" not in table.columns
+def _ranks(table: DataFrame, n_rows: int, limit: int, size: int) -> tuple[dict, np.ndarray | None]:
+    """Ranks for each language of phrases of ``size`` words: at most ``limit`` rows; the filter of those left out, if any."""
+    words = size == 1
     ok = F.octet_length("phrase") <= LONG_WORD if words else F.col("code").isNotNull()
-    got = _most(table.where(ok), limit).select("lang", "phrase" if words else "code", "n").toArrow()
+    most = ok & _most(table.where(ok), limit)
+    got = table.where(most).select("lang", "phrase" if words else "code", "n").toArrow()
     out: dict[str, tuple] = {}
     for lang in pc.unique(got["lang"]).to_pylist():
         t = got.filter(pc.equal(got["lang"], lang)).sort_by([("n", "descending"), ("phrase" if words else "code", "ascending")])
         if words:
-            out[lang] = (t["phrase"].combine_chunks().cast(pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            names = t["phrase"].combine_chunks().cast(pa.large_string())
+            out[lang] = (names, np.zeros(0, np.int64), np.zeros(0, np.int64), _hashes(names))
         else:
             codes = t["code"].to_numpy()
             order = np.argsort(codes)
             out[lang] = (None, codes[order], order)
-    more = None if got.num_rows == n_rows else bit_filter(table.select(F.xxhash64("lang", "phrase").alias("h")), "h")
+    more = None if got.num_rows == n_rows else bit_filter(table.where(~most).select(_key(size).alias("h")), "h")
     return out, more
 
 
@@ -320,14 +352,14 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, ranked: int, ranked
     words = summed(rows.mapInArrow(_count_words(portion), COUNTS), ["lang", "phrase"])
     words = saved(words.where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
     tables = [words.where("phrase IS NOT NULL")]
-    levels = [_ranks(tables[0], tables[0].count(), ranked)]
+    levels = [_ranks(tables[0], tables[0].count(), ranked, 1)]
     for _ in range(longest - 1):
         held = spark.sparkContext.broadcast(levels)
         cells = summed(rows.mapInArrow(_count_phrases(held, portion), COUNTS), ["lang", "code", "phrase"]).where(F.col("n") >= least)
         named = saved(cells.select("lang", "code", "phrase", "n").mapInArrow(_name_phrases(held), COUNTS), "phrases")
         tables.append(named)
         if len(tables) < longest:
-            levels = [*levels, _ranks(named, named.count(), ranked_phrases)]
+            levels = [*levels, _ranks(named, named.count(), ranked_phrases, len(tables))]
     return words.where("phrase IS NULL").select("lang", F.col("n").alias("total")), [t.select("lang", "phrase", "n") for t in tables]
 
 

@@ -113,3 +113,33 @@ def test_a_task_holds_a_bounded_part(spark):
     assert total == 100 * 29_999
     _, mb = peak(lambda: op._count_phrases(held, op.PORTION)(iter([batch])))
     assert mb < 160
+
+
+def test_rare_phrases_stay_numbers(spark, monkeypatch):
+    """Where some frequent phrases have no rank, a task hashes words only: no rare pair is told by its text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    names = np.array([f"w{i}" for i in range(400)])
+    rows = [("en", " ".join(rng.choice(names, 200)) + " . often seen here" + " . odd one" * (i < 12)) for i in range(100)]
+    levels, made = [], op._count_phrases
+    monkeypatch.setattr(op, "_count_phrases", lambda held, size: levels.append(held.value) or made(held, size))
+    got = op.collocations(spark.createDataFrame(rows, "lang string, text string"), ranked=380, ranked_phrases=3)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    monkeypatch.undo()
+    assert len(levels) == 2 and all(more is not None for _, more in levels[1])
+    hashed, digest = [], op.xxhash.xxh64_intdigest
+    monkeypatch.setattr(op.xxhash, "xxh64_intdigest", lambda x, seed: hashed.append(x) or digest(x, seed))
+    held = type("Held", (), {"value": levels[1]})
+    batch = pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in rows], "text": [text for _, text in rows]})
+    assert sum(b.num_rows for b in made(held, op.PORTION)(iter([batch]))) > 0
+    assert len(hashed) <= len(names) + 6 * len(levels[1])
+
+
+def test_keys_are_those_of_spark(spark):
+    words = ["a", "日本", "x" * 100]
+    want = spark.createDataFrame([("en", "a 日本 " + "x" * 100)], "lang string, phrase string").select(*(op._key(k).alias(f"k{k}") for k in (1, 2, 3))).first()
+    key, hashes = np.array([op.xxhash.xxh64_intdigest("en", 42)], np.uint64), op._hashes(op.pa.array(words))
+    for k in range(3):
+        key = op.chained(hashes[k : k + 1], key)
+        assert key.astype(np.int64)[0] == want[k]
