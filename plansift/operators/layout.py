@@ -3,8 +3,9 @@
 Lines (``doc_id, n, text, words`` and their box; ``doc_id`` names a page) become candidate regions by two sweeps in order:
 lines whose x ranges meet, directly or through others, form a band as long as each starts before the running right edge;
 a band is cut where a line starts too far below the running bottom.  Candidates that overlap are merged as components.
-Lines are dealt out once, by page: each step is a window over one page's lines in order, and none compares all lines of a page
-with all; only a page's candidate regions meet one another.
+Lines are dealt out once, by page, and stream in order of pages: each step follows from the lines before, for many pages at once, and
+none compares all lines of a page with all; only a page's candidate regions meet one another.  `candidates` and `merged` are the same
+steps as windows and rows, for queries that ask for them alone.
 """
 
 from __future__ import annotations
@@ -75,17 +76,23 @@ def _roots(pages: pa.Array) -> pa.Array:
     Boxes of all pages of a batch meet those one, two, ... places on, so that no more than a row a box is held.
     """
     sizes = np.diff(pages.offsets.to_numpy())
-    flat, ends = pages.flatten(), np.repeat(np.cumsum(sizes), sizes)
-    x, y, u, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy"))
+    flat = pages.flatten()
+    roots = _tops(sizes, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("minx", "miny", "maxx", "maxy")))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), flat.field("det_id").take(pa.array(roots)))
+
+
+def _tops(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For boxes of pages of these sizes, the place of the first that each is merged with."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
     area = (u - x) * (v - y)
-    parent = list(range(len(flat)))
+    parent = list(range(len(x)))
 
     def top(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    i, step = np.arange(len(flat)), 1
+    i, step = np.arange(len(x)), 1
     while len(i := i[i + step < ends[i]]):
         j = i + step
         both = np.maximum(np.minimum(u[i], u[j]) - np.maximum(x[i], x[j]), 0.0) * np.maximum(np.minimum(v[i], v[j]) - np.maximum(y[i], y[j]), 0.0)
@@ -97,8 +104,7 @@ def _roots(pages: pa.Array) -> pa.Array:
             a, b = top(a), top(b)
             parent[max(a, b)] = min(a, b)
         step += 1
-    roots = flat.field("det_id").take(pa.array([top(k) for k in parent], pa.int64()))
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), roots)
+    return np.array([top(k) for k in parent], np.int64)
 
 
 def merged(pieces: DataFrame) -> DataFrame:
@@ -116,26 +122,123 @@ def _tier(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(w)), w) for w in sorted(words, key=lambda w: -len(w))))
 
 
+def _nine(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e9 + 0.5) / 1e9
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Rows at which a group of neighbours with equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _before(group: np.ndarray, new: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The greatest of the rows before, within groups that stand one after the other; a group's first row has minus infinity."""
+    values, place = np.unique(x, return_inverse=True)
+    most = np.maximum.accumulate(group * len(values) + place) - group * len(values)
+    return np.where(new, -np.inf, values[np.r_[0, most[:-1]]])
+
+
+def _medians(group: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    x, first = x[np.lexsort((x, group))], np.cumsum(sizes) - sizes
+    return 0.5 * x[first + (sizes - 1) // 2] + 0.5 * x[first + sizes // 2]
+
+
+_REGIONS = ", region string, minx double, miny double, maxx double, maxy double, words long, lines long, numbered long, columns long, right double, section boolean, header string, told string, body string"
+
+
+def _page_regions(lines: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Merged regions of whole pages, each page's lines one after the other: one row a region of five words or more."""
+    page = np.cumsum(_starts(lines["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy())) - 1
+    keep = np.flatnonzero(np.bincount(page)[page] >= LEAST)
+    if not len(keep):
+        return
+    page = np.unique(page[keep], return_inverse=True)[1]
+    n, x, y, u, v, height, words, numbered, section = (lines[c].to_numpy()[keep] for c in ("n", "minx", "miny", "maxx", "maxy", "height", "words", "numbered", "section"))
+    # bands from left to right, then pieces of a band from top to bottom
+    gap = _nine(_medians(page, height, np.bincount(page)) * GAP)
+    order = np.lexsort((n, x, page))
+    new = _starts(page[order])
+    band = np.empty(len(page), np.int64)
+    band[order] = np.cumsum(new | (x[order] > _before(page[order], new, u[order])))
+    order = np.lexsort((n, x, y, band))
+    keep, page, band, n, x, y, u, v, height, words, numbered, section = (a[order] for a in (keep, page, band, n, x, y, u, v, height, words, numbered, section))
+    new = _starts(band)
+    cut = new | (_nine(y - _before(band, new, v)) > gap[page])
+    at, piece = np.flatnonzero(cut), np.cumsum(cut) - 1
+    boxes = [f.reduceat(a, at) for f, a in ((np.minimum, x), (np.minimum, y), (np.maximum, u), (np.maximum, v))]
+    root = _tops(np.bincount(page[at]), *boxes)
+    # lines by region, in order of their pieces
+    region = root[piece]
+    order = np.argsort(region, kind="stable")
+    keep, n, x, y, u, v, height, words, numbered, section, region = (a[order] for a in (keep, n, x, y, u, v, height, words, numbered, section, region))
+    new = _starts(region)
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    sizes, top = np.bincount(of), region[at]
+    nth = np.arange(len(of)) - at[of]
+    text = lines["text"].combine_chunks().take(pa.array(keep))
+    by_left = np.lexsort((n, x, of))
+    far = np.r_[0.0, _nine(np.diff(x[by_left]))]
+    step = np.cumsum(new | (far > COLUMN))
+    column = np.empty(len(of), np.int64)
+    column[by_left] = step - step[at][of] + 1
+    columns = step[at + sizes - 1] - step[at] + 1
+    last = column == columns[of]
+    width = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+    right = _nine(np.bincount(of[last], width[last], len(at)) / np.bincount(of[last], minlength=len(at)))
+    tall = np.flatnonzero(height >= _nine(_medians(of, height, sizes) * HEADER)[of])
+    heads = np.full(len(at), -1)
+    heads[of[tall][::-1]] = tall[::-1]
+    total = np.bincount(of, words, len(at)).astype(np.int64)
+    joined = lambda own: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of[own], minlength=len(at)))], pa.int32()), text.filter(pa.array(own))), " ")
+    first = np.flatnonzero(_starts(page))  # of a page's lines
+    names = band - band[first][page] + 1
+    names, pieces = names[np.flatnonzero(cut)][top], (piece - piece[np.flatnonzero(_starts(band))][np.cumsum(_starts(band)) - 1] + 1)[np.flatnonzero(cut)][top]
+    called = pa.array([f"{b:06}.{p:06}" for b, p in zip(names.tolist(), pieces.tolist(), strict=True)], pa.string())
+    ends = [f.reduceat(a, at) for f, a in ((np.minimum, x), (np.minimum, y), (np.maximum, u), (np.maximum, v))]
+    counts = [total, sizes, np.bincount(of[numbered], minlength=len(at)), columns]
+    out = [
+        lines["doc_id"].combine_chunks().take(pa.array(keep[at])), called, *map(pa.array, ends), *(pa.array(c, pa.int64()) for c in counts), pa.array(right), pa.array(np.bincount(of[section], minlength=len(at)) > 0),
+        text.take(pa.array(heads, mask=heads < 0)), joined(nth < TIER_LINES), pc.utf8_slice_codeunits(joined(nth >= 0), 0, BODY),
+    ]
+    names = ["doc_id", *(f.split()[0] for f in _REGIONS[2:].split(", "))]
+    yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(total >= LEAST))
+
+
+def _by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_page_regions` of the pages that are whole; the last page of what has come waits for its next lines."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        ids = b.column("doc_id").dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(ids != ids[-1]) if len(ids) else ids
+        whole = first[-1] + 1 if len(first) else 0
+        if held and b.num_rows and (whole or held[-1].column("doc_id")[-1] != b.column("doc_id")[0]):
+            yield from _page_regions(pa.Table.from_batches([*held, b.slice(0, whole)]))
+            held = []
+        elif whole:
+            yield from _page_regions(pa.Table.from_batches([b.slice(0, whole)]))
+        if b.num_rows:
+            held.append(b.slice(whole))
+    if held:
+        yield from _page_regions(pa.Table.from_batches(held))
+
+
 def analysed(lines: DataFrame) -> DataFrame:
-    """Lines of merged regions (``region``) to one row a region: extent, words, numbered lines, header, columns, keywords."""
-    at = W.partitionBy("doc_id", "region")
-    order, by_left = at.orderBy("band", "piece", "miny", "minx", "n"), at.orderBy("minx", "n")
-    height = F.round(F.col("maxy") - F.col("miny"), 9)
-    far = F.round(F.col("minx") - F.lag("minx").over(by_left), 9)
-    rows = lines.select(
-        "*", F.row_number().over(order).alias("nth"), far.alias("far"), height.alias("height"), F.round(F.percentile(height, F.lit(0.5)).over(at) * HEADER, 9).alias("tall"),
-        F.split("text", " ")[0].rlike(NUMBERED_ITEM).alias("numbered"), F.upper("text").rlike(SECTION).alias("section"),
-    )
-    rows = rows.withColumn("column", F.sum(F.when(F.col("far").isNull() | (F.col("far") > COLUMN), 1).otherwise(0)).over(by_left))
-    rows = rows.withColumn("columns", F.max("column").over(at))
-    last = F.when(F.col("column") == F.col("columns"), F.char_length("text"))
-    told = F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"])  # the lines of one page at most
-    g = rows.groupBy("doc_id", "region").agg(
-        *_extent(), F.sum("words").alias("words"), F.count("*").alias("lines"), F.count_if("numbered").alias("numbered"), F.max("columns").alias("columns"), F.round(F.avg(last), 9).alias("right"),
-        F.bool_or("section").alias("section"), F.min_by("text", F.when(F.col("height") >= F.col("tall"), F.col("nth"))).alias("header"), told.alias("told"),
-    ).where(F.col("words") >= LEAST)
-    text = upper(F.concat_ws("\n", "header", F.array_join(F.slice("told", 1, TIER_LINES), " ")))
-    g = g.withColumn("body", F.substring(F.array_join("told", " "), 1, BODY))
+    """Lines to one row a merged region (``region``) of their pages: extent, words, numbered lines, header, columns, keywords.
+
+    Lines are dealt out by page and stream in order of pages; what follows from the lines before is told there, many pages at once.
+    """
+    # the expression of sections is asked only where one of its words stands
+    loud = F.upper("text")
+    section = F.when(loud.contains("PART") | loud.contains("SECTION"), loud.rlike(SECTION)).otherwise(False)
+    marks = (F.round(F.col("maxy") - F.col("miny"), 9).alias("height"), F.substring_index("text", " ", 1).rlike(NUMBERED_ITEM).alias("numbered"), section.alias("section"))
+    own = lines.where((F.trim("text") != "") & F.col("doc_id").isNotNull()).select("doc_id", "n", "text", F.col("words").cast("double").alias("words"), "minx", "miny", "maxx", "maxy", *marks)
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    g = own.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_by_page, f"doc_id {kind}{_REGIONS}")
+    # in upper case once, before regions are dealt out for their keywords, in even portions whatever pages a task had
+    g = g.withColumn("told", upper(F.concat_ws("\n", "header", "told"))).repartition("doc_id", "region")
+    text = F.col("told")
     return g.select("*", _tier(text, FAMILIES).alias("family"), _tier(text, KINDS).alias("kind"), _tier(text, TRADES).alias("trade")).drop("told")
 
 
@@ -162,11 +265,7 @@ def classified(regions: DataFrame) -> DataFrame:
 
 def text_regions(lines: DataFrame) -> DataFrame:
     """The classified text regions of pages."""
-    parts = candidates(lines).withColumn("det_id", _name())
-    own = [c for c in parts.columns if c not in ("doc_id", "det_id")]
-    # a piece keeps its lines, which are of one page: they are not dealt out or joined again
-    boxes = parts.groupBy("doc_id", "det_id").agg(*_extent(), F.collect_list(F.struct(*own)).alias("of"))
-    return classified(analysed(merged(boxes).select("doc_id", "det_id", F.col("root").alias("region"), F.inline("of"))))
+    return classified(analysed(lines))
 
 
 #: Categories of tables with the words that all must stand in them, those of which one speaks for it, the type

@@ -85,3 +85,46 @@ def test_groups_of_words_are_dealt_out_as_sums(spark, sf_dir):
                     docs.setdefault(g, set()).add(doc)
     got = {(r["n"], r["gram"]): (r["times"], r["docs"]) for r in line_grams(spark.createDataFrame(texts, "doc_id long, text string"), least=1).collect()}
     assert got == {g: (n, len(docs[g] - {None})) for g, n in times.items()}
+
+
+def test_region_categories_sort_no_windows_and_deal_no_words(spark, sf_dir):
+    plan = queries()["r08_region_categories"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode(filter(split(text" not in plan and "collect_list" not in plan
+
+
+def test_codes_are_found_within_a_texts_row(spark, monkeypatch):
+    from plansift.operators import taxonomy as op
+    from plansift.plans import views
+
+    codes = [("c1", "a b"), ("c2", "b"), ("c3", "a-b a"), ("c4", "a b"), ("c5", ""), ("c6", None), ("c7", "x  y"), ("c8", "été b c d e f")]
+    texts = [(1, "A b a\tB"), (2, "b"), (3, None), (4, ""), (5, " x y "), (6, "a"), (7, "Été B c D\ne f a"), (8, "été b c d e"), (None, "a b"), (2, "a b a")]
+    tax = spark.createDataFrame(codes, "code string, description string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = set()
+    for doc, text in texts:
+        w = (text or "").lower().split()
+        for code, d in codes:
+            p = (d or "").replace("-", " ").split(" ")
+            if doc is not None and any(w[i : i + len(p)] == p for i in range(len(w))):
+                want.add((doc, code))
+    got = [tuple(r) for r in op.text_hits(docs, tax).select("doc_id", "code").collect()]
+    assert set(got) == want and len(got) == len(want) > 8
+    assert {tuple(r) for r in op.phrase_hits(views.word_of(docs), tax).collect()} >= want - {(2, c) for c in ("c1", "c3", "c4")}
+    monkeypatch.setattr(op, "HELD", 3)
+    assert "ArrowEvalPython" not in op.text_hits(docs, tax)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_meet_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from plansift.operators import layout as op
+
+    rng = np.random.default_rng(2)
+    rows = [(f"p{p}", k, f"1. some words {k}", 4.0, float(x), float(y), float(x) + 0.3, float(y) + 0.02, 0.02, True, False) for p in range(9) for k, (x, y) in enumerate(np.round(rng.random((int(rng.integers(1, 40)), 2)), 3))]
+    whole = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "n", "text", "words", "minx", "miny", "maxx", "maxy", "height", "numbered", "section"), r, strict=True)) for r in rows])
+    one = pa.Table.from_batches(op._by_page(iter([whole])))
+    for size in (1, 7, 30):
+        cut = op._by_page(iter([whole.slice(k, size) for k in range(0, whole.num_rows, size)]))
+        assert pa.Table.from_batches(cut).to_pylist() == one.to_pylist() and one.num_rows > 5
+    assert list(op._by_page(iter([whole.slice(0, 0)]))) == [] and list(op._by_page(iter([whole.slice(0, 2)]))) == []
