@@ -5,9 +5,11 @@ walks the tree through a priority queue, best centroid first, and its first leav
 set of queries is answered exactly against all rows, and leaf visits are widened until those answers would have been
 found at the wanted recall; a query whose leaves hold too few rows gets more.
 
-Scale: the tree (at most ``max_leaves`` leaves) goes to every task.  Rows of a large leaf, and queries that meet in one,
-are split into blocks; a cell of the search is one block of rows with one block of queries, both bounded, so neither a
-leaf with a third of all rows nor a popular one lands in one task.  Per query and cell at most ``k`` rows go on.
+Scale: the tree (at most ``MAX_LEAVES`` leaves) goes to every task.  Leaves that lie together form groups of a bounded
+number of rows, and rows of a larger leaf are split into blocks; queries are split into blocks too.  A cell of the search
+is one group or block of rows with one block of queries, so neither a leaf with a third of all rows nor a popular one lands
+in one task.  A query goes to a cell once, with the list of those of its leaves that are there, not once a leaf, and
+per query and cell at most ``k`` rows go on.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ LEAF_ROWS = 256
 MAX_LEAVES = 2048
 BRANCHES = 8
 RECALL = 0.94
-ROW_BLOCK, QUERY_BLOCK = 2048, 2048
+ROW_BLOCK, QUERY_BLOCK = 8192, 8192
+#: Products of rows and queries that a task holds at a time, and queries whose leaves it lists before they go on.
+PRODUCTS, WALKED = 1 << 20, 256
 
 
 class Tree(NamedTuple):
@@ -111,24 +115,45 @@ def visits(tree: Tree, query: np.ndarray) -> Iterator[int]:
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(
+    x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, seen: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's ``k`` largest inner products, best first, ties to smaller ids, its own id left out.
 
-    A matrix product tells who can be among them, its rounding allowed for; those are scored again in one fixed order
-    of summing, so that equal vectors tie wherever they stand.
+    ``seen``: each row's leaf, as a place, and for each query and place whether it searches that leaf; without, it searches
+    all.  A matrix product tells who can be among them, its rounding allowed for; those are scored again in one fixed order
+    of summing, so that equal vectors tie wherever they stand.  Queries are taken a few at a time.
     """
+    step = max(1, PRODUCTS // max(1, len(ids)))
+    longest = np.linalg.norm(x, axis=1).max(initial=0.0)
+    parts = []
+    for lo in range(0, len(own), step):
+        part = slice(lo, lo + step)
+        at, row, score = _nearest(x, ids, q[part], own[part], k, longest, seen and seen[1][part][:, seen[0]])
+        parts.append((at + lo, row, score))
+    none = np.empty(0, np.int64)
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (none, none, np.empty(0))
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, longest: float, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     approx = q @ x.T
-    approx[own[:, None] == ids[None, :]] = -np.inf
-    at, row = np.nonzero(approx > -np.inf)
+    if seen is not None:
+        approx[~seen] = -np.inf
+    same = np.flatnonzero(np.isin(ids, own))
+    at, row = np.nonzero(own[:, None] == ids[None, same])
+    approx[at, same[row]] = -np.inf
+    edge = np.full(len(own), -np.inf)
     if len(ids) > k:
-        edge = np.partition(approx, len(ids) - k, axis=1)[:, len(ids) - k]
-        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        at, row = np.nonzero((approx >= (edge - slack)[:, None]) & (approx > -np.inf))
-    score = np.einsum("ij,ij->i", x[row], q[at], optimize=False)
+        edge = np.partition(approx, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-12 * np.linalg.norm(q, axis=1) * longest
+    at, row = np.nonzero((approx >= edge[:, None]) & (approx > -np.inf))
+    score = np.empty(at.size)
+    for lo in range(0, at.size, 1 << 14):
+        some = slice(lo, lo + (1 << 14))
+        score[some] = np.einsum("ij,ij->i", x[row[some]], q[at[some]], optimize=False)
     order = np.lexsort((ids[row], -score, at))
     at, row, score = at[order], row[order], score[order]
     place = np.arange(at.size) - np.searchsorted(at, at)
@@ -167,6 +192,17 @@ def _exact(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, tree: Tree, k: in
     return [(r["n"], r["leaf"]) for r in found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).collect()]
 
 
+def grouped(counts: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """(group, blocks) of each leaf: leaves in their order, as many as have ``most`` rows; a larger leaf is a group in blocks."""
+    out, group, held = {}, 0, 0
+    for leaf, n in sorted(counts.items()):
+        if held and held + n > most:
+            group, held = group + 1, 0
+        out[leaf] = (group, -(-n // most))
+        held += n
+    return out
+
+
 def calibrated(tree: Tree, truth: list[tuple[int, int]], vecs: np.ndarray, recall: float) -> int:
     """The least number of leaf visits that finds the wanted share of the true neighbours."""
     order = [{leaf: i for i, leaf in enumerate(visits(tree, q))} for q in vecs]
@@ -207,27 +243,31 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     ids, vecs = np.array([r["id"] for r in few]), np.array([r["vec"] for r in few])
     width = calibrated(tree, _exact(index.select("id", "vec"), ids, vecs, tree, k), vecs, recall)
 
+    groups = grouped(counts, ROW_BLOCK)
+    to_kind = pa.list_(pa.struct([("g", pa.int64()), ("blocks", pa.int64()), ("leaves", pa.list_(pa.int32()))]))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            which, leaves = [], []
-            for n, q in enumerate(_matrix(b.column("vec")) if b.num_rows else ()):
+        for b in (whole.slice(lo, WALKED) for whole in batches for lo in range(0, whole.num_rows, WALKED)):
+            to = []
+            for q in _matrix(b.column("vec")):
+                held: dict[tuple[int, int], list[int]] = {}
                 seen = 0
                 for i, leaf in enumerate(visits(tree, q)):
                     if i >= width and seen > k:
                         break
-                    which.append(n)
-                    leaves.append(leaf)
-                    seen += counts.get(leaf, 0)
-            at = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("vec").take(at), pa.array(leaves, pa.int64())], ["id", "vec", "leaf"])
-
-    asked = saved(queries.mapInArrow(walk, "id long, vec array<double>, leaf long"), "asked")
-    load = dict(asked.groupBy("leaf").count().collect())  # at most MAX_LEAVES rows
-    grid = [(leaf, -(-n // ROW_BLOCK), -(-load[leaf] // QUERY_BLOCK)) for leaf, n in sorted(counts.items()) if leaf in load]
-    grid = F.broadcast(spark.createDataFrame(grid, "leaf long, rs long, qs long"))
-    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(grid, "leaf").select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), "rs").alias("i"), to("qs").alias("j"))
-    right = asked.join(grid, "leaf").select("id", "vec", "leaf", to("rs").alias("i"), F.pmod(F.xxhash64("id"), "qs").alias("j"))
+                    if leaf in counts:
+                        held.setdefault(groups[leaf], []).append(leaf)
+                        seen += counts[leaf]
+                to.append([{"g": g, "blocks": blocks, "leaves": leaves} for (g, blocks), leaves in held.items()])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(to, to_kind)], ["id", "vec", "to"])
+
+    asked = -(-queries.count() // QUERY_BLOCK)
+    place_of = F.broadcast(spark.createDataFrame([(leaf, *at) for leaf, at in sorted(groups.items())], "leaf long, g long, blocks long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = index.join(place_of, "leaf").select("id", "vec", "leaf", "g", F.pmod(F.xxhash64("id"), "blocks").alias("i"), each(F.lit(asked)).alias("j"))
+    right = queries.mapInArrow(walk, "id long, vec array<double>, to array<struct<g: long, blocks: long, leaves: array<int>>>")
+    right = right.select("id", "vec", F.explode("to").alias("to"), F.pmod(F.xxhash64("id"), F.lit(asked)).alias("j"))
+    right = right.select("id", "vec", "to.leaves", "to.g", each(F.col("to.blocks")).alias("i"), "j")
 
     near_kind = pa.list_(pa.struct([("loss", pa.float64()), ("id", pa.int64())]))
 
@@ -235,12 +275,19 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         if not own.num_rows or not asking.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], near_kind)], ["query_id", "near"])
         x, xid = _matrix(own["vec"]), own["id"].to_numpy()
-        at, row, score = nearest(x, xid, _matrix(asking["vec"]), asking["id"].to_numpy(), k)
+        here, leaf = np.unique(own["leaf"].to_numpy(), return_inverse=True)
+        lists = asking["leaves"].combine_chunks()
+        wanted = lists.flatten().to_numpy()
+        which = np.repeat(np.arange(asking.num_rows), lists.value_lengths().to_numpy())
+        hit = np.isin(wanted, here)
+        seen = np.zeros((asking.num_rows, here.size), bool)
+        seen[which[hit], np.searchsorted(here, wanted[hit])] = True
+        at, row, score = nearest(x, xid, _matrix(asking["vec"]), asking["id"].to_numpy(), k, (leaf, seen))
         near = pa.StructArray.from_arrays([pa.array(-score), pa.array(xid[row])], ["loss", "id"])
         ends = np.searchsorted(at, np.arange(asking.num_rows + 1))
         return pa.table([asking["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)], ["query_id", "near"])
 
-    cells = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(cell, "query_id long, near array<struct<loss: double, id: long>>")
+    cells = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(cell, "query_id long, near array<struct<loss: double, id: long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # k from each of a query's cells at most
     ranked = cells.groupBy("query_id").agg(best.alias("near")).select("query_id", F.posexplode("near").alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.loss")).alias("score"))

@@ -76,6 +76,44 @@ def test_few_rows_give_all(spark):
     assert ann_tree.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_queries_are_not_repeated_by_leaf(spark, monkeypatch):
+    """Many leaves and small blocks: the same rows, and no table with a query's vector once a leaf."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(2000)] + [(3000 + i, [3.0] * 8) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann_tree, "LEAF_ROWS", 8)
+    written, write = [], ann_tree.saved
+
+    def counted(df, name):
+        written.append((out := write(df, name)).count())
+        return out
+
+    monkeypatch.setattr(ann_tree, "saved", counted)
+    whole = sorted(map(tuple, ann_tree.search(table).collect()))
+    assert max(written) == len(rows)
+    monkeypatch.setattr(ann_tree, "ROW_BLOCK", 50)
+    monkeypatch.setattr(ann_tree, "QUERY_BLOCK", 16)
+    assert sorted(map(tuple, ann_tree.search(table).collect())) == whole and len(whole) == 20 * 110
+
+
+def test_groups_of_leaves_are_bounded():
+    assert ann_tree.grouped({0: 3, 1: 4, 2: 4, 5: 25, 6: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 5: (2, 3), 6: (3, 1)}
+
+
+def test_nearest_sees_only_the_leaves_of_a_query(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(-2, 3, (60, 4)).astype(float), rng.integers(-2, 3, (9, 4)).astype(float)
+    ids, own, leaf, seen = np.arange(60) // 2, np.arange(9), np.arange(60) % 3, rng.random((9, 3)) < 0.5
+    want = []
+    for n in range(9):
+        can = [r for r in range(60) if ids[r] != own[n] and seen[n, leaf[r]]]
+        want += [(n, float(q[n] @ x[r]), int(ids[r])) for r in sorted(can, key=lambda r: (-(q[n] @ x[r]), ids[r]))[:5]]
+    for products in (1, 200, 1 << 20):
+        monkeypatch.setattr(ann_tree, "PRODUCTS", products)
+        at, row, score = ann_tree.nearest(x, ids, q, own, 5, (leaf, seen))
+        assert list(zip(at.tolist(), score.tolist(), ids[row].tolist(), strict=True)) == want
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
